@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,11 +20,13 @@ def _spread_out(value: Column) -> Column:
     return F.signum(value) * F.log1p(F.abs(value))
 
 
-def _same(a: DataFrame, b: DataFrame, names: Sequence[str]) -> Column:
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & a[n].eqNullSafe(b[n])
-    return condition
+def _join_back(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Equi-join on ``names``, null keys included; the left names remain."""
+    renamed = right.select(*[F.col(c).alias(f"right_{c}" if c in names else c) for c in right.columns])
+    condition = reduce(
+        lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"right_{n}")) for n in names]
+    )
+    return left.join(renamed, condition).drop(*[f"right_{n}" for n in names])
 
 
 def exact_median(
@@ -42,9 +45,11 @@ def exact_median(
     sorted. Null values are left out; NaN sorts last.
     """
     keys = list(keys)
-    names = [f"k{i}" for i in range(len(keys))]
+    # Without keys the whole table is one group, named by a constant.
+    names = [f"k{i}" for i in range(max(1, len(keys)))]
+    key_columns = [F.col(quoted(k)) for k in keys] or [F.lit(0)]
     base = df.select(
-        *[F.col(quoted(k)).alias(n) for k, n in zip(keys, names, strict=True)],
+        *[k.alias(n) for k, n in zip(key_columns, names, strict=True)],
         F.col(quoted(value)).cast("double").alias("v"),
         (F.col(quoted(weight)) if weight else F.lit(1)).cast("long").alias("c"),
     ).where(F.col("v").isNotNull())
@@ -55,9 +60,7 @@ def exact_median(
     spread = counts.groupBy(*names).agg(
         F.sum("c").alias("n"), F.min(image).alias("lo"), F.max(image).alias("hi")
     )
-    joined = counts.join(spread, _same(counts, spread, names)).select(
-        *[counts[n] for n in names], "v", "c", "n", "lo", "hi"
-    )
+    joined = _join_back(counts, spread, names)
     position = F.try_divide(image - F.col("lo"), F.col("hi") - F.col("lo")) * RANGES
     placed = joined.select(
         *names,
@@ -78,9 +81,7 @@ def exact_median(
         (F.col("before") < high_rank) & (F.col("before") + F.col("in_range") >= low_rank)
     ).select(*names, "r", "before")
 
-    candidates = placed.join(middle, _same(placed, middle, [*names, "r"])).select(
-        *[placed[n] for n in names], placed["r"], "v", "c", "n", "before"
-    )
+    candidates = _join_back(placed, middle, [*names, "r"])
     inside = Window.partitionBy(*names, "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = candidates.withColumn("last", F.col("before") + F.sum("c").over(inside))
     first = F.col("last") - F.col("c")
@@ -92,7 +93,7 @@ def exact_median(
         at(low_rank).alias("a"), at(high_rank).alias("b"), F.first("n").alias("n")
     )
     return medians.select(
-        *[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)],
+        *[F.col(n).alias(k) for k, n in zip(keys, names)],
         ((F.col("a") + F.col("b")) / 2).alias(out),
         "n",
     )

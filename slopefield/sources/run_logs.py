@@ -40,7 +40,6 @@ def _records(spark: SparkSession, root: str) -> DataFrame:
     rows = (
         spark.read.schema(RUN_RECORD_SCHEMA + ", _corrupt_record string")
         .option("recursiveFileLookup", "true")
-        .option("multiLine", "true")
         .option("pathGlobFilter", "*.json")
         .json(root)
         .select("*", F.col("_metadata.file_path").alias("file"))
@@ -62,4 +61,4 @@ def read_run_records(spark: SparkSession, root: str) -> DataFrame:
 def invalid_run_records(spark: SparkSession, root: str) -> DataFrame:
     """Files that are not valid JSON."""
     broken = _records(spark, root).where(F.col("_corrupt_record").isNotNull())
-    return broken.select("run", "setup", "file")
+    return broken.select("run", "setup", "file", F.col("_corrupt_record").alias("text"))
