@@ -11,9 +11,7 @@ from slopefield.functions.numeric import (
 )
 from slopefield.functions.text_values import (
     boolean_or_null,
-    is_boolean_text,
     is_missing,
-    is_number_text,
     number_or_null,
     short_text,
 )
@@ -23,9 +21,7 @@ __all__ = [
     "boolean_or_null",
     "class_from_probability",
     "close_to",
-    "is_boolean_text",
     "is_missing",
-    "is_number_text",
     "linear_score",
     "log_loss_from_score",
     "number_or_null",

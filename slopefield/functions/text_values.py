@@ -41,14 +41,6 @@ def is_missing(text: Column) -> Column:
     return text.isNull() | text.isin(*MISSING_TEXTS)
 
 
-def is_number_text(text: Column) -> Column:
-    return text.rlike(FINITE_TEXT) | text.rlike(INFINITE_TEXT)
-
-
-def is_boolean_text(text: Column) -> Column:
-    return text.isin(*TRUE_TEXTS, *FALSE_TEXTS)
-
-
 def number_or_null(text: Column) -> Column:
     """The double a cell stands for; null for missing and for any other text."""
     infinite = F.when(text.contains("-"), float("-inf")).otherwise(float("inf"))

@@ -12,9 +12,7 @@ from pyspark.sql import types as T
 from slopefield.functions.numeric import quoted, six_digits
 from slopefield.functions.text_values import (
     boolean_or_null,
-    is_boolean_text,
     is_missing,
-    is_number_text,
     number_or_null,
     short_text,
 )
@@ -22,36 +20,44 @@ from slopefield.functions.text_values import (
 LABEL_EXAMPLES = 5
 COLUMN_EXAMPLES = 10
 
+# Kinds of cells.
+MISSING, NUMBER, BOOLEAN, TEXT = range(4)
 
-def cell_kind(df: DataFrame, name: str) -> Column:
-    """``missing``, ``number``, ``boolean`` or ``text`` for each cell of a column."""
+
+def cell_number(df: DataFrame, name: str) -> Column:
+    """The double a cell spells out; null for anything but a number."""
     cell, kind = F.col(quoted(name)), df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return (
-            F.when(is_missing(cell), "missing")
-            .when(is_number_text(cell), "number")
-            .when(is_boolean_text(cell), "boolean")
-            .otherwise("text")
-        )
-    if isinstance(kind, T.BooleanType):
-        return F.when(cell.isNull(), "missing").otherwise("boolean")
+        return number_or_null(cell)
     if isinstance(kind, T.NumericType):
-        absent = cell.isNull() | F.isnan(cell.cast("double"))
-        return F.when(absent, "missing").otherwise("number")
-    return F.when(cell.isNull(), "missing").otherwise("text")
+        number = cell.cast("double")
+        return F.when(~F.isnan(number), number)
+    return F.lit(None).cast("double")
 
 
-def cell_value(df: DataFrame, name: str) -> Column:
-    """The double a cell stands for; null where it stands for none."""
+def _truth_value(df: DataFrame, name: str) -> Column:
     cell, kind = F.col(quoted(name)), df.schema[name].dataType
     if isinstance(kind, T.StringType):
-        return F.coalesce(number_or_null(cell), boolean_or_null(cell))
-    if isinstance(kind, (T.NumericType, T.BooleanType)):
-        number = cell.cast("double")
-        return F.when(~F.isnan(number), number)
+        return boolean_or_null(cell)
+    if isinstance(kind, T.BooleanType):
+        return cell.cast("double")
     return F.lit(None).cast("double")
 
 
+def _is_absent(df: DataFrame, name: str) -> Column:
+    cell, kind = F.col(quoted(name)), df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return is_missing(cell)
+    if isinstance(kind, T.NumericType):
+        return cell.isNull() | F.isnan(cell.cast("double"))
+    return cell.isNull()
+
+
+def cell_value(df: DataFrame, name: str) -> Column:
+    """The double a cell stands for, truth values as 1 and 0; null for none."""
+    return F.coalesce(cell_number(df, name), _truth_value(df, name))
+
+
 def numeric_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Every column as double, in place; unusable cells become null."""
     names = columns or df.columns
@@ -79,37 +85,43 @@ def column_profile(
     and partial aggregation leaves one record per column and task to shuffle.
     ``flag`` is counted alongside (as ``flagged``).
     """
-    cells = df.select(
+    # Numbers first and by themselves: the costly parse then runs once per cell.
+    numbers = range(len(columns))
+    parsed = df.select(
         (F.lit(False) if flag is None else flag).alias("flag"),
-        *[
-            F.struct(cell_kind(df, c).alias("kind"), cell_value(df, c).alias("value")).alias(f"c{j}")
-            for j, c in enumerate(columns)
-        ],
+        *[cell_number(df, c).alias(f"number_{j}") for j, c in enumerate(columns)],
+        *[_truth_value(df, c).alias(f"truth_{j}") for j, c in enumerate(columns)],
+        *[_is_absent(df, c).alias(f"absent_{j}") for j, c in enumerate(columns)],
     )
-    keep = reduce(lambda a, b: a & b, [_is_finite(F.col(f"c{j}.value")) for j in range(len(columns))])
-    records = cells.select(
+    kinds = [
+        F.when(F.col(f"number_{j}").isNotNull(), NUMBER)
+        .when(F.col(f"absent_{j}"), MISSING)
+        .when(F.col(f"truth_{j}").isNotNull(), BOOLEAN)
+        .otherwise(TEXT)
+        for j in numbers
+    ]
+    values = parsed.select(
         "flag",
-        keep.alias("keep"),
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(j).alias("j"),
-                        F.col(f"c{j}.kind").alias("kind"),
-                        F.col(f"c{j}.value").alias("value"),
-                    )
-                    for j in range(len(columns))
-                ]
-            )
-        ),
+        *[k.alias(f"kind_{j}") for j, k in enumerate(kinds)],
+        *[F.coalesce(f"number_{j}", f"truth_{j}").alias(f"value_{j}") for j in numbers],
     )
+    keep = reduce(lambda a, b: a & b, [_is_finite(F.col(f"value_{j}")) for j in numbers])
+    cells = [
+        F.struct(
+            F.lit(j).alias("j"), F.col(f"kind_{j}").alias("kind"), F.col(f"value_{j}").alias("value")
+        )
+        for j in numbers
+    ]
+    # The array is a column of its own, so that no other cell rides along with each record.
+    records = values.select("flag", keep.alias("keep"), F.array(*cells).alias("cells"))
+    records = records.select("flag", "keep", F.inline("cells"))
     kind, value, kept = F.col("kind"), F.col("value"), F.col("keep")
     counts = records.groupBy("j").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.count_if(kind == "missing").alias("missing"),
-        F.count_if(kind == "number").alias("numbers"),
-        F.count_if(kind == "boolean").alias("booleans"),
-        F.count_if(kind == "text").alias("texts"),
+        F.count_if(kind == MISSING).alias("missing"),
+        F.count_if(kind == NUMBER).alias("numbers"),
+        F.count_if(kind == BOOLEAN).alias("booleans"),
+        F.count_if(kind == TEXT).alias("texts"),
         F.count_if(F.abs(value) == float("inf")).alias("infinite"),
         F.count_if(~value.isin(0.0, 1.0)).alias("not_binary"),
         F.count_if(kept).alias("kept"),
@@ -158,7 +170,7 @@ def _first_values(distinct_values: DataFrame, k: int) -> DataFrame:
 def label_texts(df: DataFrame, label: str, k: int = LABEL_EXAMPLES) -> DataFrame:
     """The first ``k`` distinct non-missing label texts in sorted order."""
     cell = F.col(quoted(label)).cast("string")
-    texts = df.where(cell_kind(df, label) != "missing").select(cell.alias("value")).distinct()
+    texts = df.where(~_is_absent(df, label)).select(cell.alias("value")).distinct()
     return _first_values(texts, k)
 
 

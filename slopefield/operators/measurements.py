@@ -50,11 +50,11 @@ def warm_median(log: DataFrame, keys: Sequence[str], seq: str, seconds: str) ->
     totals = log.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("iters"),
         F.sum(seconds).alias("total_s"),
-        F.min(F.struct(seq, seconds)).alias("first"),
+        F.min_by(seconds, seq).alias("first"),
     )
     values = log.select(*keys, F.col(seconds).alias("v"), F.lit(1).alias("c"))
     removed = totals.where(F.col("iters") > 1).select(
-        *keys, F.col(f"first.{seconds}").alias("v"), F.lit(-1).alias("c")
+        *keys, F.col("first").alias("v"), F.lit(-1).alias("c")
     )
     warm = exact_median(values.unionByName(removed), keys, "v", "sec_per_iter_warm", "c").drop("n")
     return totals.join(warm, list(keys), "left").select(

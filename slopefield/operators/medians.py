@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 from slopefield.functions.numeric import quoted
 
-# Value ranges per group. Bounds the rows of the cumulative window and cuts a
-# hot group's last sort to about one range.
-RANGES = 1024
+# A group with more distinct values than this is cut into value ranges. A table of
+# N rows has at most N / HOT_VALUES such groups, which bounds what is broadcast:
+# some hundred thousand short rows even at 10^12 rows.
+HOT_VALUES = 1 << 22
+# Value ranges per hot group.
+RANGES = 4096
 
 
 def _spread_out(value: Column) -> Column:
@@ -20,13 +23,76 @@ def _spread_out(value: Column) -> Column:
     return F.signum(value) * F.log1p(F.abs(value))
 
 
-def _join_back(left: DataFrame, right: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Equi-join on ``names``, null keys included; the left names remain."""
-    renamed = right.select(*[F.col(c).alias(f"right_{c}" if c in names else c) for c in right.columns])
-    condition = reduce(
-        lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"right_{n}")) for n in names]
+def _on(names: Sequence[str]) -> Column:
+    """Equality with the ``right_`` columns, null keys included."""
+    return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"right_{n}")) for n in names])
+
+
+def _as_right(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"right_{c}" if c in names else c) for c in df.columns])
+
+
+def _middle(ranked: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Mean of the values at the two middle ranks.
+
+    ``ranked`` holds value ``v`` at the ranks ``last - c + 1 .. last`` of ``n``.
+    """
+    low_rank, high_rank = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    first = F.col("last") - F.col("c")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first < rank) & (F.col("last") >= rank), F.col("v")))
+
+    found = ranked.groupBy(*names).agg(
+        at(low_rank).alias("a"), at(high_rank).alias("b"), F.max("n").alias("n")
+    )
+    return found.select(*names, ((F.col("a") + F.col("b")) / 2).alias("median"), "n")
+
+
+def _small_groups(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Groups of bounded size: sort each one where its rows meet."""
+    group = Window.partitionBy(*names)
+    running = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumn("last", F.sum("c").over(running)).withColumn(
+        "n", F.sum("c").over(group)
     )
-    return left.join(renamed, condition).drop(*[f"right_{n}" for n in names])
+    return _middle(ranked, names)
+
+
+def _hot_groups(counts: DataFrame, hot: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Groups of any size: count per value range, then sort only the middle ranges."""
+    joined = counts.join(F.broadcast(_as_right(hot, names)), _on(names)).drop(
+        *[f"right_{n}" for n in names]
+    )
+    finite = ~F.isnan("v") & (F.abs("v") < float("inf"))
+    position = F.try_divide(_spread_out(F.col("v")) - F.col("lo"), F.col("hi") - F.col("lo")) * RANGES
+    placed = joined.select(
+        *names,
+        "v",
+        "c",
+        "n",
+        F.when(finite, F.coalesce(F.least(F.floor(position), F.lit(RANGES - 1)), F.lit(0)))
+        .when(F.col("v") == float("-inf"), -1)
+        .otherwise(RANGES)
+        .alias("r"),
+    )
+
+    sizes = placed.groupBy(*names, "r").agg(F.sum("c").alias("in_range"), F.max("n").alias("n"))
+    along = Window.partitionBy(*names).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("before", F.coalesce(F.sum("in_range").over(along), F.lit(0)))
+    low_rank, high_rank = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    middle = before.where(
+        (F.col("before") < high_rank) & (F.col("before") + F.col("in_range") >= low_rank)
+    ).select(*names, "r", "before")
+
+    # At most two ranges per hot group, so this side is as bounded as ``hot``.
+    keyed = [*names, "r"]
+    candidates = placed.join(F.broadcast(_as_right(middle, keyed)), _on(keyed)).drop(
+        *[f"right_{n}" for n in keyed]
+    )
+    inside = Window.partitionBy(*keyed).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = candidates.withColumn("last", F.col("before") + F.sum("c").over(inside))
+    return _middle(ranked, names)
 
 
 def exact_median(
@@ -35,14 +101,15 @@ def exact_median(
     value: str,
     out: str = "median",
     weight: str | None = None,
+    hot_values: int = HOT_VALUES,
 ) -> DataFrame:
     """``(keys..., out, n)``: the middle value, or the mean of the middle two.
 
     The built-in ``median`` keeps every distinct value of a group in the memory
     of one task. Here equal values are merged first (with ``weight`` as their
-    multiplicity, which may be negative to take values back), each group's value
-    range is cut into ranges, and only the ranges that hold the middle ranks are
-    sorted. Null values are left out; NaN sorts last.
+    multiplicity, which may be negative to take values back). Groups of up to
+    ``hot_values`` distinct values are sorted whole; larger ones are never
+    brought together. Null values are left out; NaN sorts last.
     """
     keys = list(keys)
     # Without keys the whole table is one group, named by a constant.
@@ -57,45 +124,21 @@ def exact_median(
 
     finite = ~F.isnan("v") & (F.abs("v") < float("inf"))
     image = F.when(finite, _spread_out(F.col("v")))
-    spread = counts.groupBy(*names).agg(
-        F.sum("c").alias("n"), F.min(image).alias("lo"), F.max(image).alias("hi")
-    )
-    joined = _join_back(counts, spread, names)
-    position = F.try_divide(image - F.col("lo"), F.col("hi") - F.col("lo")) * RANGES
-    placed = joined.select(
-        *names,
-        "v",
-        "c",
-        "n",
-        F.when(finite, F.coalesce(F.least(F.floor(position), F.lit(RANGES - 1)), F.lit(0)))
-        .when(F.col("v") == float("-inf"), -1)
-        .otherwise(RANGES)
-        .alias("r"),
-    )
-
-    sizes = placed.groupBy(*names, "r").agg(F.sum("c").alias("in_range"), F.first("n").alias("n"))
-    along = Window.partitionBy(*names).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("before", F.coalesce(F.sum("in_range").over(along), F.lit(0)))
-    low_rank, high_rank = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    middle = before.where(
-        (F.col("before") < high_rank) & (F.col("before") + F.col("in_range") >= low_rank)
-    ).select(*names, "r", "before")
-
-    candidates = _join_back(placed, middle, [*names, "r"])
-    inside = Window.partitionBy(*names, "r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = candidates.withColumn("last", F.col("before") + F.sum("c").over(inside))
-    first = F.col("last") - F.col("c")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((first < rank) & (F.col("last") >= rank), F.col("v")))
-
-    medians = ranked.groupBy(*names).agg(
-        at(low_rank).alias("a"), at(high_rank).alias("b"), F.first("n").alias("n")
+    hot = (
+        counts.groupBy(*names)
+        .agg(
+            F.count(F.lit(1)).alias("values"),
+            F.sum("c").alias("n"),
+            F.min(image).alias("lo"),
+            F.max(image).alias("hi"),
+        )
+        .where(F.col("values") > hot_values)
+        .drop("values")
     )
+    small = counts.join(F.broadcast(_as_right(hot.select(*names), names)), _on(names), "left_anti")
+    medians = _small_groups(small, names).unionByName(_hot_groups(counts, hot, names))
     return medians.select(
-        *[F.col(n).alias(k) for k, n in zip(keys, names)],
-        ((F.col("a") + F.col("b")) / 2).alias(out),
-        "n",
+        *[F.col(n).alias(k) for k, n in zip(keys, names)], F.col("median").alias(out), "n"
     )
 
 
