@@ -37,13 +37,19 @@ def read_scaling_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _records(spark: SparkSession, root: str) -> DataFrame:
-    rows = (
-        spark.read.schema(RUN_RECORD_SCHEMA + ", _corrupt_record string")
-        .option("recursiveFileLookup", "true")
+    lines = (
+        spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json")
-        .json(root)
-        .select("*", F.col("_metadata.file_path").alias("file"))
+        .text(root)
+        .select("value", F.col("_metadata.file_path").alias("file"))
+        .where(F.trim("value") != "")
     )
+    parsed = F.from_json(
+        "value",
+        RUN_RECORD_SCHEMA + ", _corrupt_record string",
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"},
+    )
+    rows = lines.select(parsed.alias("record"), "file").select("record.*", "file")
     folder = F.element_at(F.split("file", "/"), -2)
     stem = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.json$", "")
     return (
