@@ -15,10 +15,11 @@ from slopefield.catalog.views import (
 )
 from slopefield.operators import measurements, run_records as compare, verdicts
 from slopefield.session import shared_folder
-from slopefield.sinks import append_run_record
 from slopefield.sources import read_run_records
 
 RAM_GB = 16.0
+# Tasks that may share the rows of one run.
+RUN_SALTS = 32
 
 
 def q_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,9 +67,10 @@ def q_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records written as JSON in one folder per run and read back from it."""
     path = shared_folder(spark, "runs")
     records = run_records(spark, sf_dir).drop("file", "setup")
-    # One folder per run: rows of a run meet in a few tasks, not in every one.
-    append = records.repartition(8, "run", F.pmod(F.xxhash64("records", "sec_per_iter_warm"), F.lit(4)))
-    _write_by_run(append, path)
+    # One folder per run: the rows of a run meet in a few tasks (not in one, as
+    # a run may be hot) instead of leaving a file per run and task.
+    salt = F.pmod(F.xxhash64("records", "sec_per_iter_warm"), F.lit(RUN_SALTS))
+    records.repartition("run", salt).write.mode("append").partitionBy("run").json(path)
     read = read_run_records(spark, path)
     ok = F.col("error").isNull()
     return read.groupBy("run").agg(
@@ -78,10 +80,6 @@ def q_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _write_by_run(records: DataFrame, path: str) -> None:
-    records.write.mode("append").partitionBy("run").json(path)
-
-
 def _setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.setup_table(run_records(spark, sf_dir))
 

@@ -7,8 +7,16 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopefield.catalog.views import LINE_FEATURES, lines, rounded
+from slopefield.catalog.views import (
+    LINE_FEATURES,
+    LINES_SQL,
+    descent_cte,
+    lines,
+    rounded,
+    standardized_ctes,
+)
 from slopefield.plans.clean import clean_table
+from slopefield.plans.training_run import training_run
 from slopefield.session import shared_folder
 from slopefield.sinks import write_table
 from slopefield.sources import detect_separator, list_inputs, read_labeled, read_table
@@ -40,8 +48,10 @@ def _written(spark: SparkSession, sf_dir: str, layout: str) -> str:
         if layout == "gzip":
             writer = writer.option("compression", "gzip")
         writer.csv(path)
-    elif layout == "three_files":
-        write_table(_named_lines(spark, sf_dir).repartition(3), path, "csv")
+    elif layout == "files":
+        # At least three files, and more where there are more cores to write them.
+        count = max(3, spark.sparkContext.defaultParallelism)
+        write_table(_named_lines(spark, sf_dir).repartition(count), path, "csv")
     elif layout == "repeated_header":
         write_table(_with_header_rows(spark, sf_dir), path, "csv")
     else:
@@ -71,12 +81,12 @@ def q_scan_named_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scan_directory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _totals(read_labeled(spark, _written(spark, sf_dir, "three_files"), LABEL))
+    return _totals(read_labeled(spark, _written(spark, sf_dir, "files"), LABEL))
 
 
 def q_scan_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several locations as one table."""
-    paths = [_written(spark, sf_dir, "comma"), _written(spark, sf_dir, "three_files")]
+    paths = [_written(spark, sf_dir, "comma"), _written(spark, sf_dir, "files")]
     return _totals(read_labeled(spark, paths, LABEL))
 
 
@@ -102,7 +112,7 @@ def q_scan_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scan_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_inputs(spark, _written(spark, sf_dir, "three_files"))
+    return list_inputs(spark, _written(spark, sf_dir, "files"))
 
 
 def q_clean_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,6 +123,19 @@ def q_clean_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(read_labeled(spark, path, LABEL))
 
 
+RUN_ITERATIONS = 4
+
+
+def q_training_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From an untrusted file to a checked run record."""
+    record = training_run(
+        spark, _written(spark, sf_dir, "tab"), LABEL, max_iter=RUN_ITERATIONS, check=True
+    )
+    row = [record[k] for k in ("records", "rows_dropped", "features", "iters", "final_loss", "ref_match")]
+    schema = "records long, rows_dropped long, features int, iters int, final_loss double, ref_match boolean"
+    return spark.createDataFrame([row], schema).withColumn("final_loss", F.round("final_loss", 8) + 0.0)
+
+
 QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")}
 
 
@@ -134,6 +157,11 @@ def _rows_sql(label: str, names: list[str]) -> str:
 
 
 SQL = {
+    "training_run": f"WITH RECURSIVE {standardized_ctes(LINES_SQL, len(LINE_FEATURES))}, "
+    f"{descent_cte('fit', len(LINE_FEATURES), RUN_ITERATIONS)} "
+    "SELECT (SELECT count(*) FROM design) AS records, 0::BIGINT AS rows_dropped, "
+    f"{len(LINE_FEATURES)} AS features, k AS iters, round(loss, 8) + 0.0 AS final_loss, true AS ref_match "
+    f"FROM fit WHERE k = {RUN_ITERATIONS}",
     "scan_headerless": _rows_sql("y", [f"f{j}" for j in range(len(LINE_FEATURES))]),
     "scan_named_label": _rows_sql(LABEL, list(LINE_FEATURES)),
     "scan_directory": _totals_sql(),

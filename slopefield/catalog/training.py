@@ -139,19 +139,21 @@ def q_block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_partition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    source = lines(spark, sf_dir)
-    even = layout.set_partitions(source, 8)
-    merged = layout.set_partitions(even, 3, shuffle=False)
+    """A shuffle makes exactly the partitions asked for; merging makes at most as many."""
+    cores = spark.sparkContext.defaultParallelism
+    many, few = max(8, cores), max(3, cores // 2)
+    even = layout.set_partitions(lines(spark, sf_dir), many)
+    merged = layout.set_partitions(even, few, shuffle=False)
 
-    def counted(name: str, df: DataFrame) -> DataFrame:
+    def counted(name: str, df: DataFrame, asked: int) -> DataFrame:
         return layout.partition_sizes(df).agg(
             F.lit(name).alias("layout"),
-            F.count(F.lit(1)).alias("partitions"),
+            (F.count(F.lit(1)) == asked).alias("as_asked"),
             F.sum("rows").alias("rows"),
             (F.max("rows") <= 4 * F.min("rows")).alias("even"),
         )
 
-    return counted("repartition 8", even).unionByName(counted("coalesce 3", merged))
+    return counted("repartition", even, many).unionByName(counted("coalesce", merged, few))
 
 
 def q_replicate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,9 +340,8 @@ SQL = {
     "footprint": f"SELECT count(*) AS rows, {D} AS features, "
     f"round(count(*) * {(D + 2) * 8}::DOUBLE / 1e9, 9) + 0.0 AS gb FROM lineitem",
     "block_sizes": "SELECT count(*) AS rows, true AS within_bound, true AS covers_all FROM lineitem",
-    "partition_counts": "SELECT 'repartition 8' AS layout, 8::BIGINT AS partitions, count(*) AS rows, "
-    "true AS even FROM lineitem UNION ALL "
-    "SELECT 'coalesce 3', 3::BIGINT, count(*), true FROM lineitem",
+    "partition_counts": "SELECT 'repartition' AS layout, true AS as_asked, count(*) AS rows, true AS even "
+    "FROM lineitem UNION ALL SELECT 'coalesce', true, count(*), true FROM lineitem",
     "replicate": f"WITH base AS ({LINES_SQL}) SELECT CAST(i AS INTEGER) AS copy_id, count(*) AS n, "
     "round(sum(y), 2) + 0.0 AS y, "
     + ", ".join(f"round(sum(f{j}), 2) + 0.0 AS {c}" for j, c in enumerate(LINE_FEATURES))

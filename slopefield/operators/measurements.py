@@ -24,12 +24,6 @@ def dedup_last(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     return last.select(*keys, "last.*").select(*df.columns)
 
 
-def first_by(df: DataFrame, keys: Sequence[str], seq: str, columns: Sequence[str]) -> DataFrame:
-    """The named columns of each key's first row in ``seq`` order."""
-    first = df.groupBy(*keys).agg(F.min(F.struct(seq, *columns)).alias("first"))
-    return first.select(*keys, *[F.col(f"first.{c}").alias(c) for c in columns])
-
-
 def warm_values(per_iter: Column) -> Column:
     """Per-iteration times without iteration 0, unless it is the only one."""
     return F.when(F.size(per_iter) > 1, F.slice(per_iter, 2, F.size(per_iter) - 1)).otherwise(per_iter)

@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 
 from slopefield.errors import DataError
 from slopefield.functions.numeric import double_sql, quoted
+from slopefield.session import session_settings
 
 # A spread below this counts as constant; such a feature standardizes to 0.
 CONSTANT_SPREAD = 1e-12
 
+# Aggregates over up to this many columns are one generated function each; wider
+# tables are aggregated by element number, whose plan does not grow.
+WIDE_COLUMNS = 200
+# Code generation gives up at 100 fields by default; five sums per feature reach
+# that at 20 features and would then run interpreted, about four times slower.
+GENERATED_FIELDS = "2000"
+
 
 @dataclass(frozen=True)
 class Scale:
@@ -37,19 +45,12 @@ def moments(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def feature_moments(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The same moments as rows ``(j, feature, n, mean, std)``."""
-    one_row = moments(df, features)
-    rows = [
-        F.struct(
-            F.lit(j).alias("j"),
-            F.lit(name).alias("feature"),
-            F.col("n").alias("n"),
-            F.col(f"mean_{j}").alias("mean"),
-            F.col(f"std_{j}").alias("std"),
-        )
-        for j, name in enumerate(features)
-    ]
-    return one_row.select(F.inline(F.array(*rows)))
+    """The same moments as rows ``(j, feature, n, mean, std)``, for any width."""
+    names = F.array(*[F.lit(name) for name in features])
+    vector = df.select(F.array(*[F.col(quoted(f)).cast("double") for f in features]).alias("v"))
+    return vector_moments(vector, "v").select(
+        "j", F.element_at(names, F.col("j") + 1).alias("feature"), "n", "mean", "std"
+    )
 
 
 def vector_moments(df: DataFrame, vector: str) -> DataFrame:
@@ -75,8 +76,12 @@ def _scale(rows: int, means: Sequence[float], stds: Sequence[float]) -> Scale:
 
 def measure_scale(df: DataFrame, features: Sequence[str]) -> Scale:
     """Run the moments job; constant features get a spread of 1."""
-    row = moments(df, features).collect()[0]
     d = len(features)
+    if d > WIDE_COLUMNS:
+        rows = feature_moments(df, features).orderBy("j").collect()
+        return _scale(rows[0]["n"] if rows else 0, [r["mean"] for r in rows], [r["std"] for r in rows])
+    with session_settings(df.sparkSession, spark__sql__codegen__maxFields=GENERATED_FIELDS):
+        row = moments(df, features).collect()[0]
     return _scale(row["n"], [row[f"mean_{j}"] for j in range(d)], [row[f"std_{j}"] for j in range(d)])
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopefield.functions.numeric import linear_score, sigmoid
+from slopefield.functions.numeric import average_log_loss, linear_score, sigmoid
 from slopefield.operators.scoring import compare_weights, weight_pairs
 from slopefield.plans.fit import LogisticFit, fit_design
 
@@ -38,9 +40,6 @@ def reference_weights(design: DataFrame, width: int) -> DataFrame:
 
     The solver finds the intercept itself; a constant column would get weight 0.
     """
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
     spark = design.sparkSession
     assembled = VectorAssembler(
         inputCols=[f"x{j}" for j in range(1, width)], outputCol="features"
@@ -80,8 +79,6 @@ def compare_with_reference(
             sigmoid(linear_score(terms, weights)).alias("p_mine"),
             sigmoid(linear_score(terms, values)).alias("p_ref"),
         )
-        from slopefield.functions.numeric import average_log_loss
-
         def right(p: str):
             return (F.col(p) > 0.5).cast("double") == F.col("y")
 

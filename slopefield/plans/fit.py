@@ -9,14 +9,21 @@ from statistics import median
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slopefield.errors import DataError
 from slopefield.operators.gradient import gradient_from_blocks, gradient_from_columns
 from slopefield.operators.layout import pack_blocks, pack_vectors, set_partitions
-from slopefield.operators.moments import Scale, measure_scale, measure_vector_scale, standardize
+from slopefield.operators.moments import (
+    GENERATED_FIELDS,
+    Scale,
+    measure_scale,
+    measure_vector_scale,
+    standardize,
+)
+from slopefield.session import session_settings
 
 PATHS = ("blocks", "columns")
 
@@ -69,6 +76,7 @@ class LogisticFit:
 
 
 def _descend(
+    spark: SparkSession,
     sums_at: Callable[[Sequence[float]], DataFrame],
     fit: LogisticFit,
     lr: float,
@@ -76,20 +84,19 @@ def _descend(
     tol: float,
 ) -> None:
     """Run the loop. Lineage stays flat: only the d-sized weights change."""
-    spark = SparkSession.getActiveSession()
     width = len(fit.weights)
     w = np.zeros(width)
     previous = float("inf")
     # The plan is the same tiny aggregate each time, so runtime re-planning would
     # only add latency.
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    # One block per Arrow batch: Python works on a block while the next is sent.
-    # With the default row limit a whole partition would form one batch.
-    batch_rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    settings = {"spark.sql.adaptive.enabled": "false"}
     if fit.path == "blocks":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    try:
+        # One block per Arrow batch: Python works on a block while the next is
+        # sent. With the default row limit a whole partition would form one batch.
+        settings["spark.sql.execution.arrow.maxRecordsPerBatch"] = "1"
+    else:
+        settings["spark.sql.codegen.maxFields"] = GENERATED_FIELDS
+    with session_settings(spark, **settings):
         for _ in range(max_iter):
             started = time.perf_counter()
             sums = sums_at(w.tolist()).collect()[0]
@@ -102,9 +109,6 @@ def _descend(
             if abs(previous - loss) < tol:
                 break
             previous = loss
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch_rows)
     fit.weights = w.tolist()
 
 
@@ -117,7 +121,7 @@ def _run(
     prepared: DataFrame, names: list[str], scale: Scale, path: str, lr: float, max_iter: int, tol: float
 ) -> LogisticFit:
     """Cache the prepared table, count it once and descend on it."""
-    width = len(names)
+    width, spark = len(names), prepared.sparkSession
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = F.sum("k") if path == "blocks" else F.count(F.lit(1))
@@ -131,9 +135,9 @@ def _run(
             raise DataError("The table has no rows to train on.")
         fit = LogisticFit(names, [0.0] * width, scale, path, size["rows"], size["partitions"])
         if path == "blocks":
-            _descend(lambda w: gradient_from_blocks(prepared, w), fit, lr, max_iter, tol)
+            _descend(spark, lambda w: gradient_from_blocks(prepared, w), fit, lr, max_iter, tol)
         else:
-            _descend(lambda w: gradient_from_columns(prepared, w), fit, lr, max_iter, tol)
+            _descend(spark, lambda w: gradient_from_columns(prepared, w), fit, lr, max_iter, tol)
     finally:
         prepared.unpersist()
     return fit
@@ -204,8 +208,6 @@ def convergence(trajectory: DataFrame, tol: float) -> DataFrame:
     One row per iteration is all this reads, so the unpartitioned ``lag`` is
     bounded by the iteration limit of the fit.
     """
-    from pyspark.sql import Window
-
     moved = trajectory.select(
         "iter",
         "loss",
