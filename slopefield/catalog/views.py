@@ -41,7 +41,7 @@ def documents(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame
         F.col("n_chars").cast("double").alias("n_chars"),
         (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))).cast("double").alias("n_spaces"),
         F.length("text").cast("double").alias("size"),
-        F.length(F.translate("text", DIGITS, "")).cast("double").alias("without_digits"),
+        F.regexp_count("text", F.lit("[0-9]")).cast("double").alias("n_digits"),
     )
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return docs.join(labels, "doc_id", how).select(
@@ -50,7 +50,7 @@ def documents(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame
         "n_chars",
         "n_spaces",
         F.try_divide("n_spaces", "size").alias("space_ratio"),
-        F.try_divide(F.col("size") - F.col("without_digits"), "size").alias("digit_ratio"),
+        F.try_divide("n_digits", "size").alias("digit_ratio"),
     )
 
 

@@ -70,8 +70,14 @@ def _is_finite(value: Column) -> Column:
 
 def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows whose every value is present and finite, as doubles."""
-    numbers = numeric_table(df, columns)
-    return numbers.where(reduce(lambda a, b: a & b, [_is_finite(F.col(quoted(c))) for c in numbers.columns]))
+    names = list(columns or df.columns)
+    # A filter right above the parse would be pushed below it as a second and a
+    # third copy of every parse. It cannot pass the generator, which makes one
+    # row out of each.
+    values = F.struct(*[cell_value(df, c).alias(f"v{j}") for j, c in enumerate(names)])
+    parsed = df.select(F.inline(F.array(values)))
+    kept = parsed.where(reduce(lambda a, b: a & b, [_is_finite(F.col(c)) for c in parsed.columns]))
+    return kept.toDF(*names)
 
 
 def column_profile(
@@ -112,9 +118,10 @@ def column_profile(
         )
         for j in numbers
     ]
-    # The array is a column of its own, so that no other cell rides along with each record.
-    records = values.select("flag", keep.alias("keep"), F.array(*cells).alias("cells"))
-    records = records.select("flag", "keep", F.inline("cells"))
+    # ``keep`` is computed below the generator, so each record carries two flags and
+    # not the whole row. The array stays inside the generator: as a column, it
+    # would be evaluated once more by an inferred "not empty" filter.
+    records = values.withColumn("keep", keep).select("flag", "keep", F.inline(F.array(*cells)))
     kind, value, kept = F.col("kind"), F.col("value"), F.col("keep")
     counts = records.groupBy("j").agg(
         F.count(F.lit(1)).alias("rows"),
