@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -32,8 +34,9 @@ MISSING_TEXTS = (
 TRUE_TEXTS = ("True", "TRUE", "true")
 FALSE_TEXTS = ("False", "FALSE", "false")
 
-# Anchored, because a bare cast would also take Java's '1d', '1f' or '0x1p3'.
-FINITE_TEXT = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+# A bare cast would also take Java's '1d', '1f' and '0x1p3' and the words for infinity
+# and NaN. All of those, and no plain number, hold one of these letters.
+LETTERS_OF_NO_NUMBER = "dDfFxXnN"
 INFINITE_TEXT = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 
 
@@ -42,10 +45,15 @@ def is_missing(text: Column) -> Column:
 
 
 def number_or_null(text: Column) -> Column:
-    """The double a cell stands for; null for missing and for any other text."""
+    """The double a cell stands for; null for missing and for any other text.
+
+    Plain numbers pass byte searches and one cast. The pattern match, which needs
+    a Java string per cell, is left to cells with suspicious letters.
+    """
     infinite = F.when(text.contains("-"), float("-inf")).otherwise(float("inf"))
-    return F.when(text.rlike(FINITE_TEXT), text.try_cast("double")).when(
-        text.rlike(INFINITE_TEXT), infinite
+    suspicious = reduce(lambda a, b: a | b, [text.contains(c) for c in LETTERS_OF_NO_NUMBER])
+    return F.when(suspicious, F.when(text.rlike(INFINITE_TEXT), infinite)).otherwise(
+        F.when(text != "", text.try_cast("double"))
     )
 
 

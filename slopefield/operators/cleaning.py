@@ -24,9 +24,8 @@ COLUMN_EXAMPLES = 10
 MISSING, NUMBER, BOOLEAN, TEXT = range(4)
 
 
-def cell_number(df: DataFrame, name: str) -> Column:
+def cell_number(kind: T.DataType, cell: Column) -> Column:
     """The double a cell spells out; null for anything but a number."""
-    cell, kind = F.col(quoted(name)), df.schema[name].dataType
     if isinstance(kind, T.StringType):
         return number_or_null(cell)
     if isinstance(kind, T.NumericType):
@@ -35,8 +34,7 @@ def cell_number(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def _truth_value(df: DataFrame, name: str) -> Column:
-    cell, kind = F.col(quoted(name)), df.schema[name].dataType
+def _truth_value(kind: T.DataType, cell: Column) -> Column:
     if isinstance(kind, T.StringType):
         return boolean_or_null(cell)
     if isinstance(kind, T.BooleanType):
@@ -44,8 +42,7 @@ def _truth_value(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def _is_absent(df: DataFrame, name: str) -> Column:
-    cell, kind = F.col(quoted(name)), df.schema[name].dataType
+def _is_absent(kind: T.DataType, cell: Column) -> Column:
     if isinstance(kind, T.StringType):
         return is_missing(cell)
     if isinstance(kind, T.NumericType):
@@ -55,7 +52,8 @@ def _is_absent(df: DataFrame, name: str) -> Column:
 
 def cell_value(df: DataFrame, name: str) -> Column:
     """The double a cell stands for, truth values as 1 and 0; null for none."""
-    return F.coalesce(cell_number(df, name), _truth_value(df, name))
+    kind, cell = df.schema[name].dataType, F.col(quoted(name))
+    return F.coalesce(cell_number(kind, cell), _truth_value(kind, cell))
 
 
 def numeric_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -91,25 +89,27 @@ def column_profile(
     and partial aggregation leaves one record per column and task to shuffle.
     ``flag`` is counted alongside (as ``flagged``).
     """
-    # Numbers first and by themselves: the costly parse then runs once per cell.
+    # Numbers first and by themselves: the parse then runs once per cell, and the
+    # other kinds are looked up only for cells that are no number.
     numbers = range(len(columns))
+    types = [df.schema[c].dataType for c in columns]
     parsed = df.select(
         (F.lit(False) if flag is None else flag).alias("flag"),
-        *[cell_number(df, c).alias(f"number_{j}") for j, c in enumerate(columns)],
-        *[_truth_value(df, c).alias(f"truth_{j}") for j, c in enumerate(columns)],
-        *[_is_absent(df, c).alias(f"absent_{j}") for j, c in enumerate(columns)],
+        *[F.col(quoted(c)).alias(f"cell_{j}") for j, c in enumerate(columns)],
+        *[cell_number(types[j], F.col(quoted(c))).alias(f"number_{j}") for j, c in enumerate(columns)],
     )
+    truths = [_truth_value(types[j], F.col(f"cell_{j}")) for j in numbers]
     kinds = [
         F.when(F.col(f"number_{j}").isNotNull(), NUMBER)
-        .when(F.col(f"absent_{j}"), MISSING)
-        .when(F.col(f"truth_{j}").isNotNull(), BOOLEAN)
+        .when(_is_absent(types[j], F.col(f"cell_{j}")), MISSING)
+        .when(truths[j].isNotNull(), BOOLEAN)
         .otherwise(TEXT)
         for j in numbers
     ]
     values = parsed.select(
         "flag",
         *[k.alias(f"kind_{j}") for j, k in enumerate(kinds)],
-        *[F.coalesce(f"number_{j}", f"truth_{j}").alias(f"value_{j}") for j in numbers],
+        *[F.coalesce(F.col(f"number_{j}"), truths[j]).alias(f"value_{j}") for j in numbers],
     )
     keep = reduce(lambda a, b: a & b, [_is_finite(F.col(f"value_{j}")) for j in numbers])
     cells = [
@@ -145,6 +145,11 @@ def column_profile(
         F.element_at(names, F.col("j") + 1).alias("column"),
         *[c for c in counts.columns if c != "j"],
         (plain | all_boolean).alias("is_numeric"),
+        (
+            F.col("kept_whole")
+            & (F.col("kept") > 2)
+            & (F.col("kept_max") - F.col("kept_min") + 1 == F.col("kept"))
+        ).alias("may_be_id"),
     )
 
 
@@ -176,8 +181,9 @@ def _first_values(distinct_values: DataFrame, k: int) -> DataFrame:
 
 def label_texts(df: DataFrame, label: str, k: int = LABEL_EXAMPLES) -> DataFrame:
     """The first ``k`` distinct non-missing label texts in sorted order."""
-    cell = F.col(quoted(label)).cast("string")
-    texts = df.where(~_is_absent(df, label)).select(cell.alias("value")).distinct()
+    cell = F.col(quoted(label))
+    present = df.where(~_is_absent(df.schema[label].dataType, cell))
+    texts = present.select(cell.cast("string").alias("value")).distinct()
     return _first_values(texts, k)
 
 
@@ -203,8 +209,7 @@ def label_classes(df: DataFrame, label: str) -> DataFrame:
 
 def id_candidates(profile: DataFrame) -> DataFrame:
     """Columns whose kept values are whole and span exactly as many numbers as there are rows."""
-    span = F.col("kept_max") - F.col("kept_min") + 1
-    return profile.where(F.col("kept_whole") & (F.col("kept") > 2) & (span == F.col("kept")))
+    return profile.where("may_be_id")
 
 
 def likely_ids(clean: DataFrame, candidates: Sequence[str]) -> DataFrame:

@@ -14,7 +14,6 @@ from slopefield.operators.cleaning import (
     column_profile,
     drop_missing,
     examples_text,
-    id_candidates,
     label_texts,
     likely_ids,
 )
@@ -58,7 +57,7 @@ def _as_raw(table: DataFrame | RawTable) -> RawTable:
 
 def _profile_rows(raw: RawTable) -> list[Row]:
     """One row per column: bounded by the width of the table."""
-    extra = F.col(EXTRA_CELLS).isNotNull() if EXTRA_CELLS in raw.df.columns else None
+    extra = F.col(EXTRA_CELLS) if EXTRA_CELLS in raw.df.columns else None
     return column_profile(raw.df, raw.columns, extra).orderBy("j").collect()
 
 
@@ -140,8 +139,6 @@ def clean_table(table: DataFrame | RawTable, label: str) -> CleanTable:
 
     clean = drop_missing(raw.df, raw.columns)
     features = [c for c in raw.columns if c != label]
-    spark = raw.df.sparkSession
-    candidates = {r["column"] for r in id_candidates(spark.createDataFrame(profile)).collect()}
-    ordered = [c for c in features if c in candidates]
-    ids = [r["column"] for r in likely_ids(clean, ordered).orderBy("j").collect()]
+    candidates = [p["column"] for p in profile if p["may_be_id"] and p["column"] != label]
+    ids = [r["column"] for r in likely_ids(clean, candidates).orderBy("j").collect()] if candidates else []
     return CleanTable(clean, label, rows_in, rows, features, list(raw.ignored_columns), ids)

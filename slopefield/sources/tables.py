@@ -23,8 +23,9 @@ LABEL_NAMES = ("label", "target", "y", "class", "outcome")
 BYTE_ORDER_MARK = "﻿"
 REPLACEMENT = "�"  # what a byte that is not UTF-8 decodes to
 
-# Takes the cells of a row beyond the header's width.
+# True for a row with more cells than the header; null or false otherwise.
 EXTRA_CELLS = "__cells_beyond_header"
+MALFORMED = "__malformed_line"
 
 
 @dataclass(frozen=True)
@@ -137,8 +138,19 @@ def read_table(spark: SparkSession, path: str | list[str], sep: str | None = Non
     if repeated:
         raise DataError(f"The header names these columns more than once: {', '.join(repeated)}.")
     names = [c or f"__blank_{i}" for i, c in enumerate(cells)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, EXTRA_CELLS]])
-    rows = _reader(spark, sep, "PERMISSIVE").option("header", "true").schema(schema).csv(path)
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, MALFORMED]])
+    rows = (
+        _reader(spark, sep, "PERMISSIVE")
+        .option("header", "true")
+        .option("columnNameOfCorruptRecord", MALFORMED)
+        .schema(schema)
+        .csv(path)
+    )
+    # The reader keeps lines of another width aside, so only those are looked at
+    # again: a short one lacks values, a long one is a fault.
+    wider = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    beyond = F.from_csv(MALFORMED, wider, {"sep": sep}).getField(f"c{len(names)}").isNotNull()
     ignored = [f"Unnamed: {i}" for i, c in enumerate(cells) if not c]
     kept = [n for n, c in zip(names, cells, strict=True) if c]
-    return RawTable(rows.select(*[F.col(quoted(n)) for n in kept], EXTRA_CELLS), ignored)
+    extra = F.when(F.col(MALFORMED).isNotNull(), beyond).otherwise(False)
+    return RawTable(rows.select(*[F.col(quoted(n)) for n in kept], extra.alias(EXTRA_CELLS)), ignored)
