@@ -251,7 +251,7 @@ def q_compare_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_fit_vs_mllib(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = documents(spark, sf_dir)
-    fit = fit_logistic(source, "y", DOC_FEATURES, max_iter=200, path="columns")
+    fit = fit_logistic(source, "y", DOC_FEATURES, max_iter=100, path="columns")
     design = moments.standardize(source, "y", DOC_FEATURES, fit.scale)
     return compare_with_reference(design, fit.weights, max_rows=100_000)
 

@@ -82,10 +82,13 @@ def gradient_at_points(design: DataFrame, points: Sequence[Sequence[float]]) ->
 
 
 def gradient_from_blocks(blocks: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """Sums from packed blocks: one partial row per partition, then a Spark sum.
+    """Sums from packed blocks: one partial row per partition, then a Spark sum."""
+    partials = block_partials(blocks, weights)
+    return partials.selectExpr(*[f"sum({name}) AS {name}" for name in partials.columns])
 
-    An empty partition contributes zeros.
-    """
+
+def block_partials(blocks: DataFrame, weights: Sequence[float]) -> DataFrame:
+    """One row ``(g0 .. gd, loss, n)`` per partition; zeros from an empty one."""
     w = np.asarray(weights, dtype=np.float64)
     width = len(w)
     names = [f"g{j}" for j in range(width)] + ["loss", "n"]
@@ -106,8 +109,7 @@ def gradient_from_blocks(blocks: DataFrame, weights: Sequence[float]) -> DataFra
         yield pa.RecordBatch.from_arrays([*values, pa.array([count], pa.int64())], names=names)
 
     schema = ", ".join(f"{name} double" for name in names[:-1]) + ", n long"
-    partials = blocks.mapInArrow(partial, schema)
-    return partials.selectExpr(*[f"sum({name}) AS {name}" for name in names])
+    return blocks.mapInArrow(partial, schema)
 
 
 def mean_gradient(sums: DataFrame) -> DataFrame:

@@ -83,6 +83,13 @@ def test_first_loss_is_ln_2_and_fit_equals_numpy(data):
     assert np.allclose(vectors.weights, w, rtol=1e-9, atol=1e-9)
 
 
+def test_driver_and_spark_sums_agree(data, monkeypatch):
+    near = fit_logistic(data[0], "y", FEATURES, max_iter=5, tol=0.0)
+    monkeypatch.setattr("slopefield.plans.fit.DRIVER_SUM_LIMIT", 0)
+    far = fit_logistic(data[0], "y", FEATURES, max_iter=5, tol=0.0)
+    assert np.allclose(near.weights, far.weights, rtol=0, atol=1e-12)
+
+
 def test_stopping_rule(spark, data):
     df, x, y = data
     _, losses = descent(x, y, 200)
