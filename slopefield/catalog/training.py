@@ -126,7 +126,9 @@ def q_sigmoid_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_footprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.footprint(lines(spark, sf_dir), D).selectExpr("rows", "features", rounded("gb", 9))
+    return layout.footprint(lines(spark, sf_dir), D).selectExpr(
+        "rows", "features", rounded("gb", 9), "small"
+    )
 
 
 def q_block_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +340,7 @@ SQL = {
     "CASE WHEN user_id % 2 = 0 THEN 8.0 ELSE -8.0 END::DOUBLE))) AS p FROM events) "
     "SELECT event_id, round(p, 8) + 0.0 AS p, p = 0 OR p = 1 AS saturated FROM s",
     "footprint": f"SELECT count(*) AS rows, {D} AS features, "
-    f"round(count(*) * {(D + 2) * 8}::DOUBLE / 1e9, 9) + 0.0 AS gb FROM lineitem",
+    f"round(count(*) * {(D + 2) * 8}::DOUBLE / 1e9, 9) + 0.0 AS gb, count(*) < 100000 AS small FROM lineitem",
     "block_sizes": "SELECT count(*) AS rows, true AS within_bound, true AS covers_all FROM lineitem",
     "partition_counts": "SELECT 'repartition' AS layout, true AS as_asked, count(*) AS rows, true AS even "
     "FROM lineitem UNION ALL SELECT 'coalesce', true, count(*), true FROM lineitem",

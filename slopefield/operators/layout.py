@@ -19,6 +19,9 @@ MAX_BLOCK_ROWS = 16_384
 # collector's large-object path.
 BLOCK_BYTES = 1 << 20
 
+# Below this many rows fixed costs dominate and a scaling measurement says little.
+SMALL_DATA_ROWS = 100_000
+
 BLOCK_SCHEMA = "k long, y binary, x binary"
 
 
@@ -59,6 +62,7 @@ def footprint(df: DataFrame, feature_count: int) -> DataFrame:
         "rows",
         F.lit(feature_count).alias("features"),
         (F.col("rows") * F.lit(per_row)).alias("gb"),
+        (F.col("rows") < SMALL_DATA_ROWS).alias("small"),
     )
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Below this many rows fixed costs dominate and a scaling measurement says little.
-SMALL_DATA_ROWS = 100_000
 # A big machine up to this factor slower than the cluster is preferred for simplicity.
 BIG_MACHINE_TOLERANCE = 1.1
 
