@@ -32,21 +32,27 @@ def _filter_bits(hashes: np.ndarray, blocks: int, probes: int) -> tuple[np.ndarr
     return block.astype(np.int64), bits.astype(np.uint16)
 
 
-def repeated_bits(
-    hashes: DataFrame, rows: int, bits_per_row: int, max_filter_bits: int, probes: int = 2
-) -> tuple[np.ndarray, int]:
-    """The filter of possibly repeated hashes as packed bits, and its number of blocks.
-
-    Its size follows the rows up to ``max_filter_bits``, which bounds what is sent to
-    the tasks; a fuller filter only lets more rows take part in the shuffle.
+def repeated_bits_of(
+    rows: DataFrame,
+    hashes_of: Callable,
+    expected: int,
+    bits_per_hash: int,
+    max_filter_bits: int,
+    probes: int = 2,
+) -> Callable[[np.ndarray], np.ndarray]:
+    """Pass 1: a function telling which hashes (uint64) may occur more than once.
+
+    ``hashes_of`` turns the Arrow batches of a task into arrays of hashes. The filter
+    follows the ``expected`` hashes up to ``max_filter_bits``, which bounds what is sent
+    to the tasks; a fuller filter only lets more rows take part in the later shuffle.
     """
     import pyarrow as pa
 
-    size = min(max(rows * bits_per_row, BLOCK_BITS), max_filter_bits)
+    size = min(max(expected * bits_per_hash, BLOCK_BITS), max_filter_bits)
     blocks = 1 << (max(1, -(-size // BLOCK_BITS)) - 1).bit_length()
 
     def noted(batches):
-        found = [b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches]
+        found = list(hashes_of(batches))
         values, counts = np.unique(
             np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True
         )
@@ -68,48 +74,54 @@ def repeated_bits(
         )
 
     def merged(key, rows_of_block):
+        import pandas as pd
+
         seen, again = np.zeros(BLOCK_BITS, bool), np.zeros(BLOCK_BITS, bool)
         for once, twice in zip(rows_of_block["once"], rows_of_block["twice"]):
             mine = np.unique(np.frombuffer(once, np.uint16))
             again[mine[seen[mine]]] = True
             again[np.frombuffer(twice, np.uint16)] = True
             seen[mine] = True
-        import pandas as pd
-
         return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(again).tobytes()]})
 
     parts = (
-        hashes.mapInArrow(noted, "block long, once binary, twice binary")
+        rows.mapInArrow(noted, "block long, once binary, twice binary")
         .groupBy("block")
         .applyInPandas(merged, "block long, bits binary")
     )
-    out = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-    for row in parts.toLocalIterator():
-        out[row.block] = np.frombuffer(row.bits, np.uint8)
-    return out, blocks
+    bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
+    for row in parts.collect():
+        bits[row.block] = np.frombuffer(row.bits, np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def looked_up(hashes: np.ndarray) -> np.ndarray:
+        block, bit = _filter_bits(hashes, blocks, probes)
+        found = np.ones(len(block), bool)
+        for k in range(probes):
+            byte = shared.value[block, bit[:, k] >> 3]
+            found &= (byte >> (7 - (bit[:, k] & 7)).astype(np.uint8)) & 1 == 1
+        return found
+
+    return looked_up
 
 
 def possibly_repeated(
     digests: DataFrame, column: str, bits_per_row: int, max_filter_bits: int
 ) -> Column:
     """True for every row whose hash occurs again, false for nearly all others."""
-    probes = 2
-    bits, blocks = repeated_bits(
-        digests.select(column), digests.count(), bits_per_row, max_filter_bits, probes
+
+    def hashes_of(batches):
+        return (b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) for b in batches)
+
+    maybe = repeated_bits_of(
+        digests.select(column), hashes_of, digests.count(), bits_per_row, max_filter_bits
     )
-    shared = digests.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def looked_up(hashes):
         import pandas as pd
 
-        block, bit = _filter_bits(hashes.to_numpy().view(np.uint64), blocks, probes)
-        table = shared.value
-        found = np.ones(len(block), bool)
-        for k in range(probes):
-            byte = table[block, bit[:, k] >> 3]
-            found &= (byte >> (7 - (bit[:, k] & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(found)
+        return pd.Series(maybe(hashes.to_numpy().view(np.uint64)))
 
     return looked_up(F.col(column))
 

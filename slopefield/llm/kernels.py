@@ -159,3 +159,29 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     rim = np.zeros(width - 1, np.uint64)
     reached = _sliding(np.concatenate([rim, smallest, rim]), width, np.maximum, 0)
     return np.flatnonzero(reached == values)
+
+
+def gathered(
+    data: np.ndarray, starts: np.ndarray, ends: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the given ranges laid end to end."""
+    lengths = ends - starts
+    offsets = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    where = np.repeat(starts - offsets[:-1], lengths) + np.arange(offsets[-1])
+    return data[where], offsets
+
+
+def binary_column(data: np.ndarray, offsets: np.ndarray, kind=None):
+    """An Arrow binary (or string) array over given bytes and byte offsets."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(
+        kind or pa.binary(),
+        len(offsets) - 1,
+        [
+            None,
+            pa.py_buffer(np.ascontiguousarray(offsets, np.int32)),
+            pa.py_buffer(np.ascontiguousarray(data)),
+        ],
+    )

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from slopefield.llm import exact_dedup, warc
+from pyspark.sql import functions as F
+
+from slopefield.llm import decontamination, exact_dedup, jaccard_join, warc
 from slopefield.llm.common import table
 
+# Lower-casing of A-Z alone.
+UPPER, LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'"
+
 DIGEST_COLUMNS = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -13,6 +18,21 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark, sf_dir):
+    """Words of documents inside any 10-word window of a benchmark item."""
+    return decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op6_jaccard_join(spark, sf_dir):
+    """Components of documents whose 4-word shingle sets overlap by 85 percent."""
+    found = jaccard_join.similar_documents(
+        table(spark, sf_dir, "documents"), words=4, percent=85
+    )
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_warc(spark, sf_dir):
     """Pages written as WARC archives and read back."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -22,6 +42,8 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op6_jaccard_join": op6_jaccard_join,
     "op10_warc": op10_warc,
 }
 
@@ -30,6 +52,58 @@ SQL = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op4_decontamination": """
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}, {lower}),
+                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item,
+                   regexp_extract_all(translate(coalesce(text, ''), {upper}, {lower}),
+                   '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+        bw AS (
+            SELECT DISTINCT item, w[i:i + least(len(w), 10) - 1] AS g
+            FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b
+                  WHERE len(w) > 0)),
+        dw AS (
+            SELECT doc_id, i, n, w[i:i + n - 1] AS g
+            FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+                  FROM d, (SELECT DISTINCT len(g) AS n FROM bw) WHERE len(w) >= n)),
+        hits AS (SELECT doc_id, i, n, item FROM dw JOIN bw USING (g)),
+        words AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit
+            FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+        items AS (
+            SELECT doc_id, count(DISTINCT item) AS n_items,
+                   string_agg(DISTINCT item, ',' ORDER BY item) AS names
+            FROM hits GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+               coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+               n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""".format(
+        upper=UPPER, lower=LOWER
+    ),
+    "op6_jaccard_join": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {upper}, {lower}),
+                   '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, w[i:i + least(len(w), 4) - 1] AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d
+                  WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        links AS (
+            SELECT a, b FROM (
+                SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g)
+                WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+            JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+            WHERE 100 * c >= 85 * (p.n + q.n - c)),
+        reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM d
+            UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id
+        FROM d LEFT JOIN n USING (doc_id)
+        JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
+        """.format(upper=UPPER, lower=LOWER),
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
