@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slopefield.llm import decontamination, exact_dedup, jaccard_join, warc
+from slopefield.llm import decontamination, exact_dedup, jaccard_join, token_records, warc
 from slopefield.llm.common import table
 
 # Lower-casing of A-Z alone.
@@ -18,6 +18,17 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_token_records(spark, sf_dir):
+    """Token ids of all documents written as binary records in id order and read back."""
+    import public_tokenizers
+
+    files = token_records.write_records(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2
+    )
+    read = token_records.read_records(files, with_ids=False)
+    return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op4_decontamination(spark, sf_dir):
     """Words of documents inside any 10-word window of a benchmark item."""
     return decontamination.contamination(
@@ -42,6 +53,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_token_records": op2_token_records,
     "op4_decontamination": op4_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op10_warc": op10_warc,
