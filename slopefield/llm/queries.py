@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from slopefield.llm import decontamination, exact_dedup, jaccard_join, token_records, warc
+from slopefield.llm import (
+    decontamination,
+    exact_dedup,
+    jaccard_join,
+    token_records,
+    toxicity,
+    warc,
+)
 from slopefield.llm.common import table
 
 # Lower-casing of A-Z alone.
@@ -44,6 +51,14 @@ def op6_jaccard_join(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document, learnt from the labels that are not held out."""
+    scores = toxicity.toxicity_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+    return scores.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 def op10_warc(spark, sf_dir):
     """Pages written as WARC archives and read back."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -56,6 +71,7 @@ QUERIES = {
     "op2_token_records": op2_token_records,
     "op4_decontamination": op4_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op10_warc": op10_warc,
 }
 
