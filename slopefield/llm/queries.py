@@ -8,6 +8,7 @@ from slopefield.llm import (
     decontamination,
     exact_dedup,
     jaccard_join,
+    language_id,
     token_records,
     toxicity,
     warc,
@@ -36,6 +37,16 @@ def op2_token_records(spark, sf_dir):
     return read.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
+def op3_language_id(spark, sf_dir):
+    """Language of every document, learnt from the rows that are not held out."""
+    import public_tokenizers
+
+    found = language_id.identify(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+    return found.select(F.col("id").alias("doc_id"), "held_out", "lang_pred", "score")
+
+
 def op4_decontamination(spark, sf_dir):
     """Words of documents inside any 10-word window of a benchmark item."""
     return decontamination.contamination(
@@ -69,6 +80,7 @@ def op10_warc(spark, sf_dir):
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_records": op2_token_records,
+    "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
