@@ -98,8 +98,8 @@ def _expected_counts(
                 alpha, beta = L.forward(edges, weights), L.backward(edges, weights)
                 mass = alpha[edges.last]
                 share = np.divide(count, mass, out=np.zeros_like(count), where=mass > 0)
-                word = np.searchsorted(edges.last, edges.target)
-                flow = alpha[edges.source] * weights[edges.piece] * beta[edges.target] * share[word]
+                flow = alpha[edges.source] * weights[edges.piece] * beta[edges.target]
+                flow *= share[edges.word]
                 for k in range(len(languages)):
                     total[:, k] += np.bincount(edges.piece, flow[:, k], len(pieces))
         p, k = np.nonzero(total > 1e-6)

@@ -25,6 +25,7 @@ class Edges:
     source: np.ndarray
     target: np.ndarray
     piece: np.ndarray
+    word: np.ndarray
     steps: np.ndarray  # edges of distance t are steps[t] .. steps[t + 1]
     first: np.ndarray  # start node of each word
     last: np.ndarray  # end node of each word
@@ -109,6 +110,7 @@ class PieceTable:
             source[order],
             target[order],
             piece[order],
+            owner[order],
             np.concatenate([[0], np.cumsum(counts)]),
             offsets[:-1] + words,
             offsets[1:] + words,
@@ -147,10 +149,7 @@ def backward(edges: Edges, weights: np.ndarray) -> np.ndarray:
     """Per node and column, the sum over all segmentations from it to the word's end."""
     beta = np.zeros((edges.nodes, weights.shape[1]))
     beta[edges.last] = 1.0
-    start_of = np.zeros(edges.nodes, np.int64)
-    start_of[edges.first] = edges.first
-    start_of = np.maximum.accumulate(start_of)
-    distance = edges.source - start_of[edges.source]
+    distance = edges.source - edges.first[edges.word]
     order = np.argsort(-distance * np.int64(edges.nodes + 1) + edges.source, kind="stable")
     source, target, piece = edges.source[order], edges.target[order], edges.piece[order]
     distance = distance[order]

@@ -9,6 +9,7 @@ from slopefield.llm import (
     exact_dedup,
     jaccard_join,
     language_id,
+    piece_lattice,
     token_records,
     toxicity,
     warc,
@@ -54,6 +55,21 @@ def op4_decontamination(spark, sf_dir):
     )
 
 
+def op5_sentencepiece(spark, sf_dir):
+    """The four best segmentations of every document, and whether the best decodes to it."""
+    import public_tokenizers
+
+    found = piece_lattice.encode_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+        n_best=4,
+        with_ids=False,
+    )
+    return found.select(
+        F.col("id").alias("doc_id"), "n_pieces", "scores", "ids_crc32", "restored"
+    )
+
+
 def op6_jaccard_join(spark, sf_dir):
     """Components of documents whose 4-word shingle sets overlap by 85 percent."""
     found = jaccard_join.similar_documents(
@@ -82,6 +98,7 @@ QUERIES = {
     "op2_token_records": op2_token_records,
     "op3_language_id": op3_language_id,
     "op4_decontamination": op4_decontamination,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op10_warc": op10_warc,
