@@ -1,21 +1,72 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``: five stages, each over all that came before.
+
+    toxicity        documents whose score is 0.5 or more go
+    exact_dedup     of equal texts the row with the largest doc_id stays
+    jaccard_join    of each group of near copies (five-word shingles, similarity 0.8 or
+                    more, through chains of links) the row with the smallest doc_id stays
+    decontaminate   documents with a word inside any window of a benchmark item go
+    sentencepiece   the rows that are left, with the ids of their best segmentation
+
+Each stage is written as Parquet to the shared folder and read again before the next: a
+lost executor costs a stage's tasks, not the pipeline. Stages tell the rows of their input
+apart by their place in that stored table, so that null or repeated ids do no harm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slopefield.llm import exact_dedup
+from slopefield.llm import decontamination, exact_dedup, jaccard_join, piece_lattice, toxicity
 from slopefield.llm.common import stored, table
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays."""
+def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of a stored table whose place (``row``) is not among the rejected."""
+    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+    gone = rejected.select(F.col("row").alias("_gone"))
+    return placed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
+    return _without(docs, stored(scores.where("predicted = 1").select("row"), "toxic"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_duplicates(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = jaccard_join.similar_documents(docs)
+    return _without(docs, stored(found.where("NOT kept").select("row"), "near-copies"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    placed = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    found = decontamination.contamination(placed, table(spark, sf_dir, "benchmark"), id_col="row")
+    return _without(docs, stored(found.where("contaminated").select("row"), "contaminated"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = piece_lattice.encode_documents(
+        docs, public_tokenizers.path("piece_bpe_32k.model"), n_best=1
+    )
+    return found.select(F.col("id").alias("doc_id"), "n_pieces", "pieces", "restored")
+
+
 STAGES = [
-    ("exact_dedup", exact),
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_exact_copies),
+    ("jaccard_join", drop_near_copies),
+    ("decontaminate", drop_contaminated),
+    ("sentencepiece", encode),
 ]
+
+# The first stage learns a model and the last follows a vocabulary: no SQL. The tests hold
+# every stage against a brute-force version instead.
 ORACLE_SQL = None
 
 

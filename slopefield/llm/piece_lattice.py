@@ -39,6 +39,8 @@ from slopefield.llm.common import text_of
 SPACE = "▁"
 _MARK = SPACE.encode()
 SLICE = 1 << 20
+# Fixed value: the score of pieces that a model was given rather than learnt.
+ADDED_SCORE = -1e9
 
 
 class PieceModel:
@@ -70,8 +72,9 @@ class PieceModel:
             ordinary.append((raw, k))
         if (self.byte_ids < 0).any():
             raise ValueError("the model has no byte pieces")
-        # Byte pieces have no score of their own: each costs more than any ordinary piece.
-        self.worst = float(min(self.scores[k] for _, k in ordinary)) - 1.0
+        # Byte pieces have no score of their own: each costs more than any learnt piece.
+        learnt = [self.scores[k] for _, k in ordinary if self.scores[k] > ADDED_SCORE]
+        self.worst = float(min(learnt)) - 1.0
         for byte in range(256):
             self.scores[self.byte_ids[byte]] = self.worst
         self.pieces = dict(ordinary)
