@@ -9,6 +9,7 @@ from slopefield.llm import (
     exact_dedup,
     jaccard_join,
     language_id,
+    license_scan,
     piece_lattice,
     token_records,
     toxicity,
@@ -86,6 +87,22 @@ def op7_toxicity(spark, sf_dir):
     return scores.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
 
 
+def op8_license_scan(spark, sf_dir):
+    """Licences of documents as files of a tree: source / language / number.
+
+    Every tenth document is a licence file, of a directory higher up the rarer it is.
+    """
+    path = """CASE WHEN doc_id % 250 = 0 THEN concat(source, '/LICENSE-', doc_id)
+                   WHEN doc_id % 50 = 0 THEN concat(source, '/', lang, '/LICENSE-', doc_id)
+                   WHEN doc_id % 10 = 0
+                   THEN concat(source, '/', lang, '/', doc_id DIV 500, '/LICENSE-', doc_id)
+                   ELSE concat(source, '/', lang, '/', doc_id DIV 500, '/', doc_id, '.txt') END"""
+    files = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id AS id", f"{path} AS path", "text", "doc_id % 10 = 0 AS licence_file"
+    )
+    return license_scan.scan(files).withColumnRenamed("id", "doc_id")
+
+
 def op10_warc(spark, sf_dir):
     """Pages written as WARC archives and read back."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -101,6 +118,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
+    "op8_license_scan": op8_license_scan,
     "op10_warc": op10_warc,
 }
 
@@ -161,6 +179,66 @@ SQL = {
         FROM d LEFT JOIN n USING (doc_id)
         JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) USING (doc_id)
         """.format(upper=UPPER, lower=LOWER),
+    "op8_license_scan": """
+        WITH f AS (
+            SELECT doc_id, coalesce(text, '') AS text, doc_id % 10 = 0 AS licence_file,
+                   CASE WHEN doc_id % 250 = 0 THEN source || '/LICENSE-' || doc_id
+                        WHEN doc_id % 50 = 0 THEN source || '/' || lang || '/LICENSE-' || doc_id
+                        WHEN doc_id % 10 = 0
+                        THEN source || '/' || lang || '/' || (doc_id // 500) || '/LICENSE-' || doc_id
+                        ELSE source || '/' || lang || '/' || (doc_id // 500) || '/' || doc_id || '.txt'
+                   END AS path FROM documents),
+        l AS (
+            SELECT doc_id, licence_file, list_transform(list_filter(string_split(text, chr(10)),
+                   lambda x: regexp_matches(x, '{mention}')), lambda x: trim(x)) AS lines
+            FROM f WHERE regexp_matches(text, '{mention}')),
+        m AS (
+            SELECT doc_id, unnest(lines) AS passage FROM l
+            UNION ALL SELECT doc_id, array_to_string(lines, ' ') FROM l
+            WHERE licence_file AND len(lines) > 1),
+        c AS (SELECT passage, count(*) AS copies FROM m GROUP BY passage),
+        p AS (
+            SELECT DISTINCT passage, copies, unnest(regexp_extract_all(lower(passage),
+                   '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS word FROM c),
+        n AS (SELECT coalesce(sum(copies), 0) AS total FROM c),
+        w AS (SELECT word, sum(copies) AS df FROM p GROUP BY word),
+        t AS (
+            SELECT DISTINCT licence, unnest(regexp_extract_all(lower(notice),
+                   '[a-z0-9]+(?:[.-][a-z0-9]+)*')) AS word
+            FROM (VALUES {templates}) AS v(licence, notice)),
+        ts AS (
+            SELECT licence, word, pow(ln((1.0 + total) / (1.0 + coalesce(df, 0))) + 1.0, 2) AS sq
+            FROM t LEFT JOIN w USING (word) CROSS JOIN n),
+        ps AS (
+            SELECT passage, word, pow(ln((1.0 + total) / (1.0 + df)) + 1.0, 2) AS sq
+            FROM p JOIN w USING (word) CROSS JOIN n),
+        tn AS (SELECT licence, sqrt(sum(sq)) AS norm FROM ts GROUP BY licence),
+        pn AS (SELECT passage, sqrt(sum(sq)) AS norm FROM ps GROUP BY passage),
+        s AS (
+            SELECT passage, licence, round(sum(ps.sq) / (any_value(pn.norm) * any_value(tn.norm)), 6)
+                   AS cosine
+            FROM ps JOIN t USING (word) JOIN pn USING (passage) JOIN tn USING (licence)
+            GROUP BY passage, licence),
+        o AS (
+            SELECT doc_id, licence AS own_licence, cosine FROM m JOIN s USING (passage)
+            WHERE cosine >= 0.6
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) = 1),
+        g AS (SELECT *, regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder FROM f),
+        offers AS (
+            SELECT folder AS directory, min(own_licence) AS offered
+            FROM g JOIN o USING (doc_id) WHERE licence_file GROUP BY folder),
+        up AS (
+            SELECT g.doc_id, offered, directory
+            FROM g JOIN offers ON g.folder = directory OR starts_with(g.folder, directory || '/')
+            QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length(directory) DESC) = 1)
+        SELECT g.doc_id, own_licence, cosine, coalesce(own_licence, offered) AS licence,
+               CASE WHEN own_licence IS NOT NULL THEN 'own'
+                    WHEN offered IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+               CASE WHEN own_licence IS NULL THEN directory END AS directory
+        FROM g LEFT JOIN o USING (doc_id) LEFT JOIN up USING (doc_id)""".format(
+        mention=license_scan.MENTION,
+        templates=", ".join(f"('{k}', '{v}')" for k, v in license_scan.TEMPLATES.items()),
+    ),
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
