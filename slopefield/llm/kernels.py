@@ -134,7 +134,7 @@ def distinct_shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(gram_hashes(hashes, n))
 
 
-def _sliding(values: np.ndarray, width: int, best: np.ufunc, worst: int) -> np.ndarray:
+def sliding(values: np.ndarray, width: int, best: np.ufunc, worst: int) -> np.ndarray:
     """best() of each ``width`` consecutive values, by running bests within blocks of that width."""
     blocks = -(-len(values) // width)
     grid = np.full(blocks * width, worst, np.uint64)
@@ -154,10 +154,10 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """
     if len(values) < width:
         return np.zeros(0, np.int64)
-    smallest = _sliding(values, width, np.minimum, _MASK)
+    smallest = sliding(values, width, np.minimum, _MASK)
     # No window over a position has a minimum above its value: picked if one reaches it.
     rim = np.zeros(width - 1, np.uint64)
-    reached = _sliding(np.concatenate([rim, smallest, rim]), width, np.maximum, 0)
+    reached = sliding(np.concatenate([rim, smallest, rim]), width, np.maximum, 0)
     return np.flatnonzero(reached == values)
 
 
@@ -185,3 +185,9 @@ def binary_column(data: np.ndarray, offsets: np.ndarray, kind=None):
             pa.py_buffer(np.ascontiguousarray(data)),
         ],
     )
+
+
+def with_end(batches) -> Iterator:
+    """The batches and a None behind the last."""
+    yield from batches
+    yield None

@@ -11,6 +11,7 @@ from slopefield.llm import (
     language_id,
     license_scan,
     piece_lattice,
+    suffix_dedup,
     token_records,
     toxicity,
     warc,
@@ -103,6 +104,14 @@ def op8_license_scan(spark, sf_dir):
     return license_scan.scan(files).withColumnRenamed("id", "doc_id")
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    """Bytes of documents left when every 200-byte string that repeats is removed."""
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256"
+    )
+
+
 def op10_warc(spark, sf_dir):
     """Pages written as WARC archives and read back."""
     archives = warc.write_archives(table(spark, sf_dir, "pages"))
@@ -119,6 +128,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_toxicity": op7_toxicity,
     "op8_license_scan": op8_license_scan,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
 }
 
