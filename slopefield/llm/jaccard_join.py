@@ -8,10 +8,13 @@ descends through regions:
 2. *Slices.* Shingles fall by hash into slices; a point's part of a slice is its
    projection, and the distinct projections are the pivots of that slice's Voronoi
    regions. Points within the radius differ in at most D shingles, so among more than D
-   filled slices one holds no difference: the pair meets in a region of radius 0. Points
-   with too few filled slices (rare) meet by single shingles instead. The number of
-   slices follows the size of the union, in overlapping bands. A Bloom filter of
-   repeated regions keeps lone regions, nearly all, from being shuffled.
+   filled slices one holds no difference: the pair meets in a region of radius 0. A point
+   takes part in its fullest slices only, by the highest filling that still leaves more
+   than D of them: of two points the one with the higher limit shares an unchanged slice
+   that the other's lower limit admits too. Points with too few filled slices (rare) meet
+   by single shingles instead. The number of slices follows the size of the union, in
+   overlapping bands. A Bloom filter of repeated regions keeps lone regions, nearly all,
+   from being shuffled.
 3. *Pivots.* The point that shares most regions is its regions' pivot. Exact distances to
    the pivot connect everything within the radius at once: a region of a million near
    copies costs a million distances.
@@ -69,15 +72,19 @@ def slice_keys(shingles: np.ndarray, percent: int) -> np.ndarray:
     for band, limit in enumerate(limits[1:], 1):
         if limit >= n and low < most:
             differing = (100 - percent) * limit // 100
-            slices = differing + 2 + differing // 32
+            slices = differing + 2 + differing // 4
             own = (100 - percent) * min(limit, most) // 100
             place = ((shingles >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
             first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
             sums = np.add.reduceat(weights, first)
             tag = (place[first] + np.uint64(band << 32)) * np.uint64(0x9E3779B97F4A7C15)
-            out.append(K.mixed(sums ^ K.mixed(tag)))
-            if len(first) <= own:
-                out.append(K.mixed(weights + np.uint64(band)))
+            names = K.mixed(sums ^ K.mixed(tag))
+            if len(first) > own:
+                held = np.diff(np.append(first, n))
+                names = names[held >= np.sort(held)[-own - 1]]
+            else:
+                names = np.concatenate([names, K.mixed(weights + np.uint64(band))])
+            out.append(names)
         low = limit
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -103,7 +110,7 @@ def _sets(column, hasher: K.ByteHasher, words: int):
 
 
 def _points(docs: DataFrame, words: int, percent: int, max_filter_bits: int) -> DataFrame:
-    """Stored: row, id, n, sig and, where a region may be shared, keys, shingles and sketch."""
+    """Stored: row, id, n, sig, and the names (keys) of its regions that may be shared."""
     source = docs.select("row", "id", "text")
 
     def region_names(batches):
@@ -123,7 +130,7 @@ def _points(docs: DataFrame, words: int, percent: int, max_filter_bits: int) ->
 
         hasher = K.ByteHasher(fold_case=True)
         for batch in batches:
-            n, sig, keys, sizes, sets, sketches = [], [], [], [0], [], []
+            n, sig, keys, sizes = [], [], [], [0]
             for s in _sets(batch.column(2), hasher, words):
                 n.append(len(s))
                 a = int(K.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -133,8 +140,6 @@ def _points(docs: DataFrame, words: int, percent: int, max_filter_bits: int) ->
                 names = names[looked_up(names)]
                 keys.append(names)
                 sizes.append(sizes[-1] + len(names))
-                sets.append(s.tobytes() if len(names) else None)
-                sketches.append(parity_sketch(s).tobytes() if len(names) else None)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -145,22 +150,52 @@ def _points(docs: DataFrame, words: int, percent: int, max_filter_bits: int) ->
                     pa.ListArray.from_arrays(
                         pa.array(sizes, pa.int32()), pa.array(flat.view(np.int64))
                     ),
-                    pa.array(sets, pa.binary()),
-                    pa.array(sketches, pa.binary()),
                 ],
-                names=["row", "id", "n", "sig", "keys", "shingles", "sketch"],
+                names=["row", "id", "n", "sig", "keys"],
             )
 
     return stored(
-        source.mapInArrow(
-            described,
-            "row long, id long, n long, sig string, keys array<long>, shingles binary, "
-            "sketch binary",
-        ),
+        source.mapInArrow(described, "row long, id long, n long, sig string, keys array<long>"),
         "points",
     )
 
 
+def _full_sets(docs: DataFrame, nodes: DataFrame, words: int, max_filter_bits: int) -> DataFrame:
+    """Stored sets and sketches of the given rows (and of few others, by a Bloom filter)."""
+
+    def noted_twice(batches):
+        for batch in batches:
+            found = K.mixed(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            yield np.repeat(found, 2)
+
+    wanted = repeated_bits_of(nodes, noted_twice, nodes.count(), 16, max_filter_bits)
+
+    def described(batches):
+        import pyarrow as pa
+
+        hasher = K.ByteHasher(fold_case=True)
+        for batch in batches:
+            rows = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(wanted(K.mixed(rows.view(np.uint64)))))
+            n, sets, sketches = [], [], []
+            for s in _sets(batch.column(1), hasher, words):
+                n.append(len(s))
+                sets.append(s.tobytes())
+                sketches.append(parity_sketch(s).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()),
+                 pa.array(sketches, pa.binary())],
+                names=["node", "n", "shingles", "sketch"],
+            )
+
+    return stored(
+        docs.select("row", "text").mapInArrow(
+            described, "node long, n long, shingles binary, sketch binary"
+        ),
+        "sets",
+    )
+
+
 def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance, link) of each pair, from the full sets."""
     one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
@@ -262,24 +297,46 @@ def _window_pairs(regions: DataFrame, percent: int) -> DataFrame:
                 "sketch")
     )
 
-    def windows(key, rows):
-        import pandas as pd
-
-        rows = rows.sort_values("node")
-        mine = rows["mine"].to_numpy()
+    def of_tile(columns, a, b, low, high):
+        node, n, distance, outside, component, mine, sketch = (c[a:b] for c in columns)
         pairs = region_candidates(
-            rows["distance"].to_numpy(),
-            rows["outside"].to_numpy(),
-            rows["component"].to_numpy(),
-            rows["n"].to_numpy(),
-            np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1),
-            percent,
-            (mine == key[1], mine == key[2]),
+            distance, outside, component, n, sketch, percent, (mine == low, mine == high)
         )
-        node = rows["node"].to_numpy()
-        return pd.DataFrame({"a": node[pairs[:, 0]], "b": node[pairs[:, 1]]})
+        return node[pairs]
 
-    return tiled.groupBy("key", "low", "high").applyInPandas(windows, "a long, b long").distinct()
+    def windows(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in K.with_end(batches):
+            if batch is not None:
+                held = batch if held is None else pa.concat_batches([held, batch])
+            if held is None or not held.num_rows:
+                continue
+            key, low, high, mine, node, n, distance, outside, component = (
+                held.column(k).to_numpy(zero_copy_only=False) for k in range(9)
+            )
+            sketch = np.frombuffer(b"".join(held.column(9).to_pylist()), np.uint64)
+            columns = node, n, distance, outside, component, mine, sketch.reshape(len(node), -1)
+            change = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(key)]])
+            last = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last tile may go on
+            found = [
+                of_tile(columns, cuts[i], cuts[i + 1], low[cuts[i]], high[cuts[i]])
+                for i in range(last)
+            ]
+            held = held.slice(cuts[last])
+            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]
+            )
+
+    return (
+        tiled.repartition("key", "low", "high")
+        .sortWithinPartitions("key", "low", "high", "node")
+        .mapInArrow(windows, "a long, b long")
+        .distinct()
+    )
 
 
 def similar_documents(
@@ -311,13 +368,12 @@ def similar_documents(
         "folded",
     )
     nodes = folded.select(F.col("node").alias("row"))
-    sets = stored(
-        points.where("shingles IS NOT NULL")
+    met = (
+        points.where(F.size("keys") > 0)
+        .select("row", "keys")
         .join(nodes, "row", "left_semi")
-        .select(F.col("row").alias("node"), "n", "keys", "shingles", "sketch"),
-        "sets",
+        .select(F.col("row").alias("node"), F.explode("keys").alias("key"))
     )
-    met = sets.select("node", F.explode("keys").alias("key"))
     shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     regions = stored(met.join(shared, "key"), "regions")
     degree = regions.groupBy("node").agg(F.sum("c").alias("degree"))
@@ -329,7 +385,10 @@ def similar_documents(
     )
     placed = stored(regions.join(pivots, "key").select("key", "node", "pivot"), "placed")
     stars = placed.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    measured = stored(_measured(stars.distinct(), sets, percent), "stars")
+    stars = stored(stars.distinct(), "stars")
+    ends = stars.select("a").union(stars.select("b")).distinct()
+    sets = _full_sets(source, ends, words, max_filter_bits)
+    measured = stored(_measured(stars, sets, percent), "measured")
     links = measured.where("link").select("a", "b")
     labels = components(links)
 
@@ -355,7 +414,9 @@ def similar_documents(
         .select("key")
     )
     open_regions = stored(
-        open_rows.join(parted, "key", "left_semi").join(sets.select("node", "n", "sketch"), "node"),
+        open_rows.join(parted, "key", "left_semi").join(
+            sets.select("node", "n", "sketch"), "node"
+        ),
         "open",
     )
     more = _measured(stored(_window_pairs(open_regions, percent), "pairs"), sets, percent)
