@@ -128,7 +128,7 @@ def build_index(
         segment = _Segment(hasher)
         for batch in batches:
             data, offsets = K.text_buffers(batch.column(1))
-            for a, b in K.document_slices(offsets):
+            for a, b in K.document_slices(offsets, min(K.SLICE_BYTES, segment_bytes)):
                 ids = batch.column(0).slice(a, b - a).to_pylist()
                 segment.add(ids, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 if segment.bytes >= segment_bytes:

@@ -45,7 +45,7 @@ from slopefield.llm.components import components
 from slopefield.llm.exact_dedup import repeated_bits_of
 
 SKETCH_BITS = 512
-TILE_ROWS = 1024
+TILE_ROWS = 256
 LEAF_ROWS = 64
 
 # Words [^\x20\x09-\x0D]+ after A-Z became a-z.

@@ -7,8 +7,8 @@ its most likely path under a character trigram model and the channel's costs (Vi
 The trigram counts come from all documents. Ordinary tokens are their own restoration.
 
 *Score.* Words and word beginnings of the restored text are weighed by the log-odds of
-the labelled documents that hold them; the two strongest, their number and the text's
-length enter a logistic regression (Spark ML) that is fitted on documents whose labels
+the labelled documents that hold them; the two strongest, their number and their density
+enter a logistic regression (Spark ML) that is fitted on documents whose labels
 did not make the weights. Copies and near copies count once in training.
 
 At most ``train_rows`` labelled documents are used, chosen by a hash of their id. That
@@ -39,6 +39,8 @@ SIGNS = {
 }
 SEPARATORS = " .-_*"
 SIGN_COST, REPEAT_COST, SEPARATOR_COST = 1.0, 0.7, 0.2
+# A sign that stands for nothing costs more than a rare letter does under the model.
+STRAY_COST = 6.0
 
 SYMBOLS = 28  # a to z, any other letter, no letter
 _EDGE = 27
@@ -110,7 +112,7 @@ def _steps(token: str) -> list[list[tuple[str, float]]]:
         elif c in SIGNS:
             options = [(x * k, SIGN_COST + REPEAT_COST * abs(n - k)) for x in SIGNS[c]
                        for k in range(1, min(n, 2) + 1)]
-            out.append([*options, ("", SIGN_COST * 2 * n)])
+            out.append([*options, ("", STRAY_COST * n)])
         else:
             out.append([(c * k, REPEAT_COST * (n - k)) for k in range(1, min(n, 2) + 1)])
     return out
@@ -279,7 +281,8 @@ def feature_weights(train: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _evidence(docs: DataFrame, model: np.ndarray, weights, passed: list[str]) -> DataFrame:
-    """The passed columns and top1, top2, hits, length of every text."""
+    """The passed columns and top1, top2, hits, density of every text: all bounded measures,
+    so that a text unlike those learnt from gets no extreme score."""
     import pyarrow as pa
 
     features, odds = weights
@@ -324,14 +327,14 @@ def _evidence(docs: DataFrame, model: np.ndarray, weights, passed: list[str]) ->
                     pa.array(top1),
                     pa.array(top2),
                     pa.array(np.log1p(hits)),
-                    pa.array(np.log1p(np.diff(offsets).astype(float))),
+                    pa.array(np.log1p(100 * hits / (100 + np.diff(offsets)))),
                 ],
-                names=[*passed, "top1", "top2", "hits", "length"],
+                names=[*passed, "top1", "top2", "hits", "density"],
             )
 
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in passed)
     return docs.select(*passed, "text").mapInArrow(
-        run, f"{types}, top1 double, top2 double, hits double, length double"
+        run, f"{types}, top1 double, top2 double, hits double, density double"
     )
 
 
@@ -391,7 +394,7 @@ def toxicity_scores(
             for k in (0, 1)
         ]
         fitted = folds[0].unionByName(folds[1])
-        inputs = ["top1", "top2", "hits", "length"]
+        inputs = ["top1", "top2", "hits", "density"]
         assembler = VectorAssembler(inputCols=inputs, outputCol="x")
         regression = LogisticRegression(
             featuresCol="x", labelCol="label", regParam=0.001, maxIter=100

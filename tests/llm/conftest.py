@@ -49,8 +49,8 @@ def table_of(spark, tmp_path):
     """Write rows as a Parquet table (operators read stored tables) and read it back."""
 
     def make(rows, schema=DOCUMENTS, name="documents"):
-        path = str(tmp_path / f"{name}.parquet")
-        spark.createDataFrame(rows, schema).coalesce(3).write.mode("overwrite").parquet(path)
+        path = str(tmp_path / f"{name}-{len(list(tmp_path.iterdir()))}.parquet")
+        spark.createDataFrame(rows, schema).coalesce(3).write.parquet(path)
         return spark.read.parquet(path)
 
     return make
