@@ -206,7 +206,7 @@ SQL = {
         FROM events GROUP BY user_id)
         SELECT user_id, n IS NULL OR s < n AS use_spark,
         CASE WHEN n IS NULL THEN 'single_failed' WHEN s < n THEN 'spark_faster' ELSE 'single_faster' END AS reason,
-        round(CASE WHEN n IS NULL THEN 1.0 ELSE greatest(s, n) / nullif(least(s, n), 0) END, 6) + 0.0 AS factor,
+        round(CASE WHEN n IS NOT NULL THEN greatest(s, n) / nullif(least(s, n), 0) END, 6) + 0.0 AS factor,
         gb < {RAM_GB} AS fits,
         NOT (n IS NULL OR s < n) AND gb < {RAM_GB} AND gb > {RAM_GB / 2} AS near_limit FROM m WHERE s IS NOT NULL""",
 }

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopefield.functions.numeric import linear_score_sql, log_loss_sql, sigmoid_sql
+from slopefield.operators.layout import combine_partials
 
 
 def _weights_value(design: DataFrame, weights: Sequence[float]):
@@ -81,10 +82,15 @@ def gradient_at_points(design: DataFrame, points: Sequence[Sequence[float]]) ->
     return sums.select(F.inline(F.array(*rows)))
 
 
-def gradient_from_blocks(blocks: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """Sums from packed blocks: one partial row per partition, then a Spark sum."""
+def gradient_from_blocks(
+    blocks: DataFrame, weights: Sequence[float], partitions: int | None = None
+) -> DataFrame:
+    """Sums from packed blocks: one partial row per partition, added in two levels.
+
+    ``partitions`` spares the planning that finds their number.
+    """
     partials = block_partials(blocks, weights)
-    return partials.selectExpr(*[f"sum({name}) AS {name}" for name in partials.columns])
+    return combine_partials(partials, partitions)
 
 
 def block_partials(blocks: DataFrame, weights: Sequence[float]) -> DataFrame:
@@ -103,7 +109,7 @@ def block_partials(blocks: DataFrame, weights: Sequence[float]) -> DataFrame:
                     x = np.frombuffer(x_bytes.as_buffer()).reshape(width, len(y))
                     z = w @ x
                     gradient += x @ (1.0 / (1.0 + np.exp(-z)) - y)
-                    loss += float(np.sum(np.maximum(z, 0.0) - z * y + np.log1p(np.exp(-np.abs(z)))))
+                    loss += float(np.sum(np.logaddexp(0.0, z) - y * z))
                     count += len(y)
         values = [pa.array([v], pa.float64()) for v in (*gradient, loss)]
         yield pa.RecordBatch.from_arrays([*values, pa.array([count], pa.int64())], names=names)

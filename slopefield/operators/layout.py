@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from slopefield.functions.numeric import quoted
 from slopefield.operators.moments import Scale
 
-# Upper bound of rows in one block.
+# Most rows of a block whose size is not given.
 MAX_BLOCK_ROWS = 16_384
 # Blocks near this size pass fastest between the JVM and Python: large enough to
 # amortize the batch header, small enough to stay in cache and off the
@@ -39,6 +40,8 @@ def replicate(df: DataFrame, copies: int) -> DataFrame:
 
     Copies are generated in place by each task: no join and no shuffle.
     """
+    if copies < 1:
+        raise ValueError(f"copies must be at least 1, not {copies}")
     numbers = F.sequence(F.lit(0), F.lit(copies - 1))
     return df.select(F.explode(numbers).alias("copy_id"), "*")
 
@@ -109,7 +112,7 @@ def pack_blocks(design: DataFrame, width: int, block_rows: int | None = None) ->
     A block never spans partitions and only a partition's last block may be
     short. Each matrix lies feature by feature, ready for matrix products.
     """
-    rows = min(block_rows or default_block_rows(width), MAX_BLOCK_ROWS)
+    rows = block_rows or default_block_rows(width)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = (
@@ -127,7 +130,7 @@ def pack_vectors(
 ) -> DataFrame:
     """The vector form of :func:`pack_blocks`: standardizes and adds the intercept."""
     d = len(scale.means)
-    rows = min(block_rows or default_block_rows(d + 1), MAX_BLOCK_ROWS)
+    rows = block_rows or default_block_rows(d + 1)
     means = np.array(scale.means).reshape(d, 1)
     stds = np.array(scale.stds).reshape(d, 1)
 
@@ -155,16 +158,35 @@ def block_sizes(blocks: DataFrame) -> DataFrame:
     )
 
 
+def combine_partials(partials: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Column sums of a table with about one row per partition, added in two levels.
+
+    The rows meet in sqrt(partitions) tasks first, so that no task merges a row from
+    every partition of a very wide scan.
+    """
+    if partitions is None:
+        partitions = partials.rdd.getNumPartitions()
+    branches = max(1, math.isqrt(max(1, partitions)))
+    sums = [F.sum(quoted(c)).alias(c) for c in partials.columns]
+    first = (
+        partials.withColumn("__branch", F.pmod(F.spark_partition_id(), F.lit(branches)))
+        .repartition(branches, "__branch")
+        .groupBy("__branch")
+        .agg(*sums)
+    )
+    return first.drop("__branch").agg(*sums)
+
+
 def tree_sum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Column sums combined in two levels, for inputs with very many partitions.
+    """Column sums and row count, combined in two levels.
 
-    Partials meet first in about sqrt(partitions) groups and only then in one
-    row, so no single task has to merge one partial from every partition.
+    A partition is one partial row; sqrt(partitions) tasks merge those, one task
+    merges what they found.
     """
-    partitions = max(1, int(df.sparkSession.sparkContext.defaultParallelism))
-    fan_in = max(1, int(np.ceil(np.sqrt(partitions))))
-    group = F.pmod(F.spark_partition_id(), F.lit(fan_in))
-    first = df.groupBy(group.alias("branch")).agg(
-        *[F.sum(c).alias(c) for c in columns], F.count(F.lit(1)).alias("n")
+    partition = F.spark_partition_id()
+    partials = df.groupBy(partition.alias("__part")).agg(
+        *[F.sum(quoted(c)).alias(c) for c in columns], F.count(F.lit(1)).alias("n")
+    )
+    return partials.drop("__part").agg(
+        *[F.sum(quoted(c)).alias(c) for c in columns], F.coalesce(F.sum("n"), F.lit(0)).alias("n")
     )
-    return first.agg(*[F.sum(c).alias(c) for c in columns], F.sum("n").alias("n"))

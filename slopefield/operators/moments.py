@@ -62,7 +62,7 @@ def vector_moments(df: DataFrame, vector: str) -> DataFrame:
     """
     elements = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("j", "v"))
     return elements.groupBy("j").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std")
     )
 
 

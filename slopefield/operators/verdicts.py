@@ -27,7 +27,10 @@ def verdict_local(measured: DataFrame) -> DataFrame:
         *measured.columns,
         use_spark.alias("use_spark"),
         code.alias("reason"),
-        F.try_divide(F.greatest(spark, single), F.least(spark, single)).alias("factor"),
+        F.when(
+            spark.isNotNull() & single.isNotNull(),
+            F.try_divide(F.greatest(spark, single), F.least(spark, single)),
+        ).alias("factor"),
         fits.alias("fits"),
         F.coalesce(
             ~use_spark & fits & (F.col("data_gb") > 0.5 * F.col("ram_gb")), F.lit(False)

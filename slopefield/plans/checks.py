@@ -54,19 +54,24 @@ def reference_weights(design: DataFrame, width: int) -> DataFrame:
 
 
 def compare_with_reference(
-    design: DataFrame, weights: Sequence[float], max_rows: int | None = None
+    design: DataFrame,
+    weights: Sequence[float],
+    solver_rows: int | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
-    """One row comparing ``weights`` with the reference solver on a sample.
+    """One row comparing ``weights`` with the reference solver; both score every row.
 
-    The sample is a fifth of the rows, or about ``max_rows`` of them. It stays
-    distributed; both models are scored in the same pass.
+    ``solver_rows`` bounds only the labelled rows that the reference solver is fitted
+    on (about that many, chosen at random); by default it sees a fifth of them.
+    ``rows`` is the number of rows of the design, if it is known.
     """
     spark = design.sparkSession
     width = len(weights)
     fraction = 0.2
-    if max_rows is not None:
-        fraction = min(1.0, max_rows / max(1, design.count()))
+    if solver_rows is not None:
+        fraction = min(1.0, solver_rows / max(1, rows or design.count()))
     sample = sample_rows(design, fraction).persist(StorageLevel.MEMORY_AND_DISK)
+    reference = None
     try:
         reference = reference_weights(sample, width).persist()
         values = [r["w"] for r in reference.orderBy("j").collect()]
@@ -74,7 +79,7 @@ def compare_with_reference(
             [(j, f"x{j}", float(w)) for j, w in enumerate(weights)], "j int, name string, w double"
         )
         terms = [f"x{j}" for j in range(width)]
-        scored = sample.select(
+        scored = design.select(
             "y",
             sigmoid(linear_score(terms, weights)).alias("p_mine"),
             sigmoid(linear_score(terms, values)).alias("p_ref"),
@@ -83,7 +88,7 @@ def compare_with_reference(
             return (F.col(p) > 0.5).cast("double") == F.col("y")
 
         quality = scored.agg(
-            F.count(F.lit(1)).alias("sample_rows"),
+            F.count(F.lit(1)).alias("scored_rows"),
             F.avg(right("p_mine").cast("double")).alias("acc_mine"),
             F.avg(right("p_ref").cast("double")).alias("acc_ref"),
             average_log_loss(F.col("p_mine"), F.col("y")).alias("logloss_mine"),
@@ -91,10 +96,13 @@ def compare_with_reference(
             F.bool_and(right("p_ref")).alias("ref_separable"),
         ).collect()[0]
         agreement = compare_weights(weight_pairs(mine, reference)).collect()[0]
+        solver_sample = sample.count()
     finally:
         sample.unpersist()
+        if reference is not None:
+            reference.unpersist()
     return spark.createDataFrame(
-        [(agreement["cosine"], agreement["max_abs_diff"], *quality)],
-        "cosine double, max_abs_diff double, sample_rows long, acc_mine double, acc_ref double,"
+        [(agreement["cosine"], agreement["max_abs_diff"], solver_sample, *quality)],
+        "cosine double, max_abs_diff double, sample_rows long, scored_rows long, acc_mine double, acc_ref double,"
         " logloss_mine double, logloss_ref double, ref_separable boolean",
     )

@@ -14,11 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slopefield.errors import DataError
-from slopefield.operators.gradient import (
-    block_partials,
-    gradient_from_blocks,
-    gradient_from_columns,
-)
+from slopefield.operators.gradient import gradient_from_blocks, gradient_from_columns
 from slopefield.operators.layout import pack_blocks, pack_vectors, set_partitions
 from slopefield.operators.moments import (
     GENERATED_FIELDS,
@@ -31,10 +27,6 @@ from slopefield.session import session_settings
 
 PATHS = ("blocks", "columns")
 
-# Up to this many numbers the partitions' partial sums are added on the driver,
-# which saves a stage per iteration; beyond it Spark adds them first.
-DRIVER_SUM_LIMIT = 100_000
-
 
 @dataclass
 class LogisticFit:
@@ -107,8 +99,7 @@ def _descend(
     with session_settings(spark, **settings):
         for _ in range(max_iter):
             started = time.perf_counter()
-            # One row, or a checked small number of partial rows in partition order.
-            sums = np.array(sums_at(w.tolist()).collect(), dtype=np.float64).sum(axis=0)
+            sums = np.array(sums_at(w.tolist()).collect()[0], dtype=np.float64)
             gradient, loss = sums[:width] / fit.rows, float(sums[width] / fit.rows)
             w = w - lr * gradient
             fit.seconds.append(time.perf_counter() - started)
@@ -142,13 +133,13 @@ def _run(
         if not size["rows"]:
             raise DataError("The table has no rows to train on.")
         fit = LogisticFit(names, [0.0] * width, scale, path, size["rows"], size["partitions"])
-        if path == "columns":
-            step = gradient_from_columns
-        elif fit.partitions * width <= DRIVER_SUM_LIMIT:
-            step = block_partials
-        else:
-            step = gradient_from_blocks
-        _descend(spark, lambda w: step(prepared, w), fit, lr, max_iter, tol)
+
+        def sums_at(w: Sequence[float]) -> DataFrame:
+            if path == "columns":
+                return gradient_from_columns(prepared, w)
+            return gradient_from_blocks(prepared, w, fit.partitions)
+
+        _descend(spark, sums_at, fit, lr, max_iter, tol)
     finally:
         prepared.unpersist()
     return fit

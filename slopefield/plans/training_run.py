@@ -17,7 +17,13 @@ from slopefield.plans.clean import clean_table
 from slopefield.plans.fit import fit_design
 from slopefield.sources import read_labeled, read_table
 
-CHECK_ROWS = 100_000
+
+def failure_record(problem: Exception) -> dict[str, str]:
+    """What a record says of a failed run: Spark's error condition, then its whole text."""
+    if isinstance(problem, DataError):
+        return {"kind": "data", "error": str(problem)}
+    condition = problem.getCondition() if isinstance(problem, PySparkException) else None
+    return {"kind": "spark", "error": f"{condition or type(problem).__name__}: {problem}"}
 
 
 def training_run(
@@ -32,18 +38,20 @@ def training_run(
     partitions: int | None = None,
     shuffle: bool = True,
     check: bool = False,
+    solver_rows: int = 100_000,
 ) -> dict[str, Any]:
     """Train on a CSV location and return the run's record.
 
     Input with a header is validated and cleaned unless ``trusted``; input
     without one has the label first and is always trusted. ``check`` adds the
-    comparison with the reference solver and with the other evaluation path. A
-    failure is returned as a record with ``error`` and ``kind``.
+    comparison with the reference solver, which is fitted on about ``solver_rows``
+    rows (both score all of them), and with the other evaluation path. A failure is
+    returned as a record with ``error`` and ``kind``.
     """
     record: dict[str, Any] = {}
     try:
         if label is None or trusted:
-            table = read_labeled(spark, path, label)
+            table = read_labeled(spark, path, label, check_labels=True)
             target = table.columns[0]
             features = table.columns[1:]
         else:
@@ -60,7 +68,11 @@ def training_run(
         fit = fit_design(design, features, scale, lr, max_iter, tol, mode)
         record |= fit.record(spark)
         if check:
-            record |= compare_with_reference(design, fit.weights, CHECK_ROWS).collect()[0].asDict()
+            record |= (
+                compare_with_reference(design, fit.weights, solver_rows, fit.rows)
+                .collect()[0]
+                .asDict()
+            )
             other = "columns" if mode == "blocks" else "blocks"
             again = fit_design(design, features, scale, lr, len(fit.losses), 0.0, other)
             pairs = weight_pairs(fit.weight_table(spark), again.weight_table(spark))
@@ -71,9 +83,5 @@ def training_run(
                 "ref_max_abs_diff": agreement["max_abs_diff"],
             }
         return record
-    except DataError as problem:
-        return {"error": str(problem), "kind": "data"}
-    except (PySparkException, Py4JJavaError) as problem:
-        first = (str(problem).strip().splitlines() or [""])[0][:300]
-        return {"error": f"{type(problem).__name__}: {first}", "kind": "spark"}
-
+    except (DataError, PySparkException, Py4JJavaError) as problem:
+        return failure_record(problem)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,12 +14,8 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 # One BLAS thread per Python worker: Spark already runs one worker per core.
-BLAS_THREAD_VARIABLES = (
-    "OPENBLAS_NUM_THREADS",
-    "MKL_NUM_THREADS",
-    "OMP_NUM_THREADS",
-    "VECLIB_MAXIMUM_THREADS",
-)
+# The variables that the BLAS builds for Linux read.
+BLAS_THREAD_VARIABLES = ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS", "MKL_NUM_THREADS")
 
 
 def make_session(app_name: str, master: str | None = None, **settings: str) -> SparkSession:
@@ -64,13 +63,16 @@ _local_root: str | None = None
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder path on storage that every executor can reach.
 
-    The cluster names that storage in ``spark.checkpoint.dir``. Only where it is
-    unset (tests, one machine) does a temporary folder of this machine serve.
+    The cluster names that storage in ``spark.checkpoint.dir``. Where it is unset, a
+    temporary folder serves on a local master until the driver ends; a cluster is refused.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "") or ""):
+            raise ValueError("Name a folder that all executors share in spark.checkpoint.dir.")
         if _local_root is None:
             _local_root = tempfile.mkdtemp(prefix="slopefield-")
+            atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
         root = _local_root
     return os.path.join(root.rstrip("/"), f"{purpose}-{uuid.uuid4().hex[:12]}")

@@ -6,13 +6,15 @@ from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slopefield.errors import DataError
 from slopefield.functions.numeric import quoted
+from slopefield.functions.text_values import number_or_null, short_text
 
 # Separators tried, in order of preference on a tie.
 SEPARATORS = (",", ";", "\t")
@@ -42,8 +44,9 @@ class RawTable:
 
 def _first_line(spark: SparkSession, path: str | list[str]) -> tuple[str, str]:
     """Name and first non-blank line of the first file, in name order, that has one."""
+    # The names come as URIs, in which a space is %20.
     for file in sorted(spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()):
-        lines = spark.read.text(file).where(F.trim("value") != "").limit(1).collect()
+        lines = spark.read.text(unquote(file)).where(F.trim("value") != "").limit(1).collect()
         if lines:
             return file, lines[0]["value"].removeprefix(BYTE_ORDER_MARK)
     raise DataError("The file is empty.")
@@ -86,35 +89,59 @@ def _reader(spark: SparkSession, sep: str, mode: str):
 
 
 def read_labeled(
-    spark: SparkSession, path: str | list[str], label: str | None = None, sep: str = ","
+    spark: SparkSession,
+    path: str | list[str],
+    label: str | None = None,
+    sep: str = ",",
+    check_labels: bool = False,
 ) -> DataFrame:
     """Trusted numeric CSV as doubles, the label first.
 
     Without ``label`` there is no header and column 0 is the label; the columns
     are ``y, f0, f1, ...``. With ``label`` the first line names the columns and
     every further copy of it, in any file and at any place, is dropped. Blank
-    lines are skipped. A cell that is no number fails the job.
+    lines are skipped. An empty cell, a cell that is no number, and with
+    ``check_labels`` a label other than 0 and 1 fail the job, whatever the session's
+    ANSI mode.
     """
     cells = _first_cells(spark, path, sep)
     if label is None:
-        names = ["y", *[f"f{j}" for j in range(len(cells) - 1)]]
-        schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-        return _reader(spark, sep, "FAILFAST").schema(schema).csv(path)
-    if label not in cells:
+        titles = ["y", *[f"f{j}" for j in range(len(cells) - 1)]]
+        header, target = None, "y"
+    elif label not in cells:
         raise DataError(f"The label column {label!r} is not in the header.")
+    else:
+        titles = [c or f"c{i}" for i, c in enumerate(cells)]
+        header, target = cells, label
     names = [f"c{i}" for i in range(len(cells))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = _reader(spark, sep, "FAILFAST").schema(schema).csv(path)
-    is_header = reduce(
-        lambda a, b: a & b,
-        [F.col(n).eqNullSafe(F.lit(c)) for n, c in zip(names, cells, strict=True)],
-    )
-    order = sorted(range(len(cells)), key=lambda i: cells[i] != label)
-    return rows.where(~is_header).selectExpr(
-        *[f"CAST({names[i]} AS DOUBLE) AS {quoted(cells[i] or names[i])}" for i in order]
+    if header is not None:
+        is_header = reduce(
+            lambda a, b: a & b,
+            [F.col(n).eqNullSafe(F.lit(c)) for n, c in zip(names, header, strict=True)],
+        )
+        rows = rows.where(~is_header)
+    order = sorted(range(len(titles)), key=lambda i: titles[i] != target)
+    return rows.select(
+        *[
+            _trusted_number(F.col(names[i]), titles[i], check_labels and titles[i] == target)
+            .alias(titles[i])
+            for i in order
+        ]
     )
 
 
+def _trusted_number(cell: Column, title: str, is_label: bool) -> Column:
+    """The double of a cell; a job that meets anything else fails and names the column."""
+    value = number_or_null(cell)
+    shown = F.coalesce(short_text(cell), F.lit("an empty cell"))
+    what = "no 0 or 1" if is_label else "no number"
+    fault = F.raise_error(F.concat(F.lit(f"Column {title}: {what}: "), shown)).cast("double")
+    fits = value.isin(0.0, 1.0) if is_label else value.isNotNull()
+    return F.when(F.coalesce(fits, F.lit(False)), value).otherwise(fault)
+
+
 def usable_columns(spark: SparkSession, path: str | list[str], sep: str | None = None) -> list[str]:
     """Column names of the header without blank (index) columns; reads one line only."""
     return [c for c in _first_cells(spark, path, sep or detect_separator(spark, path)) if c]

@@ -209,3 +209,37 @@ def test_write_table_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1.0, 0.1), (0.0, -2.5e-7)], "y double, a double")
     write_table(df, str(tmp_path / "csv"), "csv", "gzip")
     assert rows(read_labeled(spark, str(tmp_path / "csv"), "y")) == rows(df)
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("cell", ["", "abc", "1d", "0x1p3", "NaN"])
+def test_trusted_cells_that_are_no_numbers_fail_in_any_mode(spark, csv_file, ansi, cell):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        with pytest.raises(Exception, match="Column f1: no number"):
+            read_labeled(spark, csv_file(f"1,2,{cell}\n0,4,1\n")).collect()
+        with pytest.raises(Exception, match="Column b: no number"):
+            read_labeled(spark, csv_file(f"y,a,b\n1,2,{cell}\n0,4,1\n"), "y").collect()
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_path_with_a_space(spark, csv_file):
+    df = read_labeled(spark, csv_file("1,2\n0,3\n", "my dir/my table.csv"))
+    assert rows(df) == [(0.0, 3.0), (1.0, 2.0)]
+    assert read_table(spark, csv_file("a,y\n1,0\n", "my dir/my other.csv")).columns == ["a", "y"]
+
+
+def test_cluster_without_a_shared_folder_is_refused(spark, tmp_path):
+    from slopefield.session import shared_folder
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("_", "."): v for k, v in conf.items()}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session(spark_master="spark://host:7077"), "x")
+    cluster = Session(spark_master="yarn", spark_checkpoint_dir="hdfs://shared")
+    assert shared_folder(cluster, "x").startswith("hdfs://shared/x-")
+    assert shared_folder(Session(spark_master="local[8]"), "x")

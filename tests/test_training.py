@@ -83,11 +83,15 @@ def test_first_loss_is_ln_2_and_fit_equals_numpy(data):
     assert np.allclose(vectors.weights, w, rtol=1e-9, atol=1e-9)
 
 
-def test_driver_and_spark_sums_agree(data, monkeypatch):
-    near = fit_logistic(data[0], "y", FEATURES, max_iter=5, tol=0.0)
-    monkeypatch.setattr("slopefield.plans.fit.DRIVER_SUM_LIMIT", 0)
-    far = fit_logistic(data[0], "y", FEATURES, max_iter=5, tol=0.0)
-    assert np.allclose(near.weights, far.weights, rtol=0, atol=1e-12)
+def test_sums_do_not_depend_on_the_partitioning(data):
+    few = fit_logistic(data[0], "y", FEATURES, max_iter=2, tol=0.0, partitions=3)
+    many = fit_logistic(data[0], "y", FEATURES, max_iter=2, tol=0.0, partitions=400)
+    assert np.allclose(few.weights, many.weights, rtol=0, atol=1e-12)
+
+
+def test_partials_of_very_many_partitions(spark):
+    rows = spark.range(0, 20_000, 1, 2_000).selectExpr("id AS a", "1 AS n")
+    assert tuple(layout.combine_partials(rows).collect()[0]) == (199_990_000, 20_000)
 
 
 def test_stopping_rule(spark, data):
@@ -185,8 +189,8 @@ def test_reference_solver(spark, data):
     df = data[0]
     fit = fit_logistic(df, "y", FEATURES, max_iter=200, tol=0.0)
     design = moments.standardize(df, "y", FEATURES, fit.scale)
-    found = compare_with_reference(design, fit.weights, max_rows=100_000).collect()[0]
-    assert found["sample_rows"] == 500 and found["cosine"] > 0.999
+    found = compare_with_reference(design, fit.weights, solver_rows=100_000).collect()[0]
+    assert found["sample_rows"] == found["scored_rows"] == 500 and found["cosine"] > 0.999
     assert found["logloss_ref"] <= found["logloss_mine"] + 1e-9 and found["ref_separable"] is False
 
 
@@ -199,3 +203,28 @@ def test_separable_labels_are_flagged(spark):
 
 def test_tree_sum(spark):
     assert tuple(layout.tree_sum(spark.range(0, 1_000_000, 1, 8), ["id"]).collect()[0]) == (499999500000, 1_000_000)
+
+
+def test_solver_rows_bound_only_the_solver(data):
+    df = data[0]
+    fit = fit_logistic(df, "y", FEATURES, max_iter=20, tol=0.0)
+    design = moments.standardize(df, "y", FEATURES, fit.scale)
+    found = compare_with_reference(design, fit.weights, solver_rows=250, rows=fit.rows).collect()[0]
+    assert found["sample_rows"] < 400 and found["scored_rows"] == 500
+
+
+def test_block_rows_are_taken_as_given(spark):
+    design = spark.range(0, 20_000, 1, 1).selectExpr("CAST(id % 2 AS DOUBLE) AS y", "1.0D AS x0")
+    sizes = layout.block_sizes(layout.pack_blocks(design, 1, block_rows=20_000)).collect()[0]
+    assert (sizes["rows"], sizes["largest"], sizes["blocks"]) == (20_000, 20_000, 1)
+
+
+def test_copies_below_one_are_refused(spark):
+    with pytest.raises(ValueError):
+        layout.replicate(spark.range(3), 0)
+
+
+def test_moments_count_rows_in_both_forms(spark):
+    df = spark.createDataFrame([(1.0,), (None,), (3.0,)], "a double")
+    assert moments.moments(df, ["a"]).collect()[0]["n"] == 3
+    assert moments.feature_moments(df, ["a"]).collect()[0]["n"] == 3

@@ -34,6 +34,11 @@ def test_bad_data_becomes_an_error_record(spark, csv_file):
 
 def test_failed_job_becomes_an_error_record(spark, csv_file):
     record = training_run(spark, csv_file("1,2\n0,text\n"))
-    assert record["kind"] == "spark" and len(record["error"]) < 400
+    assert record["kind"] == "spark" and "Column f0: no number: 'text'" in record["error"]
     missing = training_run(spark, "/no/such/file.csv")
     assert "error" in missing
+
+
+def test_trusted_labels_are_checked(spark, csv_file):
+    record = training_run(spark, csv_file("2,1\n0,3\n"))
+    assert record["kind"] == "spark" and "Column y: no 0 or 1: '2'" in record["error"]
