@@ -45,7 +45,7 @@ def labelled(table_of):
     for k in range(900):
         words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30)]
         if k % 6 == 0:
-            words.insert(int(rng.integers(0, 30)), ["grumbug", "snorkfool", "wretchy"][k % 3])
+            words.insert(int(rng.integers(0, 30)), ["grumbug", "snorkfool", "wretchy"][k // 6 % 3])
         rows.append((k, " ".join(words)))
     rows += [(9001, "you gr0mbug, gru-m-bug" + " and" * 9), (9002, "snorkf00l xyz")]
     return rows
