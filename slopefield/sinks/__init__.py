@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", compression: str | None = None) -> None:
@@ -16,8 +17,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", compression: str
 
 
 def append_result(results: DataFrame, path: str) -> None:
-    """Append result rows to a CSV log kept apart by ``mode``."""
-    results.write.mode("append").option("header", "true").partitionBy("mode").csv(path)
+    """Append result rows to a CSV log kept apart by ``mode``, with the time in
+    microseconds as ``logged_at``: file names of a log do not follow the order of appends."""
+    stamped = results.withColumn("logged_at", F.unix_micros(F.current_timestamp()))
+    stamped.write.mode("append").option("header", "true").partitionBy("mode").csv(path)
 
 
 def append_run_record(records: DataFrame, path: str) -> None:

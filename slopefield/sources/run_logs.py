@@ -22,28 +22,35 @@ RUN_RECORD_SCHEMA = (
 
 
 def read_scaling_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Typed log rows plus ``seq``, which orders them as the files list them.
+    """Typed log rows plus ``seq``, which orders them as they were logged.
 
-    A distributed scan has no line order of its own; file, split offset and the
-    id that grows within a split restore it.
+    Columns are taken by name; ``logged_at``, which the sink writes, comes first in the
+    order. A distributed scan has no line order of its own: for rows logged together,
+    file, split offset and the id that grows within a split restore it.
     """
-    rows = spark.read.schema(SCALING_LOG_SCHEMA).option("mode", "FAILFAST").csv(path, header=True)
+    rows = spark.read.option("mode", "FAILFAST").csv(path, header=True)
+    logged_at = F.col("logged_at").cast("long") if "logged_at" in rows.columns else F.lit(0)
     seq = F.struct(
+        F.coalesce(logged_at, F.lit(0)).cast("long").alias("logged_at"),
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("offset"),
         F.monotonically_increasing_id().alias("line"),
     )
-    return rows.select("*", seq.alias("seq"))
+    typed = [field.split() for field in SCALING_LOG_SCHEMA.split(", ")]
+    return rows.select(*[F.col(name).cast(kind).alias(name) for name, kind in typed], seq.alias("seq"))
 
 
 def _records(spark: SparkSession, root: str) -> DataFrame:
-    lines = (
+    whole = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json")
-        .text(root)
+        .text(root, wholetext=True)
         .select("value", F.col("_metadata.file_path").alias("file"))
-        .where(F.trim("value") != "")
     )
+    # Appended records stand one to a line, others may be indented over many lines.
+    one_a_line = F.col("value").rlike(r"^\s*\{[^\n]*\}[ \t\r]*(\n|$)")
+    each = F.when(one_a_line, F.split("value", "\n")).otherwise(F.array("value"))
+    lines = whole.select(F.explode(each).alias("value"), "file").where(F.trim("value") != "")
     parsed = F.from_json(
         "value",
         RUN_RECORD_SCHEMA + ", _corrupt_record string",

@@ -243,3 +243,37 @@ def test_cluster_without_a_shared_folder_is_refused(spark, tmp_path):
     cluster = Session(spark_master="yarn", spark_checkpoint_dir="hdfs://shared")
     assert shared_folder(cluster, "x").startswith("hdfs://shared/x-")
     assert shared_folder(Session(spark_master="local[8]"), "x")
+
+
+def test_last_of_three_appends_wins(spark, tmp_path):
+    from slopefield.operators.measurements import dedup_last
+
+    log = str(tmp_path / "log")
+    for k in (1.0, 2.0, 3.0):
+        row = spark.createDataFrame(
+            [("m", 4, 0, 8, 100, 50, k)],
+            "mode string, cores int, rep int, partitions int, records long, iters int, "
+            "sec_per_iter_warm double",
+        )
+        append_result(row, log)
+    rows = read_scaling_log(spark, f"{log}/mode=m")
+    last = dedup_last(rows, ["cores", "rep"], "seq").collect()
+    assert [r["sec_per_iter_warm"] for r in last] == [3.0]
+
+
+def test_scaling_log_is_read_by_name(spark, csv_file):
+    path = csv_file("rep,cores,iters,partitions,records,sec_per_iter_warm,more\n0,4,50,8,100,1.5,x\n")
+    row = read_scaling_log(spark, path).collect()[0]
+    assert (row["cores"], row["rep"], row["sec_per_iter_warm"]) == (4, 0, 1.5)
+
+
+def test_indented_and_appended_records(spark, tmp_path):
+    folder = tmp_path / "run1"
+    folder.mkdir()
+    one, two = {"cores": 1, "final_loss": 0.5}, {"cores": 2, "final_loss": 0.25}
+    (folder / "spark-e1-r0.json").write_text(json.dumps(one, indent=2))
+    (folder / "spark-e2-r0.json").write_text("\n".join(json.dumps(x) for x in (two, two)) + "\n")
+    (folder / "spark-e3-r0.json").write_text('{"cores": 3,')
+    found = read_run_records(spark, str(tmp_path))
+    assert sorted(r["cores"] for r in found.collect()) == [1, 2, 2]
+    assert [r["setup"] for r in invalid_run_records(spark, str(tmp_path)).collect()] == ["spark-e3"]
