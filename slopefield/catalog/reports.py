@@ -86,11 +86,18 @@ def _setups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.run_summary(_setups(spark, sf_dir)).selectExpr(
-        "run", "setup", "records", "features", rounded("seconds", 6), rounded("final_loss", 6),
-        "cores", "cached_fraction", "reps",
+        "run", "setup", "records", "features", rounded("seconds", 6), "iters",
+        rounded("final_loss", 6), "cores", "cached_fraction", "reps",
     )
 
 
+def q_failed_setups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Setups of one user each, so that some have failures only."""
+    user = (F.col("records") / 1_000_000).cast("long")
+    records = run_records(spark, sf_dir).withColumn("setup", F.concat_ws("-", "setup", user))
+    return compare.failed_setups(compare.setup_table(records))
+
+
 def q_setup_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratios = compare.setup_ratios(compare.comparison_inputs(_setups(spark, sf_dir)))
     return ratios.selectExpr("run", "subject", "other", rounded("ratio", 6), "faster")
@@ -183,8 +190,10 @@ SQL = {
     "count(*) FILTER (WHERE failed) AS failures, "
     "round(sum(sec) FILTER (WHERE NOT failed), 4) + 0.0 AS total_s FROM r GROUP BY run",
     "run_summary": f"WITH {_SETUPS} SELECT s.run, s.setup, s.records, coalesce(s.features, k.features) AS features, "
-    "round(s.seconds, 6) + 0.0 AS seconds, round(s.final_loss, 6) + 0.0 AS final_loss, s.cores, s.cached_fraction, "
+    "round(s.seconds, 6) + 0.0 AS seconds, 20 AS iters, round(s.final_loss, 6) + 0.0 AS final_loss, s.cores, s.cached_fraction, "
     "s.reps FROM summary s JOIN known k ON k.run = s.run",
+    "failed_setups": f"WITH r AS ({RUN_RECORDS_SQL}) SELECT run, setup || '-' || (records // 1000000) AS setup, "
+    "count(*) AS failures, 'out of memory' AS error FROM r GROUP BY ALL HAVING bool_and(failed)",
     "setup_ratios": f"WITH {_INPUTS}, o AS ("
     "SELECT *, 'numpy-16gb' AS other, small_s AS t FROM inputs UNION ALL "
     "SELECT *, 'numpy-64gb', big_s FROM inputs UNION ALL "

@@ -64,6 +64,7 @@ def run_summary(setups: DataFrame) -> DataFrame:
             F.col("first_records").alias("records"),
             F.coalesce("first_features", "known").alias("features"),
             F.col("median_s").alias("seconds"),
+            F.col("first_iters").alias("iters"),
             F.col("first_final_loss").alias("final_loss"),
             F.col("first_cores").alias("cores"),
             F.col("first_cached_fraction").alias("cached_fraction"),
@@ -72,6 +73,13 @@ def run_summary(setups: DataFrame) -> DataFrame:
     )
 
 
+def failed_setups(setups: DataFrame) -> DataFrame:
+    """Setups without a single success, with the message of their first record."""
+    return setups.where((F.col("reps") == 0) & (F.col("failures") > 0)).select(
+        "run", "setup", "failures", F.col("opening_error").alias("error")
+    )
+
+
 def comparison_inputs(setups: DataFrame) -> DataFrame:
     """One row per run with a successful cluster setup: what the verdict compares.
 
