@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from conftest import EXTRA, words
+from odd_tables import EXTRA, words
 
 from slopefield.llm import decontamination as D
 

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from conftest import EXTRA, words
+from odd_tables import EXTRA, words
 
 from slopefield.llm import jaccard_join as J
 from slopefield.llm.components import components

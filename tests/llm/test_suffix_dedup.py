@@ -3,7 +3,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import EXTRA, words
+from odd_tables import EXTRA, words
 
 from slopefield.llm import suffix_array as A
 from slopefield.llm import suffix_dedup as S
