@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopefield.llm.common import stored
+from slopefield.llm.common import deleted, stored
 
 BUCKET = 1 << 16
 
@@ -102,9 +102,10 @@ def suffix_ranks(text: DataFrame, prefix: int | None = None) -> DataFrame:
         end = text.sparkSession.createDataFrame([(n, 0, 0, 0)], "i long, c long, c1 long, c2 long")
         sample = sample.unionByName(end)
     triples = running_counts(sample.select("c", "c1", "c2").distinct(), ["c", "c1", "c2"])
-    triples = stored(triples.withColumn("name", F.col("before") + 1).drop("before"), "names")
+    triples = triples.withColumn("name", F.col("before") + 1).drop("before")
     named = stored(sample.join(triples, ["c", "c1", "c2"]).select("i", "name"), "named")
     count, distinct = named.count(), triples.count()
+    deleted(triples)
     if distinct == count:
         ranks = named.select("i", F.col("name").alias("rank"))
     elif prefix is not None and prefix <= 3:
@@ -128,6 +129,8 @@ def suffix_ranks(text: DataFrame, prefix: int | None = None) -> DataFrame:
         "rank", F.coalesce("rank", F.lit(0))
     )
     ranked = stored(following(ranked, {"r1": ("rank", 1), "r2": ("rank", 2)}), "ranked")
+    for used in (wide, named, ranks):
+        deleted(used)
     kind = F.col("i") % 3
     by_one = running_counts(
         ranked.where(kind < 2).select("i", "c", "r1", "rank", kind.cast("int").alias("other")),
@@ -147,9 +150,12 @@ def suffix_ranks(text: DataFrame, prefix: int | None = None) -> DataFrame:
     )
     twos = by_two.where("other = 0").select("i", F.col("before1").alias("twos"))
     rest = by_one.where("other = 0").join(twos, "i")
-    return stored(
+    out = stored(
         sampled.select("i", (ahead + zeros).alias("rank")).unionByName(
             rest.select("i", (F.col("before") + F.col("twos") + 1).alias("rank"))
         ),
         "suffixes",
     )
+    for used in (ranked, by_one, by_two):
+        deleted(used)
+    return out

@@ -2,6 +2,7 @@
 
 A byte goes if a string of ``length`` bytes that covers it starts anywhere else too.
 
+0. Equal texts are found by digest; one of them takes part in what follows.
 1. *Anchors.* Each start p of such a string belongs to one anchor: the smallest hash of a
    101-byte stretch within the string. Equal strings have equal anchors at equal places,
    so a string can repeat only where its anchor does. A Bloom filter passes the anchors
@@ -34,9 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import stored, text_of
+from slopefield.llm.common import deleted, joined_with_groups, stored, text_of
 from slopefield.llm.exact_dedup import repeated_bits_of
-from slopefield.llm.suffix_array import running_counts, suffix_ranks
+from slopefield.llm.suffix_array import following, running_counts, suffix_ranks
 
 STRETCH = 101
 HOT_MEMBERS = 2048
@@ -128,27 +129,32 @@ def repeated_ranges(anchors: DataFrame) -> DataFrame:
 
     By the suffix array of the reduced string: equal first symbols stand side by side.
     """
-    symbols = running_counts(anchors, ["row", "place"]).withColumnRenamed("before", "i")
+    symbols = running_counts(anchors.select("row", "place", "name"), ["row", "place"])
     # Symbols from 1 on; halving a 64-bit name leaves 63 bits to tell them apart.
-    text = stored(
-        symbols.withColumn("c", F.shiftrightunsigned("name", 1).bitwiseOR(F.lit(1))), "reduced"
+    symbol = F.shiftrightunsigned("name", 1).bitwiseOR(F.lit(1))
+    text = symbols.select(F.col("before").alias("i"), symbol.alias("c"))
+    ranks = suffix_ranks(text, PREFIX)
+    order = running_counts(text.join(ranks, "i").select("rank", "i", "c"), ["rank", "i"])
+    deleted(ranks)
+    # Neighbours in the order stand beside each other once more: positions as a new text.
+    side = order.select(F.col("before").alias("i"), F.col("i").alias("at"), "c")
+    beside = following(side, {"behind": ("c", 1), "behind_at": ("at", 1)})
+    equal = beside.where("c = behind")
+    repeated = stored(
+        equal.select("at").union(equal.select("behind_at")).distinct(), "repeated"
     )
-    ranks = suffix_ranks(text.select("i", "c"), PREFIX)
-    placed = text.select("i", "name").join(ranks, "i")
-    order = running_counts(placed.select("rank", "i", "name"), ["rank", "i"])
-    # Each suffix beside the next one: joined by place, the one before and the one behind.
-    side = order.select("i", "name", F.col("before").alias("at"))
-    side = stored(side, "order")
-    behind = side.select(F.col("name").alias("_next"), (F.col("at") - 1).alias("_at"))
-    pairs = side.join(behind, F.col("at") == F.col("_at")).where("name = _next")
-    pairs = pairs.select("at")
-    repeated = pairs.union(pairs.select(F.col("at") + 1)).distinct()
-    marked = side.join(repeated.withColumn("repeated", F.lit(True)), "at", "left")
-    return stored(
-        text.join(marked.select("i", F.coalesce("repeated", F.lit(False)).alias("repeated")), "i")
-        .drop("i", "c"),
+    deleted(order)
+    places = symbols.join(repeated, F.col("before") == F.col("at")).select(
+        "row", "place", F.lit(True).alias("repeated")
+    )
+    found = stored(
+        anchors.join(places, ["row", "place"], "left").withColumn(
+            "repeated", F.coalesce("repeated", F.lit(False))
+        ),
         "ranges",
-    )
+    )
+    deleted(symbols)
+    return found
 
 
 def _contexts(
@@ -377,13 +383,46 @@ def remove_repeats(
         text_of(text_col).alias("text"),
     )
     amount = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    flagged = _repeated_anchors(source, length, amount, max_filter_bits)
-    shared = flagged.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    anchors = stored(flagged.join(shared, "hash", "left_semi"), "shared-anchors")
+    # Equal texts take part once; each of them repeats as a whole.
+    digests = stored(
+        source.select("row", F.sha2(F.col("text").cast("binary"), 256).alias("sha"),
+                      F.octet_length("text").alias("size")),
+        "digests",
+    )
+    groups = stored(
+        digests.groupBy("sha").agg(F.min("row").alias("first_row"), F.count(F.lit(1)).alias("n"))
+        .where("n > 1"),
+        "groups",
+    )
+    same = stored(
+        joined_with_groups(digests, groups, "sha", "n", digests.count(), F.col("row"))
+        .where("n IS NOT NULL")
+        .select("row", "size", (F.col("row") != F.col("first_row")).alias("copy")),
+        "copies",
+    )
+    copied = same.where(F.col("size") >= length).select(
+        "row", F.lit(0).alias("first"), (F.col("size") - length).cast("int").alias("last")
+    )
+    found = _repeated_anchors(source, length, amount, max_filter_bits)
+    flagged = found.join(same.where("copy").select("row"), "row", "left_anti")
+
+    def anchor_hashes(batches):
+        return (b.column(0).to_numpy().view(np.uint64) for b in batches)
+
+    again = repeated_bits_of(
+        flagged.select("hash"), anchor_hashes, flagged.count(), 16, max_filter_bits
+    )
+
+    @F.pandas_udf("boolean")
+    def may_repeat(hashes):
+        import pandas as pd
+
+        return pd.Series(again(hashes.to_numpy().view(np.uint64)))
+
+    anchors = stored(flagged.where(may_repeat("hash")), "shared-anchors")
+    deleted(found)
     if anchors.isEmpty():
-        spans = source.select("row").limit(0).selectExpr(
-            "row", "CAST(NULL AS array<int>) AS begins", "CAST(NULL AS array<int>) AS ends"
-        )
+        runs = copied
     else:
         ranges = repeated_ranges(anchors)
         whole = ranges.where("repeated")
@@ -403,8 +442,12 @@ def remove_repeats(
             .where(F.col("n") > HOT_MEMBERS).select("hash")
         )
         contexts = _contexts(source, members, stored(hot, "hot"), length, max_filter_bits)
-        runs = whole.select("row", "first", "last").unionByName(_border_runs(contexts, length))
-        spans = stored(_merged_spans(runs, length), "spans")
+        runs = (
+            whole.select("row", "first", "last")
+            .unionByName(_border_runs(contexts, length))
+            .unionByName(copied)
+        )
+    spans = stored(_merged_spans(runs, length), "spans")
 
     def noted(batches):
         for batch in batches:
