@@ -9,12 +9,16 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slopefield.session import shared_folder
+from slopefield.session import session_settings, shared_folder
 
 # A group is hot if it holds more than one row in HOT_SHARE of the table, so
 # that there are fewer than HOT_SHARE hot groups at any size: they may be broadcast.
 HOT_SHARE = 1000
 
+# Rows that pass between the JVM and Python at once: with texts of some kilobytes a
+# batch stays at a few megabytes on either side.
+BATCH_ROWS = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,12 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage and survives lost executors."""
     path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
+    with session_settings(df.sparkSession, **BATCH_ROWS):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def deleted(df: DataFrame) -> None:
-    """Remove the files behind a stored table that no later step reads."""
+    """Remove the files behind a table made of one stored table, once no later step reads it."""
     jvm = df.sparkSession._jvm
     conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:

@@ -29,7 +29,7 @@ from slopefield.llm import kernels as K
 from slopefield.llm.common import stored, text_of
 
 WINDOW = 10
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32

@@ -19,7 +19,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopefield.llm.common import joined_with_groups, stored, text_of
+from slopefield.llm.common import BATCH_ROWS, joined_with_groups, stored, text_of
+from slopefield.session import session_settings
 
 BLOCK_BITS = 1 << 16
 
@@ -90,7 +91,9 @@ def repeated_bits_of(
         .applyInPandas(merged, "block long, bits binary")
     )
     bits = np.zeros((blocks, BLOCK_BITS // 8), np.uint8)
-    for row in parts.collect():
+    with session_settings(rows.sparkSession, **BATCH_ROWS):
+        found = parts.collect()
+    for row in found:
         bits[row.block] = np.frombuffer(row.bits, np.uint8)
     shared = rows.sparkSession.sparkContext.broadcast(bits)
 

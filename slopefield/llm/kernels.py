@@ -1,6 +1,6 @@
 """NumPy kernels over the UTF-8 bytes of an Arrow batch: words, hashes, shingles, anchors.
 
-All work on one flat byte array with document offsets, a slice of about a megabyte
+All work on one flat byte array with document offsets, a slice of half a megabyte
 at a time, so that memory does not depend on the batch. Hashes are 64-bit.
 """
 
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 

@@ -26,7 +26,7 @@ from slopefield.llm.common import stored, text_of
 
 WORD_START = "▁"
 LONGEST_RUN = 64
-SLICE = 2 << 20
+SLICE = 1 << 20
 # Keeps products of piece probabilities near one: a weight per byte, taken out again.
 BYTE_SCALE = 2.0
 BACKGROUND = 0.02

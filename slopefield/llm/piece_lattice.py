@@ -38,7 +38,7 @@ from slopefield.llm.common import text_of
 
 SPACE = "▁"
 _MARK = SPACE.encode()
-SLICE = 1 << 20
+SLICE = 1 << 19
 # Fixed value: the score of pieces that a model was given rather than learnt.
 ADDED_SCORE = -1e9
 
