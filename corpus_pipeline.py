@@ -8,8 +8,9 @@
     sentencepiece   the rows that are left, with the ids of their best segmentation
 
 Each stage is written as Parquet to the shared folder and read again before the next: a
-lost executor costs a stage's tasks, not the pipeline. Stages tell the rows of their input
-apart by their place in that stored table, so that null or repeated ids do no harm.
+lost executor costs a stage's tasks, not the pipeline. Stages that reject rows first store
+their input with a row number as a column, so that null or repeated ids do no harm and no
+other file splits can give a row another number.
 """
 
 from __future__ import annotations
@@ -18,19 +19,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopefield.llm import decontamination, exact_dedup, jaccard_join, piece_lattice, toxicity
-from slopefield.llm.common import stored, table
+from slopefield.llm.common import numbered, stored, table
 
+# The row number, under a name that no column of the documents has.
+ROW = "_place_in_stage"
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The rows of a stored table whose place (``row``) is not among the rejected."""
-    placed = docs.withColumn("_row", F.monotonically_increasing_id())
+
+def _without(placed: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The rows of a numbered table whose number (``row``) is not among the rejected."""
     gone = rejected.select(F.col("row").alias("_gone"))
-    return placed.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    return placed.join(gone, F.col(ROW) == F.col("_gone"), "left_anti").drop(ROW)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, stored(scores.where("predicted = 1").select("row"), "toxic"))
+    placed = numbered(docs, ROW)
+    scores = toxicity.toxicity_scores(placed, table(spark, sf_dir, "labels"), row_col=ROW)
+    return _without(placed, stored(scores.where("predicted = 1").select("row"), "toxic"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +42,16 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.similar_documents(docs)
-    return _without(docs, stored(found.where("NOT kept").select("row"), "near-copies"))
+    placed = numbered(docs, ROW)
+    found = jaccard_join.similar_documents(placed, row_col=ROW)
+    return _without(placed, stored(found.where("NOT kept").select("row"), "near-copies"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    found = decontamination.contamination(placed, table(spark, sf_dir, "benchmark"), id_col="row")
-    return _without(docs, stored(found.where("contaminated").select("row"), "contaminated"))
+    placed = numbered(docs, ROW)
+    texts = placed.select(F.col(ROW).alias("row"), "text")
+    found = decontamination.contamination(texts, table(spark, sf_dir, "benchmark"), id_col="row")
+    return _without(placed, stored(found.where("contaminated").select("row"), "contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

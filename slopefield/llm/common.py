@@ -32,6 +32,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
+    """A stored copy of the rows with their number in column ``name``.
+
+    The number depends on the file splits of one scan, and those on the executors of the
+    moment: it is made once and read as a column by every later scan.
+    """
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def deleted(df: DataFrame) -> None:
     """Remove the files behind a table made of one stored table, once no later step reads it."""
     jvm = df.sparkSession._jvm

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import joined_with_groups, stored, text_of
+from slopefield.llm.common import joined_with_groups, numbered, stored, text_of
 from slopefield.llm.components import components
 from slopefield.llm.exact_dedup import repeated_bits_of
 
@@ -346,18 +346,20 @@ def similar_documents(
     words: int = 5,
     percent: int = 80,
     max_filter_bits: int = 1 << 28,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Per document row: row, id, n_shingles, component_id, kept.
 
     Documents link when 100 * intersection >= percent * union of their shingle sets;
     component_id is the smallest id reachable by links, and ``kept`` marks the row of that
-    id. ``row`` numbers the rows of ``docs``, which must be a stored table.
+    id. ``row`` is the column ``row_col`` of ``docs`` (distinct, stored), or else a number
+    that is stored with the texts before the first scan.
     """
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).cast("long").alias("id"),
-        text_of(text_col).alias("text"),
-    )
+    texts = F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")
+    if row_col is None:
+        source = numbered(docs.select(*texts))
+    else:
+        source = docs.select(F.col(row_col).alias("row"), *texts)
     points = _points(source, words, percent, max_filter_bits)
     filled = points.where("n > 0")
     folded = stored(

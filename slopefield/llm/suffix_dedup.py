@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import deleted, joined_with_groups, stored, text_of
+from slopefield.llm.common import deleted, joined_with_groups, numbered, stored, text_of
 from slopefield.llm.exact_dedup import repeated_bits_of
 from slopefield.llm.suffix_array import following, running_counts, suffix_ranks
 
@@ -377,10 +377,8 @@ def remove_repeats(
 
     if length < STRETCH:
         raise ValueError(f"length must be at least {STRETCH}")
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"),
-        F.col(id_col).cast("long").alias("id"),
-        text_of(text_col).alias("text"),
+    source = numbered(
+        docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     )
     amount = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Equal texts take part once; each of them repeats as a whole.

@@ -345,9 +345,11 @@ def toxicity_scores(
     text_col: str = "text",
     label_col: str = "toxic",
     train_rows: int = 20_000,
+    row_col: str | None = None,
 ) -> DataFrame:
     """Per document row: row, id, held_out, score, predicted.
 
+    ``row`` is the column ``row_col`` of ``docs``, or else the place in the scan that scores.
     Labels of ids whose crc32 (of the id as text) is divisible by 5 are never used.
     """
     from pyspark.ml.classification import LogisticRegression
@@ -355,7 +357,7 @@ def toxicity_scores(
 
     held_out = F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))) % 5 == 0
     source = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"),
         F.col(id_col).alias("id"),
         F.lower(text_of(text_col)).alias("text"),
     )

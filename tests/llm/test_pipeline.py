@@ -4,11 +4,13 @@ from pathlib import Path
 
 import pytest
 from comparison import connect, difference
+from odd_tables import EXTRA
 from test_decontamination import brute_force as contaminated
 from test_jaccard_join import brute_force as near_copies
 
 import corpus_pipeline
 from slopefield.llm import queries
+from slopefield.session import session_settings
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not here")
@@ -61,3 +63,17 @@ def test_odd_rows_go_through(spark, odd, odd_rows):
     for name, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), name)
     assert 0 < docs.count() < len(odd_rows)
+
+
+def test_other_file_splits_reject_the_same_rows(spark, table_of):
+    # Executors that come or go between two scans change the splits of the second.
+    texts = [f"text {k} stands alone here with words w{k} x{k} y{k} z{k}" for k in range(60)]
+    docs = table_of([(k, texts[k % 50], "en", None, None, *EXTRA) for k in range(60)])
+    splits = {"spark__sql__files__openCostInBytes": "64m", "spark__sql__files__maxPartitionBytes": "64m"}
+    with session_settings(spark, **splits):
+        kept = corpus_pipeline.drop_near_copies(spark, docs, SF_DIR)
+    splits = {"spark__sql__files__openCostInBytes": "1m", "spark__sql__files__maxPartitionBytes": "1g",
+              "spark__sql__files__minPartitionNum": "1"}
+    with session_settings(spark, **splits):
+        rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == list(range(50)) and {r._row for r in rows} == {7}
