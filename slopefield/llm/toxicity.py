@@ -1,15 +1,19 @@
 """Toxicity by a noisy channel: restore obfuscated words, then score the restored text.
 
 *Channel.* A writer meant a word and typed it with digits or signs for letters (1d10t),
-with separators between letters (i d i o t, i-d-i-o-t) or with letters repeated
-(idiooot). ``restored`` builds the lattice of intended letters of such a token and takes
+with separators between letters (i d i o t, i--d--i--o--t) or with letters repeated
+(idiooot). Every token that mixes letters with signs, at any place, may be such a word, and
+so may three or more single letters; a last ! | or $ may be a letter or punctuation, so
+such a token is read both ways. ``restored`` builds the lattice of intended letters of such a token and takes
 its most likely path under a character trigram model and the channel's costs (Viterbi).
 The trigram counts come from all documents. Ordinary tokens are their own restoration.
 
 *Score.* Words and word beginnings of the restored text are weighed by the log-odds of
 the labelled documents that hold them; the two strongest, their number and their density
 enter a logistic regression (Spark ML) that is fitted on documents whose labels
-did not make the weights. Copies and near copies count once in training.
+did not make the weights. Copies and near copies count once in training: texts whose
+eight min-hashes over three-word shingles are all equal, which for a text pair of
+similarity s happens with probability s ** 8; the row of smallest id stands for them.
 
 At most ``train_rows`` labelled documents are used, chosen by a hash of their id. That
 bounds the labels and weights that are sent to the tasks; scoring reads every document
@@ -140,35 +144,48 @@ def restored(token: str, model: np.ndarray) -> str:
     return max((s + model[p, q, _EDGE], w) for (p, q), (s, w) in best.items())[1]
 
 
-def suspicious_tokens(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str]]:
-    """(document, token) of tokens that look obfuscated; data is lower case."""
+def suspicious_tokens(
+    data: np.ndarray, offsets: np.ndarray, doubtful: bool = False
+) -> list[tuple[int, str]]:
+    """(document, token) of tokens that look obfuscated; data is lower case.
+
+    With ``doubtful`` also what is as likely something else: a token once more with its last
+    signs where it is suspicious without them, and three single characters with signs among them.
+    """
     if len(data) < 3:
         return []
     letter = _LETTER[data]
     sign = _SIGN[data]
-    middle = np.zeros(len(data), bool)
-    middle[1:-1] = sign[1:-1] & letter[:-2] & (letter[2:] | sign[2:])
-    middle[2:] |= (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:] & (data[2:] < 128)
+    thrice = np.zeros(len(data), bool)
+    thrice[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:] & (data[2:] < 128)
     documents, starts, ends = K.find_runs(data, offsets, _LETTER | _SIGN)
     out = []
-    marked = np.add.reduceat(middle, starts) > 0 if len(starts) else np.zeros(0, bool)
-    for k in np.flatnonzero(marked):
+    letters, signs, triples = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, sign, thrice))
+    mixed = (letters[ends] > letters[starts]) & (signs[ends] > signs[starts])
+    # A run of one letter lies inside its token, whatever stands before the token.
+    repeated = triples[ends] > triples[np.minimum(starts + 2, ends)]
+    for k in np.flatnonzero(mixed | repeated):
         a, b = int(starts[k]), int(ends[k])
+        end = b
         while b > a and not letter[b - 1] and data[b - 1] in b"!|$":
             b -= 1
-        out.append((int(documents[k]), data[a:b].tobytes().decode("utf-8", "ignore")))
-    # Four or more single letters, one separator between each two.
-    documents, starts, ends = K.find_runs(data, offsets, _LETTER | _SIGN)
+        # Without its last signs, if the token is suspicious then, or else with them.
+        bare = bool(repeated[k]) or signs[b] > signs[a]
+        for stop in sorted({b} | ({end} if doubtful else set()) if bare else {end}):
+            out.append((int(documents[k]), data[a:stop].tobytes().decode("utf-8", "ignore")))
+    # Three or more single letters, only separators between each two.
     single = ends - starts == 1
     between = np.isin(data, np.frombuffer(SEPARATORS.encode(), np.uint8))
     link = np.zeros(len(starts), bool)
     if len(starts) > 1:
-        near = (starts[1:] - ends[:-1] == 1) & (documents[1:] == documents[:-1])
-        near &= between[np.minimum(ends[:-1], len(data) - 1)]
+        others = np.concatenate([[0], np.cumsum(~between)])
+        near = (others[starts[1:]] == others[ends[:-1]]) & (starts[1:] > ends[:-1])
+        near &= documents[1:] == documents[:-1]
         link[1:] = near & single[1:] & single[:-1]
     edge = np.flatnonzero(np.diff(np.concatenate([[0], link.astype(np.int8), [0]])))
     for a, b in zip(edge[::2], edge[1::2]):
-        if b - a >= 3:
+        held = sum(bool(letter[starts[k]]) for k in range(a - 1, b))
+        if b - a >= 3 or held == 3 or (doubtful and b - a == 2 and held):
             raw = data[starts[a - 1] : ends[b - 1]].tobytes().decode("utf-8", "ignore")
             out.append((int(documents[a]), raw))
     return out
@@ -201,7 +218,7 @@ class Featurizer:
     def features(self, data: np.ndarray, offsets: np.ndarray):
         """Pairs of arrays (document, feature), all features of the slice."""
         yield from self._hashed(data, *K.find_runs(data, offsets, _LETTER))
-        documents, words = self._restored(suspicious_tokens(data, offsets))
+        documents, words = self._restored(suspicious_tokens(data, offsets, doubtful=True))
         if words:
             raw = [w.encode() for w in words]
             bounds = np.concatenate([[0], np.cumsum([len(w) for w in raw])])

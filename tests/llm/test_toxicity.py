@@ -83,3 +83,34 @@ def test_odd_rows_and_empty_tables(spark, odd, odd_rows, nothing):
     rows = X.toxicity_scores(odd, some).collect()
     assert len(rows) == len(odd_rows) and all(0 <= r.score <= 1 for r in rows)
     assert X.toxicity_scores(nothing, some).count() == 0
+
+
+def tokens(text, **how):
+    raw = text.encode()
+    return [t for _, t in X.suspicious_tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), **how)]
+
+
+def test_tokens_hidden_at_their_ends_or_short_are_found():
+    for token in ("$tupid", "1diot", "@ss", "as$", "naz!", "clow7", "a s s", "a-s-s", "a  s .. s"):
+        assert tokens(f"you {token} there") == [token]
+    assert tokens("an 1d10t!", doubtful=True) == ["1d10t", "1d10t!"]
+    assert tokens("so @ s s then", doubtful=True) == ["@ s s"]
+    assert tokens("in 1984 | 5 - 6 it cost $ 7") == tokens("plain words. or two") == []
+
+
+def test_documents_with_all_bad_words_hidden_are_toxic(spark, table_of):
+    rng = np.random.default_rng(1)
+    rows = []
+    for k in range(900):
+        words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30)]
+        if k % 6 == 0:
+            words.insert(int(rng.integers(0, 30)), ["zug", "snorkfool", "wretchy"][k // 6 % 3])
+        rows.append((k, " ".join(words)))
+    filler = rows[1][1]
+    hidden = ["$norkfool", "z  u  g", "z-u-g", "2ug z u g", "$norkf00l!"]
+    rows += [(9000 + k, f"{filler} {word} {filler}") for k, word in enumerate(hidden)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    labels = spark.createDataFrame([(k, int(k % 6 == 0), "t", 1) for k in range(900)], LABELS)
+    found = {r.id: r.predicted for r in X.toxicity_scores(docs, labels).collect()}
+    assert [found[9000 + k] for k in range(len(hidden))] == [1] * len(hidden)
+    assert np.mean([found[k] for k in range(900) if k % 6]) < 0.03
