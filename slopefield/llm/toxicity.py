@@ -52,6 +52,7 @@ PREFIXES = range(3, 9)
 LEAST_POSITIVE = 3
 # Documents at the base rate that every feature is taken to have been seen in before.
 PRIOR = 5.0
+FAMILY_WORDS, FAMILY_HASHES = 3, 8
 
 _LETTER = K.byte_class(lambda b: 97 <= b <= 122 or b >= 128)
 _SIGN = K.byte_class(lambda b: chr(b) in SIGNS)
@@ -355,6 +356,28 @@ def _evidence(docs: DataFrame, model: np.ndarray, weights, passed: list[str]) ->
     )
 
 
+def one_of_each_family(rows: DataFrame) -> DataFrame:
+    """id, label, text of the row of smallest id of all that have equal or nearly equal texts
+    and one label: those of one signature, FAMILY_HASHES min-hashes over word shingles."""
+    hashes = F.transform(F.split("text", r"\s+"), lambda w: F.xxhash64(w))
+    shingles = F.col("_hashes")
+    for k in range(1, FAMILY_WORDS):  # null behind the end, which a hash skips
+        shingles = F.zip_with(
+            shingles, F.slice("_hashes", k + 1, F.size("_hashes")), lambda s, w: F.xxhash64(s, w)
+        )
+    signature = [
+        F.array_min(F.transform("_shingles", lambda s, k=k: F.xxhash64(s, F.lit(k))))
+        for k in range(FAMILY_HASHES)
+    ]
+    return (
+        rows.withColumn("_hashes", hashes)
+        .withColumn("_shingles", shingles)
+        .groupBy("label", F.array(*signature).alias("_family"))
+        .agg(F.min(F.struct("id", "text")).alias("least"))
+        .select("least.id", "label", "least.text")
+    )
+
+
 def toxicity_scores(
     docs: DataFrame,
     labels: DataFrame,
@@ -387,16 +410,8 @@ def toxicity_scores(
         .orderBy(F.xxhash64("id"), "id")
         .limit(train_rows)
     )
-    # One document of each family of copies: by the smallest hash of its words.
-    words = F.split("text", r"\s+")
-    family = F.array_min(F.transform(words, lambda w: F.xxhash64(w)))
-    train = stored(
-        source.join(F.broadcast(chosen), "id")
-        .withColumn("family", family)
-        .dropDuplicates(["family", "label"])
-        .select("id", "label", "text"),
-        "labelled",
-    )
+    families = one_of_each_family(source.join(F.broadcast(chosen), "id"))
+    train = stored(families.repartition(16), "labelled")
     sizes = {r.label: r.n for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     passed = ["row", "id"]
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 4:

@@ -114,3 +114,16 @@ def test_documents_with_all_bad_words_hidden_are_toxic(spark, table_of):
     found = {r.id: r.predicted for r in X.toxicity_scores(docs, labels).collect()}
     assert [found[9000 + k] for k in range(len(hidden))] == [1] * len(hidden)
     assert np.mean([found[k] for k in range(900) if k % 6]) < 0.03
+
+
+def test_only_equal_and_near_texts_are_one_family(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(["the", *("".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400))]) for _ in range(50)]
+    rows = [(100 + k, k % 2, t) for k, t in enumerate(texts)]  # every text holds "the"
+    rows += [(7, 0, texts[0]), (300, 0, texts[2] + " z"), (8, 0, texts[1]), (400, 1, ""), (401, 1, "a")]
+    found = X.one_of_each_family(spark.createDataFrame(rows, "id long, label int, text string")).collect()
+    ids = {r.id for r in found}
+    assert 7 in ids and 100 not in ids  # the smallest id of equal texts
+    assert {8, 101} <= ids  # other label
+    assert {r[0] for r in rows} - ids <= {100, 300} and len(found) >= 53
+    assert {r.id: r.text for r in found} == {i: t for i, _, t in rows if i in ids}
