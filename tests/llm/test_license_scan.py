@@ -49,3 +49,38 @@ def test_repeated_rows_and_empty_tables(table_of):
     assert all(r.licence == "MIT" for r in found.values()) and len(found) == 41
     assert scanned(table_of, []) == {}
     assert {r.origin for r in scanned(table_of, [(1, "a", "b", False)]).values()} == {"none"}
+
+
+def licence_text(name):
+    return next(t for k, t in S.all_templates() if k == name and len(t.split()) > 150)
+
+
+def commented(text, sign, width=70):
+    import textwrap
+
+    return "\n".join(f"{sign} {x}".rstrip() for p in text.split("\n\n") for x in [*textwrap.wrap(p, width), ""])
+
+
+def test_real_headers_and_licence_files(table_of):
+    gpl3, gpl2 = S.HEADERS["GPL-3.0"][1], S.HEADERS["GPL-2.0"][1]
+    apache = S.HEADERS["Apache-2.0"][0].replace(" Unless", "\n\nUnless")
+    code = "\ndef run(values):\n    return sorted(values)\n\nclass Name:\n    pass\n"
+    rows = [
+        (1, "a/x.py", "# Copyright 2020 Some One\n#\n" + commented(gpl3, "#") + code * 9, False),
+        (2, "a/y.py", commented(gpl2, "#") + code, False),
+        (3, "a/z.c", "/*\n" + commented(apache, " *") + " */\nint main(void) { return 0; }\n" + code, False),
+        (4, "b/w.py", "# SPDX-License-Identifier: (MIT OR GPL-2.0-or-later)\n" + code, False),
+        (5, "b/v.py", "# SPDX-License-Identifier: ISC\n" + code, False),
+        (6, "c/m.txt", code + "\n" + licence_text("MIT").replace("<year> <copyright holders>", "2021 A"), False),
+        (7, "c/r.py", commented(gpl3.split(" This program is distributed")[0], "#", 60).strip() + code, False),
+        (8, "c/de.txt", "Copyright mit allen\nin the mozilla of a public source", False),
+    ]
+    names = ["Apache-2.0", "GPL-3.0", "GPL-2.0", "LGPL-3.0", "MPL-2.0", "MIT", "BSD-3-Clause", "BSD-2-Clause"]
+    rows += [
+        (20 + k, f"f{k}/LICENSE", "Some Project\n\n" + licence_text(n).replace("<year>", "1999"), True)
+        for k, n in enumerate(names)
+    ]
+    found = {k: r.own_licence for k, r in scanned(table_of, rows).items()}
+    assert [found[20 + k] for k in range(len(names))] == names
+    assert [found[k] for k in (1, 2, 3, 6, 7)] == ["GPL-3.0", "GPL-2.0", "Apache-2.0", "MIT", "GPL-3.0"]
+    assert found[4] in ("MIT", "GPL-2.0") and found[5] is None and found[8] is None
