@@ -5,7 +5,8 @@
     jaccard_join    of each group of near copies (five-word shingles, similarity 0.8 or
                     more, through chains of links) the row with the smallest doc_id stays
     decontaminate   documents with a word inside any window of a benchmark item go
-    sentencepiece   the rows that are left, with the ids of their best segmentation
+    sentencepiece   the rows that are left, with the ids of their four best segmentations and
+                    the text decoded from the best
 
 Each stage is written as Parquet to the shared folder and read again before the next: a
 lost executor costs a stage's tasks, not the pipeline. Stages that reject rows first store
@@ -23,6 +24,7 @@ from slopefield.llm.common import numbered, stored, table
 
 # The row number, under a name that no column of the documents has.
 ROW = "_place_in_stage"
+N_BEST = 4
 
 
 def _without(placed: DataFrame, rejected: DataFrame) -> DataFrame:
@@ -57,10 +59,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    found = piece_lattice.encode_documents(
-        docs, public_tokenizers.path("piece_bpe_32k.model"), n_best=1
-    )
-    return found.select(F.col("id").alias("doc_id"), "n_pieces", "pieces", "restored")
+    file = public_tokenizers.path("piece_bpe_32k.model")
+    found = piece_lattice.encode_documents(docs, file, n_best=N_BEST)
+    return piece_lattice.decode_documents(found, file).select(
+        F.col("id").alias("doc_id"), "n_pieces", "pieces", "scores", "alternatives", "restored",
+        F.col("text").alias("decoded"),
+    )
 
 
 STAGES = [
@@ -71,8 +75,9 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-# The first stage learns a model and the last follows a vocabulary: no SQL. The tests hold
-# every stage against a brute-force version instead.
+# The first stage learns a model and the last follows a vocabulary: no SQL. The tests hold the
+# three stages between them against brute force on whole tables, the last against all
+# segmentations of a small fixture, and the first against planted words.
 ORACLE_SQL = None
 
 

@@ -83,6 +83,7 @@ class PieceModel:
         self.single_ascii = np.array([bytes([b]) in single for b in range(256)])
         self.single = single
         self.table = L.PieceTable(ordinary)
+        self.byte_of = {int(k): byte for byte, k in enumerate(self.byte_ids)}
 
     def escaped(self, text: str) -> bytes:
         return (SPACE + text.replace(" ", SPACE)).encode() if text else b""
@@ -108,10 +109,7 @@ class PieceModel:
 
     def decode(self, ids) -> str:
         out = b"".join(
-            bytes([int(np.flatnonzero(self.byte_ids == k)[0])])
-            if self.text[k] is None
-            else self.text[k]
-            for k in ids
+            bytes([self.byte_of[k]]) if self.text[k] is None else self.text[k] for k in ids
         )
         text = out.decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
@@ -377,8 +375,8 @@ def encode_documents(
     with_ids: bool = True,
 ) -> DataFrame:
     """Per document row: id, n_pieces, pieces (best ids), scores (n best), alternatives (the
-    other ids), ids_crc32 (of all n best as little-endian 32 bit), restored (decoding the best
-    gives the text back)."""
+    other ids), ids_crc32 (of all n best as little-endian 32 bit), restored (the best, decoded as
+    ``PieceModel.decode`` does, is the text: false where it holds U+2581 itself)."""
     import pyarrow as pa
 
     with open(model_file, "rb") as f:
@@ -389,9 +387,6 @@ def encode_documents(
     def run(batches):
         model = PieceModel(shared.value)
         segmenter = Segmenter(model, n_best)
-        decoded = {k: v for k, v in enumerate(model.text)}
-        for byte in range(256):
-            decoded[int(model.byte_ids[byte])] = bytes([byte])
         for batch in batches:
             _, offsets = K.text_buffers(batch.column(1))
             for a, b in K.document_slices(offsets, SLICE):
@@ -402,7 +397,6 @@ def encode_documents(
                     for _, ids in found:
                         crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
                     best = found[0][1]
-                    back = b"".join(map(decoded.__getitem__, best.tolist()))
                     rows.append(
                         (
                             len(best),
@@ -410,7 +404,7 @@ def encode_documents(
                             [s for s, _ in found],
                             [i.astype(np.int32) for _, i in found[1:]] if with_ids else None,
                             crc,
-                            back == model.escaped(text),
+                            model.decode(best.tolist()) == text,
                         )
                     )
                 columns = list(zip(*rows))

@@ -3,7 +3,9 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from odd_tables import EXTRA
 
+import corpus_pipeline
 from slopefield.llm import piece_lattice as P
 
 FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -77,3 +79,25 @@ def test_round_trip_of_odd_rows(odd, odd_rows):
 def test_empty_table(nothing):
     assert P.encode_documents(nothing, FILE).count() == 0
     assert P.decode_documents(P.encode_documents(nothing, FILE), FILE).count() == 0
+
+
+def test_restored_is_the_decoded_text(table_of):
+    texts = ["the cat", "a \u2581 b", "\u2581", " \u2603\n", "", None]
+    rows = [(k, t, "en", None, None, *EXTRA) for k, t in enumerate(texts)]
+    encoded = P.encode_documents(table_of(rows), FILE, n_best=2)
+    found = {r.id: r for r in P.decode_documents(encoded, FILE).collect()}
+    assert [found[k].restored for k in range(6)] == [True, False, False, True, True, True]
+    assert all(r.restored == (r.text == (texts[k] or "")) for k, r in found.items())
+
+
+def test_pipeline_stage_against_all_segmentations(spark, model, table_of):
+    rows = [(k, t, "en", None, None, *EXTRA) for k, t in enumerate(TEXTS)]
+    found = {r.doc_id: r for r in corpus_pipeline.encode(spark, table_of(rows), "").collect()}
+    for k, text in enumerate(TEXTS):
+        want, r = every_segmentation(model, text), found[k]
+        assert r.decoded == text and r.restored and r.n_pieces == len(r.pieces)
+        assert len(r.scores) == 1 + len(r.alternatives) == min(corpus_pipeline.N_BEST, len(want))
+        assert np.allclose(r.scores, [s for s, _ in want[: corpus_pipeline.N_BEST]])
+        ids = [tuple(x) for x in (r.pieces, *r.alternatives)]
+        assert len(set(ids)) == len(ids) and set(ids) <= {x for _, x in want}
+        assert all(model.decode(x) == text for x in ids)
