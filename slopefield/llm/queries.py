@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slopefield.llm import (
+    conversation_repair,
     decontamination,
     exact_dedup,
     jaccard_join,
@@ -119,6 +120,13 @@ def op10_warc(spark, sf_dir):
     return records.withColumnRenamed("id", "page_id").select(*DIGEST_COLUMNS)
 
 
+def op12_conversation_repair(spark, sf_dir):
+    """Damaged conversations: their faults, cheapest edits and what is left."""
+    turns = table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damaged(turns))
+    return conversation_repair.repair_digests(turns, found)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_records": op2_token_records,
@@ -130,6 +138,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op12_conversation_repair": op12_conversation_repair,
 }
 
 SQL = {
@@ -259,6 +268,80 @@ SQL = {
                     ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
         FROM d""",
+    "op12_conversation_repair": """
+        WITH RECURSIVE t AS (
+            SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z:
+                   CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
+            FROM range(256) AS v(i)),
+        k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce([4294967295] || list_transform(string_split(
+                       coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' ||
+                       coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+                       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 20 AS kind
+            FROM conversations, t),
+        d AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g')
+                        ELSE text END AS text
+            FROM k, range(2) AS c(copy) WHERE kind <> 0 AND (copy = 0 OR kind = 3)),
+        o AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+            FROM d),
+        r AS (
+            SELECT *, left(role, 1) AS initial,
+                   CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+                        WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+                        WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated'
+                        ELSE 'none' END AS fault,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+            FROM o),
+        s AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank,
+                   count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+            FROM r GROUP BY conv_id),
+        a(state, ahead, given) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+        g AS (
+            SELECT state, state AS spot, '' AS letters, CAST([] AS VARCHAR[]) AS lines FROM a
+            UNION ALL SELECT state, ahead, 'I', [given || ':'] FROM a
+            UNION ALL SELECT a.state, b.ahead, 'II', [a.given || ':', b.given || ':']
+            FROM a JOIN a AS b ON b.state = a.ahead WHERE a.state < 2),
+        kept(spot, initial, ahead) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+        e AS (
+            SELECT conv_id, i, spot, spot AS ahead, 'D' AS letter, 2 AS price, CAST([] AS VARCHAR[]) AS line
+            FROM r, (SELECT DISTINCT spot FROM g)
+            UNION ALL SELECT conv_id, i, spot, ahead, 'K', CASE fault WHEN 'truncated' THEN 5 ELSE 0 END,
+                   [role || ':' || text]
+            FROM r JOIN kept USING (initial) WHERE fault IN ('truncated', 'none')
+            UNION ALL SELECT conv_id, i, state, ahead, 'R', CASE fault WHEN 'truncated' THEN 6 ELSE 1 END,
+                   [given || ':' || text] FROM r, a WHERE fault IN ('truncated', 'none')),
+        w AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS state, '000000000' AS v, CAST([] AS VARCHAR[]) AS lines
+            FROM s
+            UNION ALL
+            SELECT conv_id, i, ahead, min(v), arg_min(lines, v) FROM (
+                SELECT w.conv_id, e.i, e.ahead,
+                       lpad(CAST(CAST(v[1:9] AS BIGINT) + 5 * length(letters) + price AS VARCHAR), 9, '0')
+                       || v[10:] || letters || letter AS v, w.lines || g.lines || line AS lines
+                FROM w JOIN g USING (state)
+                JOIN e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.i = w.i + 1 AND e.spot = g.spot)
+            GROUP BY conv_id, i, ahead),
+        b AS (
+            SELECT conv_id, min(v) AS v, arg_min(lines, v) AS lines FROM (
+                SELECT w.conv_id, lpad(CAST(CAST(v[1:9] AS BIGINT) + 5 * length(letters) AS VARCHAR), 9, '0')
+                       || v[10:] || letters AS v, w.lines || g.lines AS lines
+                FROM w JOIN g USING (state) JOIN s ON s.conv_id IS NOT DISTINCT FROM w.conv_id AND s.n = w.i
+                WHERE g.spot IN (0, 3))
+            GROUP BY conv_id)
+        SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank,
+               coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(CAST(v[1:9] AS BIGINT), 0) AS cost,
+               coalesce(v[10:], '') AS audit,
+               sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) AS c
+        LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
+        LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id""",
 }
-
-
