@@ -12,6 +12,7 @@ from slopefield.llm import (
     language_id,
     license_scan,
     piece_lattice,
+    simhash,
     suffix_dedup,
     token_records,
     toxicity,
@@ -120,6 +121,12 @@ def op10_warc(spark, sf_dir):
     return records.withColumnRenamed("id", "page_id").select(*DIGEST_COLUMNS)
 
 
+def op11_simhash(spark, sf_dir):
+    """Components of documents whose fingerprints differ in three bits or fewer."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op12_conversation_repair(spark, sf_dir):
     """Damaged conversations: their faults, cheapest edits and what is left."""
     turns = table(spark, sf_dir, "conversations")
@@ -138,6 +145,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op11_simhash": op11_simhash,
     "op12_conversation_repair": op12_conversation_repair,
 }
 
