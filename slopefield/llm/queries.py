@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from slopefield.llm import (
+    collocations,
     conversation_repair,
     decontamination,
     exact_dedup,
@@ -134,6 +135,11 @@ def op12_conversation_repair(spark, sf_dir):
     return conversation_repair.repair_digests(turns, found)
 
 
+def op13_collocations(spark, sf_dir):
+    """The first 2,000 phrases of two to four words of each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_token_records": op2_token_records,
@@ -147,6 +153,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_simhash": op11_simhash,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_collocations": op13_collocations,
 }
 
 SQL = {
@@ -352,4 +359,40 @@ SQL = {
         FROM (SELECT DISTINCT conv_id FROM conversations) AS c
         LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id
         LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id""",
+    "op13_collocations": """
+        WITH p AS (
+            SELECT doc_id, lang, piece, row_number() OVER () AS number FROM (
+                SELECT doc_id, coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                       translate(coalesce(text, ''), {upper}, {lower}), '[.,;:!?\\x0A-\\x0D]')) AS piece
+                FROM documents)),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (
+            SELECT lang, w[i:i + k - 1] AS g, count(*) AS f
+            FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+                  FROM w, (VALUES (1), (2), (3), (4)) AS s(k) WHERE len(w) >= k)
+            GROUP BY 1, 2 HAVING count(*) >= 30),
+        c AS (SELECT * FROM g WHERE len(g) > 1),
+        u AS (
+            SELECT x.lang, x.g, x.f AS a, k, l.f AS l, r.f AS r,
+                   CAST(2000000 * CAST(x.f AS HUGEINT) // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+            FROM (SELECT lang, g, f, unnest(range(1, len(g))) AS k FROM c) AS x
+            JOIN g AS l ON l.lang = x.lang AND l.g = x.g[1:k]
+            JOIN g AS r ON r.lang = x.lang AND r.g = x.g[k + 1:]),
+        b AS (
+            SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+        i AS (
+            SELECT lang, g[s:s + m - 1] AS g, max(f) AS most
+            FROM (SELECT lang, g, f, m, unnest(range(1, len(g) - m + 2)) AS s
+                  FROM c, (VALUES (2), (3)) AS t(m) WHERE len(g) > m)
+            GROUP BY 1, 2)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM (
+            SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score,
+                   row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC,
+                                      encode(array_to_string(b.g, ' '))) AS rank
+            FROM b LEFT JOIN i ON i.lang = b.lang AND i.g = b.g
+            WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+        JOIN n USING (lang) WHERE rank <= 2000""".format(
+        upper=UPPER, lower=LOWER
+    ),
 }
