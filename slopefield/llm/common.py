@@ -50,6 +50,45 @@ def deleted(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def kept_in_worker(kind: str, name: str, make):
+    """What ``make`` returns, kept for later tasks of this worker process: one of each kind.
+
+    This package travels with its functions, so its own modules are new in every task; the
+    worker's table of modules is not.
+    """
+    import sys
+    from types import ModuleType
+
+    held = vars(sys.modules.setdefault("slopefield_kept", ModuleType("slopefield_kept")))
+    if held.get(kind, ("",))[0] != name:
+        held.pop(kind, None)
+        held[kind] = (name, make())
+    return held[kind][1]
+
+
+def lean(function):
+    """A function over the batches of a task that gives freed memory back when the task ends.
+
+    Workers are used again by later tasks. What a task's arrays and tables took stays with
+    the allocators of its process otherwise, and adds up with what later stages need.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import stored, text_of
+from slopefield.llm.common import lean, stored, text_of
 
 # Fixed values of the channel: what a typed sign may stand for.
 SIGNS = {
@@ -91,7 +91,7 @@ def character_model(texts: DataFrame) -> np.ndarray:
         )
 
     counts = np.full(SYMBOLS**3, 0.1)
-    summed = texts.mapInArrow(counted, "code long, n long").groupBy("code").agg(F.sum("n"))
+    summed = texts.mapInArrow(lean(counted), "code long, n long").groupBy("code").agg(F.sum("n"))
     for code, n in summed.collect():  # at most 28 cubed rows
         counts[code] += n
     grid = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -242,6 +242,14 @@ def _distinct_features(featurizer: Featurizer, column):
             yield np.unique(features[order[bounds[d] : bounds[d + 1]]])
 
 
+def _among(features: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which features are among the sorted wanted ones."""
+    if not len(wanted):
+        return np.zeros(len(features), bool)
+    at = np.minimum(np.searchsorted(wanted, features), len(wanted) - 1)
+    return wanted[at] == features
+
+
 def feature_weights(train: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features, log-odds), of features in at least LEAST_POSITIVE documents labelled 1.
 
@@ -253,12 +261,15 @@ def feature_weights(train: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np
         def run(batches):
             featurizer, found, labels = Featurizer(model), [], []
             for batch in batches:
-                marks = batch.column(0).to_pylist()
-                for y, features in zip(marks, _distinct_features(featurizer, batch.column(1))):
-                    if wanted is not None:
-                        features = features[np.isin(features, wanted)]
-                    found.append(features)
-                    labels.append(np.full(len(features), y, np.int64))
+                mine = list(_distinct_features(featurizer, batch.column(1)))
+                features = np.concatenate([np.zeros(0, np.uint64), *mine])
+                marks = batch.column(0).to_numpy().astype(np.int64)
+                marks = np.repeat(marks, [len(f) for f in mine])
+                if wanted is not None:
+                    among = _among(features, wanted)
+                    features, marks = features[among], marks[among]
+                found.append(features)
+                labels.append(marks)
             features = np.concatenate(found) if found else np.zeros(0, np.uint64)
             labels = np.concatenate(labels) if labels else np.zeros(0, np.int64)
             names, place = np.unique(features, return_inverse=True)
@@ -275,12 +286,12 @@ def feature_weights(train: DataFrame, model: np.ndarray) -> tuple[np.ndarray, np
 
     schema = "feature long, ones long, zeros long"
     total = F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros")
-    positive = train.where("label = 1").select("label", "text").mapInArrow(counted(None), schema)
+    positive = train.where("label = 1").select("label", "text").mapInArrow(lean(counted(None)), schema)
     frequent = (
         positive.groupBy("feature").agg(*total).where(f"ones >= {LEAST_POSITIVE}").select("feature")
     )
     wanted = np.array([r.feature for r in frequent.collect()], np.int64).view(np.uint64)
-    summed = train.select("label", "text").mapInArrow(counted(np.sort(wanted)), schema)
+    summed = train.select("label", "text").mapInArrow(lean(counted(np.sort(wanted))), schema)
     rows = summed.groupBy("feature").agg(*total).collect()
     sizes = {r.label: r.n for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     base = sizes.get(1, 0) / max(1, sum(sizes.values()))
@@ -352,7 +363,7 @@ def _evidence(docs: DataFrame, model: np.ndarray, weights, passed: list[str]) ->
 
     types = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in passed)
     return docs.select(*passed, "text").mapInArrow(
-        run, f"{types}, top1 double, top2 double, hits double, density double"
+        lean(run), f"{types}, top1 double, top2 double, hits double, density double"
     )
 
 

@@ -1,3 +1,4 @@
+import itertools
 import zlib
 
 import numpy as np
@@ -25,6 +26,39 @@ def test_restoration(model, typed, meant):
     assert X.restored(typed, model) == meant
 
 
+def by_enumeration(token, model):
+    """The best of all ways through the lattice of a token."""
+    edge, best = X._EDGE, None
+    for way in itertools.product(*X._steps(token)):
+        word = "".join(letters for letters, _ in way)
+        symbols = [edge, edge, *(ord(c) - 97 if "a" <= c <= "z" else 26 for c in word), edge]
+        score = sum(model[t] for t in zip(symbols, symbols[1:], symbols[2:]))
+        score -= sum(cost for _, cost in way)
+        if best is None or score > best[0]:
+            best = score, word
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_viterbi_finds_the_best_of_all_ways(model, seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(25):
+        token = "".join(rng.choice(list("aidot01357@$!|-. é"), rng.integers(1, 8)))
+        token += token[-1] * int(rng.integers(0, 3))
+        score, word = by_enumeration(token, model)
+        mine = X.restored(token, model)
+        symbols = [X._EDGE] * 2 + [ord(c) - 97 if "a" <= c <= "z" else 26 for c in mine] + [X._EDGE]
+        assert mine == word or sum(model[t] for t in zip(symbols, symbols[1:], symbols[2:])) >= score
+
+
+def test_wanted_features_are_found_by_search():
+    rng = np.random.default_rng(1)
+    features = rng.integers(0, 50, 400).astype(np.uint64)
+    wanted = np.unique(rng.integers(0, 60, 20)).astype(np.uint64)
+    assert (X._among(features, wanted) == np.isin(features, wanted)).all()
+    assert not X._among(features, wanted[:0]).any()
+
+
 def test_character_model_is_a_distribution(model):
     assert np.allclose(np.exp(model).sum(axis=2), 1.0)
 
