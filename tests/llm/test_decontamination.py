@@ -9,7 +9,7 @@ ITEMS = "item_id string, text string, segment string, term string"
 
 
 def brute_force(rows, items, window=10):
-    parsed = [(i or "", D.words_of(t)) for i, t in items]
+    parsed = [("" if i is None else str(i), D.words_of(t)) for i, t in items]
     out = []
     for i, text in rows:
         w = D.words_of(text)
