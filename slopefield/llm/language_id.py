@@ -6,12 +6,12 @@ algorithm gives; a text's is the product over its words (maximal runs of letters
 case). Training is expectation maximisation: forward and backward sums give the expected
 count of every piece in the words of each language.
 
-At most ``train_rows`` labelled documents, chosen by a hash of their id, are learnt from;
-scoring reads every document whole and shuffles nothing.
+At most ``train_rows`` labelled documents, chosen by a hash of id and text, are learnt from
+(and as often in another language as such a row has one); scoring reads every document whole and shuffles nothing.
 
-Defined cases: a text that is null or has no letter is ``und`` with score 0; runs longer
-than 64 bytes are cut every 64 bytes; rows without a language are not learnt from; without
-any labelled row every text is ``und``. Ties go to the language that sorts first.
+Defined cases: a text that is null or has no letter is ``und`` with score 0; runs of letters
+of any length are summed over whole, but training cuts those over 64 bytes there; rows without a language are not learnt from and
+repeated rows once; without any labelled row every text is ``und``. Ties go to the language that sorts first.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
 from slopefield.llm import lattice as L
-from slopefield.llm.common import stored, text_of
+from slopefield.llm.common import lean, stored, text_of
 
 WORD_START = "▁"
 LONGEST_RUN = 64
@@ -50,11 +50,11 @@ def vocabulary(model_file: str) -> list[tuple[bytes, int]]:
     return [(piece, k) for k, piece in enumerate(sorted(out))]
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, hasher: K.ByteHasher):
+def _words(data: np.ndarray, offsets: np.ndarray, hasher: K.ByteHasher, cut: bool):
     """(document of each word, distinct words as bytes and offsets, word -> distinct)."""
     documents, starts, ends = K.find_runs(data, offsets, _LETTER)
     long = ends - starts > LONGEST_RUN
-    if long.any():
+    if cut and long.any():
         counts = -(-(ends - starts) // LONGEST_RUN)
         inner = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         documents = np.repeat(documents, counts)
@@ -89,7 +89,7 @@ def _expected_counts(
             data, offsets = K.text_buffers(batch.column(1))
             for a, b in K.document_slices(offsets):
                 part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                documents, flat, flat_offsets, place = _words(*part, table.hasher)
+                documents, flat, flat_offsets, place = _words(*part, table.hasher, True)
                 if not len(place):
                     continue
                 edges = table.edges(flat, flat_offsets)
@@ -110,7 +110,7 @@ def _expected_counts(
 
     summed = (
         train.select("lang", "text")
-        .mapInArrow(expected, "piece int, language int, n double")
+        .mapInArrow(lean(expected), "piece int, language int, n double")
         .groupBy("piece", "language")
         .agg(F.sum("n").alias("n"))
     )
@@ -161,12 +161,11 @@ def predict(texts: DataFrame, model, passed: list[str]) -> DataFrame:
             names, scores = [], []
             for a, b in K.document_slices(offsets, SLICE):
                 part = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                documents, flat, flat_offsets, place = _words(*part, table.hasher)
+                documents, flat, flat_offsets, place = _words(*part, table.hasher, False)
                 total = np.zeros((b - a, len(languages)))
                 if len(place):
                     edges = table.edges(flat, flat_offsets)
-                    mass = L.forward(edges, weights)[edges.last]
-                    each = np.log(np.maximum(mass, 1e-300))[place]
+                    each = L.log_masses(edges, weights, table.longest)[place]
                     head = np.flatnonzero(
                         np.concatenate([[True], documents[1:] != documents[:-1]])
                     )
@@ -187,7 +186,23 @@ def predict(texts: DataFrame, model, passed: list[str]) -> DataFrame:
             )
 
     types = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in passed)
-    return texts.select(*passed, "text").mapInArrow(run, f"{types}, lang_pred string, score double")
+    return texts.select(*passed, "text").mapInArrow(lean(run), f"{types}, lang_pred string, score double")
+
+
+def training_rows(labelled: DataFrame, most: int) -> DataFrame:
+    """lang and text of the rows whose hash of id and text is among the ``most`` smallest.
+
+    What is chosen follows from the rows alone, so that scans with other file splits choose
+    the same; equal rows count once.
+    """
+    hashed = labelled.where("lang IS NOT NULL").select(
+        F.xxhash64("id", "text").alias("at"), "lang", "text"
+    )
+    chosen = hashed.select("at").distinct().orderBy("at").limit(most)
+    last = chosen.agg(F.max("at")).first()[0]
+    if last is None:
+        return hashed.select("lang", "text").limit(0)
+    return hashed.where(F.col("at") <= last).dropDuplicates(["at", "lang"]).select("lang", "text")
 
 
 def identify(
@@ -199,7 +214,7 @@ def identify(
     train_rows: int = 8_000,
     rounds: int = 3,
 ) -> DataFrame:
-    """Per document row: row, id, held_out, lang_pred, score.
+    """Per document row: row (its place in the scan that scores), id, held_out, lang_pred, score.
 
     Rows whose crc32 (of the id as text) leaves 2 when divided by 4 are not learnt from.
     """
@@ -210,16 +225,7 @@ def identify(
         F.col(lang_col).cast("string").alias("lang"),
         F.lower(text_of(text_col)).alias("text"),
     )
-    chosen = (
-        source.where(F.col("lang").isNotNull() & ~held_out)
-        .select("row", F.xxhash64("id", "row").alias("at"))
-        .orderBy("at", "row")
-        .limit(train_rows)
-        .select("row")
-    )
-    train = stored(
-        source.join(F.broadcast(chosen), "row").select("lang", "text").repartition(16), "labelled"
-    )
+    train = stored(training_rows(source.where(~held_out), train_rows).repartition(16), "labelled")
     if train.isEmpty():
         return source.select(
             "row", "id", held_out.alias("held_out"), F.lit("und").alias("lang_pred"),

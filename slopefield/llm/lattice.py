@@ -145,6 +145,40 @@ def forward(edges: Edges, weights: np.ndarray) -> np.ndarray:
     return alpha
 
 
+# Steps after which sums are brought back to one, so that words of any length stay in range.
+RESCALE = 64
+
+
+def log_masses(edges: Edges, weights: np.ndarray, longest: int) -> np.ndarray:
+    """Logarithm of the sum over all segmentations of each word, per column.
+
+    ``longest`` is the length of the longest piece: what lies further back is not read again,
+    so only so many sums are rescaled with every step.
+    """
+    alpha = np.zeros((edges.nodes, weights.shape[1]))
+    alpha[edges.first] = 1.0
+    lengths = edges.last - edges.first
+    logs = np.zeros((len(lengths), weights.shape[1]))
+    for t in range(1, len(edges.steps) - 1):
+        a, b = edges.steps[t], edges.steps[t + 1]
+        if a < b:
+            target = edges.target[a:b]
+            head = np.flatnonzero(np.concatenate([[True], target[1:] != target[:-1]]))
+            part = alpha[edges.source[a:b]] * weights[edges.piece[a:b]]
+            alpha[target[head]] = np.add.reduceat(part, head, axis=0)
+        if t % RESCALE == 0:
+            further = np.flatnonzero(lengths > t)
+            if len(further):
+                back = np.arange(max(0, t - longest + 1), t + 1)
+                rows = edges.first[further][:, None] + back[None, :]
+                sums = alpha[rows]
+                top = sums.max(axis=1)
+                top = np.where(top > 0, top, 1.0)
+                alpha[rows] = sums / top[:, None, :]
+                logs[further] += np.log(top)
+    return logs + np.log(np.maximum(alpha[edges.last], 1e-300))
+
+
 def backward(edges: Edges, weights: np.ndarray) -> np.ndarray:
     """Per node and column, the sum over all segmentations from it to the word's end."""
     beta = np.zeros((edges.nodes, weights.shape[1]))
