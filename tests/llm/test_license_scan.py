@@ -1,3 +1,7 @@
+import math
+import re
+from collections import Counter
+
 from slopefield.llm import license_scan as S
 
 FILES = "id long, path string, text string, licence_file boolean, word string, folder string"
@@ -84,3 +88,57 @@ def test_real_headers_and_licence_files(table_of):
     assert [found[20 + k] for k in range(len(names))] == names
     assert [found[k] for k in (1, 2, 3, 6, 7)] == ["GPL-3.0", "GPL-2.0", "Apache-2.0", "MIT", "GPL-3.0"]
     assert found[4] in ("MIT", "GPL-2.0") and found[5] is None and found[8] is None
+
+
+def plain_words(text):
+    return set(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower()))
+
+
+def best_by_brute_force(found, templates):
+    """(licence, cosine) by passage: full TF-IDF vectors of every passage and template."""
+    texts, copies = {}, Counter()
+    for r in found:
+        texts[r.key] = r.passage
+        copies[r.key] += r.core
+    total, df = sum(copies.values()), Counter()
+    for key, text in texts.items():
+        for w in plain_words(text):
+            df[w] += copies[key]
+    weight = lambda w: math.log((1 + total) / (1 + df[w])) + 1
+    out = {}
+    for key, text in texts.items():
+        mine = {w: weight(w) for w in plain_words(text)}
+        best = None
+        for licence, notice in templates:
+            other = {w: weight(w) for w in plain_words(notice)}
+            dot = sum(mine[w] * other[w] for w in mine.keys() & other.keys())
+            norms = math.sqrt(sum(v * v for v in mine.values()) * sum(v * v for v in other.values()))
+            cosine = round(dot / norms, 6) if norms else 0.0
+            if cosine >= S.THRESHOLD:
+                best = min(best or (0, "~"), (-cosine, licence))
+        if best:
+            out[key] = (best[1], -best[0])
+    return out
+
+
+def test_cosines_of_all_passages_against_brute_force(table_of):
+    """Blocks, headers, identifiers and whole licence files, not single lines only."""
+    gpl = S.HEADERS["GPL-3.0"][1]
+    rows = [
+        (1, "a/x.py", commented(gpl, "#") + "\n\nx = 1\n", False),
+        (2, "a/LICENSE", "Project\n\n" + licence_text("MIT"), True),
+        (3, "b/LICENSE", "Project\n\n" + licence_text("Apache-2.0")[:3000], True),
+        (4, "c/y.txt", f"first\n{MIT}\nsecond line\n\n{GPL} and so on\nwith more text here", False),
+        (5, "c/z.py", "# SPDX-License-Identifier: (Apache-2.0 AND MIT)\n\npass\n", False),
+        (6, "c/w.txt", "this license text is like no other at all\n" * 3, False),
+    ]
+    df = table_of([(*r, "w", "f") for r in rows], FILES, "files")
+    found = S.passages(df.select("id", "path", "text", "licence_file")).collect()
+    templates = S.all_templates()
+    want = best_by_brute_force(found, templates)
+    mine = S._best_templates(S.passages(df.select("id", "path", "text", "licence_file")), templates)
+    got = {r.key: (r.licence, r.cosine) for r in mine.collect()}
+    assert got.keys() == want.keys() and len(got) >= 8
+    for key, (licence, cosine) in want.items():
+        assert got[key][0] == licence and abs(got[key][1] - cosine) < 2e-6
+    assert {len(r.passage.split()) > 100 for r in found if r.key in want} == {True, False}
