@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,12 +56,6 @@ def cell_value(df: DataFrame, name: str) -> Column:
     return F.coalesce(cell_number(kind, cell), _truth_value(kind, cell))
 
 
-def numeric_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every column as double, in place; unusable cells become null."""
-    names = columns or df.columns
-    return df.select(*[cell_value(df, c).alias(c) for c in names])
-
-
 def _is_finite(value: Column) -> Column:
     return value.isNotNull() & (F.abs(value) < float("inf"))
 
@@ -79,7 +73,7 @@ def drop_missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
 
 def column_profile(
-    df: DataFrame, columns: Sequence[str], flag: Column | None = None
+    df: DataFrame, columns: Sequence[str], marks: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """One row per column from a single scan.
 
@@ -87,14 +81,17 @@ def column_profile(
     that cleaning keeps. Each row is turned into one record per column and
     grouped by column number: the plan does not grow with the table's width,
     and partial aggregation leaves one record per column and task to shuffle.
-    ``flag`` is counted alongside (as ``flagged``).
+    ``marks`` (conditions on a row) are counted alongside, each under its name. Count, mean and
+    squared deviations of the kept values merge in the same pass, so that no scan of its own
+    has to find the scale of the cleaned columns.
     """
+    marks = dict(marks or {})
     # Numbers first and by themselves: the parse then runs once per cell, and the
     # other kinds are looked up only for cells that are no number.
     numbers = range(len(columns))
     types = [df.schema[c].dataType for c in columns]
     parsed = df.select(
-        (F.lit(False) if flag is None else flag).alias("flag"),
+        *[m.alias(f"mark_{name}") for name, m in marks.items()],
         *[F.col(quoted(c)).alias(f"cell_{j}") for j, c in enumerate(columns)],
         *[cell_number(types[j], F.col(quoted(c))).alias(f"number_{j}") for j, c in enumerate(columns)],
     )
@@ -106,8 +103,9 @@ def column_profile(
         .otherwise(TEXT)
         for j in numbers
     ]
+    flags = [f"mark_{name}" for name in marks]
     values = parsed.select(
-        "flag",
+        *flags,
         *[k.alias(f"kind_{j}") for j, k in enumerate(kinds)],
         *[F.coalesce(F.col(f"number_{j}"), truths[j]).alias(f"value_{j}") for j in numbers],
     )
@@ -118,10 +116,10 @@ def column_profile(
         )
         for j in numbers
     ]
-    # ``keep`` is computed below the generator, so each record carries two flags and
+    # ``keep`` is computed below the generator, so each record carries flags and
     # not the whole row. The array stays inside the generator: as a column, it
     # would be evaluated once more by an inferred "not empty" filter.
-    records = values.withColumn("keep", keep).select("flag", "keep", F.inline(F.array(*cells)))
+    records = values.withColumn("keep", keep).select(*flags, "keep", F.inline(F.array(*cells)))
     kind, value, kept = F.col("kind"), F.col("value"), F.col("keep")
     counts = records.groupBy("j").agg(
         F.count(F.lit(1)).alias("rows"),
@@ -135,7 +133,9 @@ def column_profile(
         F.min(F.when(kept, value)).alias("kept_min"),
         F.max(F.when(kept, value)).alias("kept_max"),
         F.coalesce(F.bool_and(F.when(kept, value == F.floor(value))), F.lit(False)).alias("kept_whole"),
-        F.count_if("flag").alias("flagged"),
+        F.avg(F.when(kept, value)).alias("kept_mean"),
+        F.stddev_pop(F.when(kept, value)).alias("kept_std"),
+        *[F.count_if(f"mark_{name}").alias(name) for name in marks],
     )
     plain = (F.col("booleans") == 0) & (F.col("texts") == 0)
     all_boolean = (F.col("booleans") == F.col("rows")) & (F.col("rows") > 0)

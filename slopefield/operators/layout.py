@@ -158,33 +158,15 @@ def block_sizes(blocks: DataFrame) -> DataFrame:
     )
 
 
-def combine_partials(partials: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Column sums of a table with about one row per partition, added in two levels.
-
-    The rows meet in sqrt(partitions) tasks first, so that no task merges a row from
-    every partition of a very wide scan.
-    """
-    if partitions is None:
-        partitions = partials.rdd.getNumPartitions()
-    branches = max(1, math.isqrt(max(1, partitions)))
-    sums = [F.sum(quoted(c)).alias(c) for c in partials.columns]
-    first = (
-        partials.withColumn("__branch", F.pmod(F.spark_partition_id(), F.lit(branches)))
-        .repartition(branches, "__branch")
-        .groupBy("__branch")
-        .agg(*sums)
-    )
-    return first.drop("__branch").agg(*sums)
-
-
 def tree_sum(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Column sums and row count, combined in two levels.
 
-    A partition is one partial row; sqrt(partitions) tasks merge those, one task
+    A partition is one partial row; about sqrt(partitions) tasks merge those, one task
     merges what they found.
     """
-    partition = F.spark_partition_id()
-    partials = df.groupBy(partition.alias("__part")).agg(
+    branches = max(1, math.isqrt(df.rdd.getNumPartitions()))
+    branch = F.pmod(F.spark_partition_id(), F.lit(branches))
+    partials = df.groupBy(branch.alias("__part")).agg(
         *[F.sum(quoted(c)).alias(c) for c in columns], F.count(F.lit(1)).alias("n")
     )
     return partials.drop("__part").agg(

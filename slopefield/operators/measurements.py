@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from slopefield.operators.medians import array_median, exact_median
 
@@ -13,17 +14,51 @@ from slopefield.operators.medians import array_median, exact_median
 SWEEP_ITERATIONS = 50
 
 
+# Types whose values an aggregate keeps in place, so that it hashes and never sorts.
+FIXED_WIDTH = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+# Parts per row of a packed order: 19 digits of order above 19 digits of identity.
+IDENTITY_DIGITS = 18
+
+
+def fixed_width(df: DataFrame, names: Sequence[str]) -> bool:
+    return all(isinstance(df.schema[n].dataType, FIXED_WIDTH) for n in names)
+
+
 def dedup_last(df: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
     """The last row of each key in ``seq`` order.
 
-    An aggregate rather than a ranked window: each task keeps one row per key,
-    so a hot key is merged before the shuffle instead of sorted in one task.
+    Each task keeps one row per key in a hash table of fixed-width buffers: nothing is sorted
+    and a hot key is merged before the shuffle. If columns beside ``seq`` have no fixed width
+    (texts), the buffer holds the order and a hash of the row, and the winners' rows are
+    fetched by both. An order that is neither is compared as a whole, which sorts.
+    Of rows with equal order those columns come from one that stays the same in every run.
     """
     rest = [c for c in df.columns if c not in keys and c != seq]
+    if fixed_width(df, [seq, *rest]):
+        last = df.groupBy(*keys).agg(
+            F.max(seq).alias(seq), *[F.max_by(c, seq).alias(c) for c in rest]
+        )
+        return last.select(*df.columns)
+    if isinstance(df.schema[seq].dataType, T.IntegralType):
+        return _fetched_last(df, keys, seq, rest)
     last = df.groupBy(*keys).agg(F.max(F.struct(seq, *rest)).alias("last"))
     return last.select(*keys, "last.*").select(*df.columns)
 
 
+def _fetched_last(
+    df: DataFrame, keys: Sequence[str], seq: str, rest: Sequence[str]
+) -> DataFrame:
+    identity = F.pmod(F.xxhash64(*keys, *rest), F.lit(10**IDENTITY_DIGITS))
+    packed = F.col(seq).cast("decimal(19,0)") * F.lit(10**IDENTITY_DIGITS).cast("decimal(19,0)")
+    placed = df.withColumn("__packed", (packed + identity).cast("decimal(38,0)"))
+    winners = placed.groupBy(*keys).agg(F.max("__packed").alias("__winner"))
+    winners = winners.select(*[F.col(k).alias(f"__{k}") for k in keys], "__winner")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    # Every winner is one key of its own in this join, however many rows a key has.
+    met = placed.join(winners, [*same, F.col("__packed") == F.col("__winner")], "left_semi")
+    return met.dropDuplicates(list(keys)).select(*df.columns)
+
+
 def warm_values(per_iter: Column) -> Column:
     """Per-iteration times without iteration 0, unless it is the only one."""
     return F.when(F.size(per_iter) > 1, F.slice(per_iter, 2, F.size(per_iter) - 1)).otherwise(per_iter)

@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 
 from slopefield.functions.numeric import quoted
 
-# A group with more distinct values than this is cut into value ranges. A table of
-# N rows has at most N / HOT_VALUES such groups, which bounds what is broadcast:
-# some hundred thousand short rows even at 10^12 rows.
-HOT_VALUES = 1 << 22
-# Value ranges per hot group.
-RANGES = 4096
-
-
-def _spread_out(value: Column) -> Column:
-    """A never-decreasing image of the value in which heavy tails take less room."""
-    return F.signum(value) * F.log1p(F.abs(value))
+# Distinct values that one task may sort. A larger group is cut into intervals, so that a
+# table of N rows has at most N / INTERVAL_ROWS groups whose splitters are broadcast.
+INTERVAL_ROWS = 1 << 20
+# Intervals of a cut group: their borders are this many quantiles of its distinct values.
+INTERVALS = 1 << 10
+# One over the relative error of a border's rank.
+ACCURACY = 10 * INTERVALS
 
 
 def _on(names: Sequence[str]) -> Column:
@@ -49,50 +45,70 @@ def _middle(ranked: DataFrame, names: Sequence[str]) -> DataFrame:
     return found.select(*names, ((F.col("a") + F.col("b")) / 2).alias("median"), "n")
 
 
-def _small_groups(counts: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Groups of bounded size: sort each one where its rows meet."""
-    group = Window.partitionBy(*names)
-    running = group.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("last", F.sum("c").over(running)).withColumn(
-        "n", F.sum("c").over(group)
-    )
-    return _middle(ranked, names)
+def _is_finite(value: Column) -> Column:
+    return ~F.isnan(value) & (F.abs(value) < float("inf"))
 
 
-def _hot_groups(counts: DataFrame, hot: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Groups of any size: count per value range, then sort only the middle ranges."""
-    joined = counts.join(F.broadcast(_as_right(hot, names)), _on(names)).drop(
-        *[f"right_{n}" for n in names]
+def splitters(counts: DataFrame, names: Sequence[str], interval_rows: int) -> DataFrame:
+    """``(names..., borders)`` of the groups with more distinct values than one task may sort.
+
+    The borders are quantiles of the distinct values themselves, from a summary that tasks
+    make of their rows and Spark merges: however the values lie, intervals hold about as many.
+    """
+    large = (
+        counts.groupBy(*names)
+        .agg(F.count(F.lit(1)).alias("values"))
+        .where(F.col("values") > interval_rows)
+    )
+    inside = counts.join(
+        F.broadcast(_as_right(large.select(*names), names)), _on(names), "left_semi"
     )
-    finite = ~F.isnan("v") & (F.abs("v") < float("inf"))
-    position = F.try_divide(_spread_out(F.col("v")) - F.col("lo"), F.col("hi") - F.col("lo")) * RANGES
-    placed = joined.select(
-        *names,
-        "v",
-        "c",
-        "n",
-        F.when(finite, F.coalesce(F.least(F.floor(position), F.lit(RANGES - 1)), F.lit(0)))
-        .when(F.col("v") == float("-inf"), -1)
-        .otherwise(RANGES)
-        .alias("r"),
+    ranks = [i / INTERVALS for i in range(1, INTERVALS)]
+    return inside.where(_is_finite(F.col("v"))).groupBy(*names).agg(
+        F.percentile_approx("v", ranks, ACCURACY).alias("borders")
     )
 
-    sizes = placed.groupBy(*names, "r").agg(F.sum("c").alias("in_range"), F.max("n").alias("n"))
-    along = Window.partitionBy(*names).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("before", F.coalesce(F.sum("in_range").over(along), F.lit(0)))
-    low_rank, high_rank = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
-    middle = before.where(
-        (F.col("before") < high_rank) & (F.col("before") + F.col("in_range") >= low_rank)
-    ).select(*names, "r", "before")
 
-    # At most two ranges per hot group, so this side is as bounded as ``hot``.
-    keyed = [*names, "r"]
-    candidates = placed.join(F.broadcast(_as_right(middle, keyed)), _on(keyed)).drop(
-        *[f"right_{n}" for n in keyed]
+def _interval(value: Column, borders: Column) -> Column:
+    """How many borders lie below the value, by halving: one look per binary digit."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(INTERVALS.bit_length() - 1))])
+    inner = F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.element_at(borders, at + step) < value, at + step).otherwise(at),
     )
-    inside = Window.partitionBy(*keyed).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = candidates.withColumn("last", F.col("before") + F.sum("c").over(inside))
-    return _middle(ranked, names)
+    return (
+        F.when(borders.isNull(), 0)
+        .when(_is_finite(value), inner)
+        .when(value == float("-inf"), -1)
+        .otherwise(INTERVALS)
+    )
+
+
+def in_intervals(counts: DataFrame, names: Sequence[str], interval_rows: int) -> DataFrame:
+    """``(names..., v, c, cut, r)``: every value in interval ``r`` of its group, ``cut`` where
+    the group has several."""
+    borders = splitters(counts, names, interval_rows)
+    placed = counts.join(F.broadcast(_as_right(borders, names)), _on(names), "left")
+    return placed.select(
+        *names, "v", "c", F.col("borders").isNotNull().alias("cut"),
+        _interval(F.col("v"), F.col("borders")).alias("r"),
+    )
+
+
+def _middle_intervals(placed: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Of cut groups the one or two intervals with the middle ranks, ranks before them, and n."""
+    sizes = placed.where("cut").groupBy(*names, "r").agg(F.sum("c").alias("inside"))
+    along = Window.partitionBy(*names).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    counted = sizes.select(
+        *names, "r", "inside",
+        F.coalesce(F.sum("inside").over(along), F.lit(0)).alias("before"),
+        F.sum("inside").over(Window.partitionBy(*names)).alias("total"),
+    )
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor(F.col("total") / 2) + 1
+    return counted.where(
+        (F.col("before") < high) & (F.col("before") + F.col("inside") >= low)
+    ).select(*names, "r", "before", "total")
 
 
 def exact_median(
@@ -101,15 +117,15 @@ def exact_median(
     value: str,
     out: str = "median",
     weight: str | None = None,
-    hot_values: int = HOT_VALUES,
+    interval_rows: int = INTERVAL_ROWS,
 ) -> DataFrame:
     """``(keys..., out, n)``: the middle value, or the mean of the middle two.
 
     The built-in ``median`` keeps every distinct value of a group in the memory
     of one task. Here equal values are merged first (with ``weight`` as their
-    multiplicity, which may be negative to take values back). Groups of up to
-    ``hot_values`` distinct values are sorted whole; larger ones are never
-    brought together. Null values are left out; NaN sorts last.
+    multiplicity, which may be negative to take values back). Every group lies in intervals,
+    most of them in one; of a group in several the rows of each are counted and only those
+    with the middle ranks go on to be sorted. Null values are left out; NaN sorts last.
     """
     keys = list(keys)
     # Without keys the whole table is one group, named by a constant.
@@ -122,22 +138,19 @@ def exact_median(
     ).where(F.col("v").isNotNull())
     counts = base.groupBy(*names, "v").agg(F.sum("c").alias("c")).where(F.col("c") > 0)
 
-    finite = ~F.isnan("v") & (F.abs("v") < float("inf"))
-    image = F.when(finite, _spread_out(F.col("v")))
-    hot = (
-        counts.groupBy(*names)
-        .agg(
-            F.count(F.lit(1)).alias("values"),
-            F.sum("c").alias("n"),
-            F.min(image).alias("lo"),
-            F.max(image).alias("hi"),
-        )
-        .where(F.col("values") > hot_values)
-        .drop("values")
-    )
-    small = counts.join(F.broadcast(_as_right(hot.select(*names), names)), _on(names), "left_anti")
-    medians = _small_groups(small, names).unionByName(_hot_groups(counts, hot, names))
-    return medians.select(
+    placed = in_intervals(counts, names, interval_rows)
+    # At most two intervals of every cut group: as bounded as the splitters.
+    keyed = [*names, "r"]
+    middle = F.broadcast(_as_right(_middle_intervals(placed, names), keyed))
+    wanted = placed.join(middle, _on(keyed), "left").where("NOT cut OR total IS NOT NULL")
+    inside = Window.partitionBy(*keyed)
+    running = inside.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = wanted.select(
+        *names, "v", "c",
+        (F.coalesce("before", F.lit(0)) + F.sum("c").over(running)).alias("last"),
+        F.coalesce("total", F.sum("c").over(inside)).alias("n"),
+    )
+    return _middle(ranked, names).select(
         *[F.col(n).alias(k) for k, n in zip(keys, names)], F.col("median").alias(out), "n"
     )
 

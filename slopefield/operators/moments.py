@@ -66,7 +66,8 @@ def vector_moments(df: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def _scale(rows: int, means: Sequence[float], stds: Sequence[float]) -> Scale:
+def scale_of(rows: int, means: Sequence[float], stds: Sequence[float]) -> Scale:
+    """The scale from measured moments; constant features get a spread of 1."""
     if not rows or any(m is None for m in means):
         raise DataError("The table has no rows to take feature means from.")
     return Scale(
@@ -79,15 +80,15 @@ def measure_scale(df: DataFrame, features: Sequence[str]) -> Scale:
     d = len(features)
     if d > WIDE_COLUMNS:
         rows = feature_moments(df, features).orderBy("j").collect()
-        return _scale(rows[0]["n"] if rows else 0, [r["mean"] for r in rows], [r["std"] for r in rows])
+        return scale_of(rows[0]["n"] if rows else 0, [r["mean"] for r in rows], [r["std"] for r in rows])
     with session_settings(df.sparkSession, spark__sql__codegen__maxFields=GENERATED_FIELDS):
         row = moments(df, features).collect()[0]
-    return _scale(row["n"], [row[f"mean_{j}"] for j in range(d)], [row[f"std_{j}"] for j in range(d)])
+    return scale_of(row["n"], [row[f"mean_{j}"] for j in range(d)], [row[f"std_{j}"] for j in range(d)])
 
 
 def measure_vector_scale(df: DataFrame, vector: str) -> Scale:
     rows = vector_moments(df, vector).orderBy("j").collect()
-    return _scale(rows[0]["n"] if rows else 0, [r["mean"] for r in rows], [r["std"] for r in rows])
+    return scale_of(rows[0]["n"] if rows else 0, [r["mean"] for r in rows], [r["std"] for r in rows])
 
 
 def standardize(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopefield.functions.numeric import same_final_loss
+from slopefield.operators.measurements import fixed_width
 from slopefield.operators.medians import exact_median
 
 # Names of the compared setups.
@@ -13,27 +14,69 @@ CLUSTER_SETUP = r"^spark-e([0-9]+)$"
 SMALL_MACHINE = "numpy-16gb"
 BIG_MACHINE = "numpy-64gb"
 
-FIRST_FIELDS = (
-    "records", "features", "cores", "iters", "final_loss", "cached_fraction", "source",
-    "sec_per_iter_warm",
+FIRST_NUMBERS = (
+    "records", "features", "cores", "iters", "final_loss", "cached_fraction", "sec_per_iter_warm",
 )
+FIRST_FIELDS = (*FIRST_NUMBERS, "source")
 
 
 def setup_table(records: DataFrame, order: str = "file") -> DataFrame:
     """One row per (run, setup): repetitions, median seconds and the first record.
 
     Failed records take no part in the median. Repetitions merge in partial
-    aggregates, so a setup with very many of them is no hot spot.
+    aggregates, so a setup with very many of them is no hot spot. With a numeric ``order``
+    those are hash tables of fixed-width buffers; the one text that is needed, the message of
+    the opening record, is fetched by its place.
     """
     ok = F.col("error").isNull()
+    if not fixed_width(records, [order]):
+        return _setup_table_by_text(records, order)
+    place = F.when(ok, F.col(order))
     grouped = records.groupBy("run", "setup").agg(
         F.count_if(ok).alias("reps"),
         F.count_if(~ok).alias("failures"),
-        F.min(F.struct(order, "error", "features")).alias("opening"),
+        F.min(order).alias("opening"),
+        F.min(place).alias("first"),
+        *[F.min_by(c, place).alias(f"first_{c}") for c in FIRST_NUMBERS],
+        F.max("features").alias("known_features"),
+    )
+    opening = grouped.select("run", "setup", F.col("opening").alias(order))
+    told = (
+        records.where(~ok)
+        .join(opening, ["run", "setup", order])
+        .groupBy("run", "setup")
+        .agg(F.max("error").alias("opening_error"))
+    )
+    sources = (
+        records.select("run", "setup", order, "source")
+        .join(grouped.select("run", "setup", F.col("first").alias(order)), ["run", "setup", order])
+        .groupBy("run", "setup")
+        .agg(F.max("source").alias("first_source"))
+    )
+    rows = grouped.join(told, ["run", "setup"], "left").join(sources, ["run", "setup"], "left")
+    return _with_medians(rows, records)
+
+
+def _setup_table_by_text(records: DataFrame, order: str) -> DataFrame:
+    ok = F.col("error").isNull()
+    grouped = records.groupBy("run", "setup").agg(
+        F.count_if(ok).alias("reps"),
+        F.count_if(~ok).alias("failures"),
+        F.min(F.struct(order, "error")).alias("opening"),
         F.min(F.when(ok, F.struct(order, *FIRST_FIELDS))).alias("first"),
         F.max("features").alias("known_features"),
     )
-    medians = exact_median(records.where(ok), ["run", "setup"], "sec_per_iter_warm", "median_s").drop("n")
+    return _with_medians(
+        grouped.withColumn("opening_error", F.col("opening.error")).withColumns(
+            {f"first_{c}": F.col(f"first.{c}") for c in FIRST_FIELDS}
+        ),
+        records,
+    )
+
+
+def _with_medians(grouped: DataFrame, records: DataFrame) -> DataFrame:
+    ok = records.where(F.col("error").isNull())
+    medians = exact_median(ok, ["run", "setup"], "sec_per_iter_warm", "median_s").drop("n")
     machines = F.regexp_extract("setup", CLUSTER_SETUP, 1)
     return grouped.join(medians, ["run", "setup"], "left").select(
         "run",
@@ -42,8 +85,8 @@ def setup_table(records: DataFrame, order: str = "file") -> DataFrame:
         "reps",
         "failures",
         "median_s",
-        F.col("opening.error").alias("opening_error"),
-        *[F.col(f"first.{c}").alias(f"first_{c}") for c in FIRST_FIELDS],
+        "opening_error",
+        *[f"first_{c}" for c in FIRST_FIELDS],
         "known_features",
     )
 
@@ -164,3 +207,37 @@ def same_answer(inputs: DataFrame) -> DataFrame:
     return inputs.where(F.col("big_machine_s").isNotNull()).select(
         "run", "cluster_loss", "big_machine_loss", same.alias("same")
     )
+
+
+def run_overview(metadata: DataFrame, setups: DataFrame) -> DataFrame:
+    """Every run with its description and its records, also runs that have only one of them.
+
+    ``setups`` is merged to one row per run before the join, which is an outer one on the
+    run: (run, description, date, copies, nodes, setups, reps, failures, fastest,
+    fastest_s, has_metadata, has_records).
+    """
+    measured = setups.groupBy("run").agg(
+        F.count(F.lit(1)).alias("setups"),
+        F.sum("reps").alias("reps"),
+        F.sum("failures").alias("failures"),
+        F.min("median_s").alias("fastest_s"),
+        F.min_by(
+            "setup", F.when(F.col("median_s").isNotNull(), F.struct("median_s", "setup"))
+        ).alias("fastest"),
+    )
+    joined = metadata.withColumn("_told", F.lit(True)).join(
+        measured.withColumn("_measured", F.lit(True)), "run", "full"
+    )
+    none = F.lit(0).cast("long")
+    return joined.select(
+        "run",
+        "description",
+        "date",
+        "copies",
+        "nodes",
+        *[F.coalesce(c, none).alias(c) for c in ("setups", "reps", "failures")],
+        "fastest",
+        "fastest_s",
+        F.col("_told").isNotNull().alias("has_metadata"),
+        F.col("_measured").isNotNull().alias("has_records"),
+    )

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopefield.functions.numeric import average_log_loss, linear_score, sigmoid
+from slopefield.functions.numeric import average_log_loss, linear_score, quoted, sigmoid
 from slopefield.operators.scoring import compare_weights, weight_pairs
 from slopefield.plans.fit import LogisticFit, fit_design
 
@@ -30,9 +30,32 @@ def paths_agree(
     return blocks, columns, compare_weights(pairs)
 
 
-def sample_rows(df: DataFrame, fraction: float, seed: int = 0) -> DataFrame:
-    """Random rows without replacement. Which rows depends on the partitioning."""
-    return df.sample(withReplacement=False, fraction=min(1.0, fraction), seed=seed)
+# Hexadecimal digits of a row's hash that decide on it: 52 bits, as many as a double has.
+SAMPLE_DIGITS = 13
+
+
+def sample_rows(
+    df: DataFrame, fraction: float, seed: int = 0, keys: Sequence[str] | None = None
+) -> DataFrame:
+    """Every row with probability ``fraction``, decided by the row itself.
+
+    The hash of the key columns (of all columns without ``keys``) and the seed is compared
+    with the fraction, so that any partitioning, retry or engine takes the same rows. Rows
+    that agree in the keys are taken together.
+    """
+    if keys is None:
+        identity = [F.xxhash64(*[F.col(quoted(c)) for c in df.columns]).cast("string")]
+    else:
+        identity = [F.coalesce(F.col(quoted(k)).cast("string"), F.lit("")) for k in keys]
+    digits = F.left(F.md5(F.concat_ws("|", F.lit(str(seed)), *identity)), F.lit(SAMPLE_DIGITS))
+    if fraction >= 1.0:
+        return df
+    return df.where(digits < F.lit(sample_bound(fraction)))
+
+
+def sample_bound(fraction: float) -> str:
+    """The hexadecimal digits below which a row's hash has to lie."""
+    return f"{int(fraction * 16**SAMPLE_DIGITS):0{SAMPLE_DIGITS}x}"
 
 
 def reference_weights(design: DataFrame, width: int) -> DataFrame:

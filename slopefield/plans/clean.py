@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from slopefield.errors import DataError
+from slopefield.functions.numeric import quoted
 from slopefield.operators.cleaning import (
     COLUMN_EXAMPLES,
     bad_labels,
@@ -17,7 +20,8 @@ from slopefield.operators.cleaning import (
     label_texts,
     likely_ids,
 )
-from slopefield.sources.tables import EXTRA_CELLS, RawTable
+from slopefield.operators.moments import Scale, scale_of
+from slopefield.sources.tables import EXTRA_CELLS, REPLACEMENT, RawTable, undecodable_lines
 
 PROBLEM_SCHEMA = "rank int, code string, column string, found string"
 
@@ -33,6 +37,8 @@ class CleanTable:
     features: list[str]
     ignored_columns: list[str]
     likely_id_columns: list[str]
+    # Of the features over the rows that stay, from the scan that checked the table.
+    scale: Scale
 
     def summary(self, spark: SparkSession) -> DataFrame:
         row = (
@@ -57,13 +63,34 @@ def _as_raw(table: DataFrame | RawTable) -> RawTable:
 
 def _profile_rows(raw: RawTable) -> list[Row]:
     """One row per column: bounded by the width of the table."""
-    extra = F.col(EXTRA_CELLS) if EXTRA_CELLS in raw.df.columns else None
-    return column_profile(raw.df, raw.columns, extra).orderBy("j").collect()
+    none = F.lit(False)
+    texts = [c for c in raw.columns if raw.df.schema[c].dataType.simpleString() == "string"]
+    replaced = reduce(
+        lambda a, b: a | b, [F.col(quoted(c)).contains(REPLACEMENT) for c in texts], none
+    )
+    marks = {
+        "overlong": F.col(EXTRA_CELLS) if EXTRA_CELLS in raw.df.columns else none,
+        "replaced": F.coalesce(replaced, none) if raw.path is not None else none,
+    }
+    return column_profile(raw.df, raw.columns, marks).orderBy("j").collect()
+
+
+def _undecodable(raw: RawTable, profile: list[Row]) -> list[tuple]:
+    """Files that are not UTF-8. Their bytes are looked at only if a replacement character
+    was read, which a text may also hold by itself."""
+    if not profile or not profile[0]["replaced"]:
+        return []
+    files = undecodable_lines(raw.df.sparkSession, raw.path)
+    shown = files.orderBy("file").limit(COLUMN_EXAMPLES).collect()
+    return [(0, "not_utf8", r["file"], f"{r['lines']} lines") for r in shown]
 
 
 def _problem_rows(raw: RawTable, label: str, profile: list[Row]) -> list[tuple]:
-    found: list[tuple] = []
-    overlong = profile[0]["flagged"] if profile else 0
+    found = _undecodable(raw, profile)
+    for file, files, line in raw.other_headers:
+        more = f" (and {files - 1} more files)" if files > 1 else ""
+        found.append((0, "other_columns", file, f"{_quoted_short(line, 60)}{more}"))
+    overlong = profile[0]["overlong"] if profile else 0
     if overlong:
         found.append((0, "row_too_long", None, f"{overlong} rows"))
     by_name = {p["column"]: p for p in profile}
@@ -94,6 +121,8 @@ def _quoted_short(name: str, width: int = 30) -> str:
 def problem_message(code: str, column: str | None, found: str | None) -> str:
     """What a problem means, for the person who supplied the data."""
     return {
+        "not_utf8": f"{found} of the file {column} are not UTF-8 text; save it as UTF-8 CSV.",
+        "other_columns": f"The file {column} has a header with other columns: {found}.",
         "row_too_long": f"{found} have more cells than the header.",
         "label_absent": f"The header has no label column {column!r}.",
         "label_not_numeric": f"The label column {column!r} may hold only 0 and 1, but it holds text: {found}.",
@@ -111,11 +140,12 @@ def table_problems(table: DataFrame | RawTable, label: str) -> DataFrame:
     return raw.df.sparkSession.createDataFrame(rows, PROBLEM_SCHEMA)
 
 
-def clean_table(table: DataFrame | RawTable, label: str) -> CleanTable:
+def clean_table(table: DataFrame | RawTable, label: str, keep: bool = False) -> CleanTable:
     """Check the whole table, then keep its complete rows as doubles.
 
     All structural problems are raised together. One profile scan answers every
-    check; a second job runs only for columns that could be row numbers.
+    check and finds the scale; a second job runs only for columns that could be row numbers.
+    ``keep`` caches the cleaned rows with their first use; the caller lets them go.
     """
     raw = _as_raw(table)
     profile = _profile_rows(raw)
@@ -138,7 +168,15 @@ def clean_table(table: DataFrame | RawTable, label: str) -> CleanTable:
         )
 
     clean = drop_missing(raw.df, raw.columns)
+    if keep:
+        clean = clean.persist(StorageLevel.MEMORY_AND_DISK)
     features = [c for c in raw.columns if c != label]
+    by_name = {p["column"]: p for p in profile}
+    scale = scale_of(
+        rows,
+        [by_name[c]["kept_mean"] for c in features],
+        [by_name[c]["kept_std"] for c in features],
+    )
     candidates = [p["column"] for p in profile if p["may_be_id"] and p["column"] != label]
     ids = [r["column"] for r in likely_ids(clean, candidates).orderBy("j").collect()] if candidates else []
-    return CleanTable(clean, label, rows_in, rows, features, list(raw.ignored_columns), ids)
+    return CleanTable(clean, label, rows_in, rows, features, list(raw.ignored_columns), ids, scale)

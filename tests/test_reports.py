@@ -16,20 +16,20 @@ from slopefield.operators.measurements import (
     warm_array_median,
     warm_median,
 )
-from slopefield.operators.medians import exact_median
+from slopefield.operators.medians import exact_median, in_intervals
 from slopefield.operators.verdicts import verdict_local
 
 LOG_SCHEMA = "seq int, cores int, rep int, iters int, sec_per_iter_warm double"
 
 
-def medians_of(spark, rows, hot_values):
+def medians_of(spark, rows, interval_rows):
     df = spark.createDataFrame(rows, "g string, v double")
-    found = exact_median(df, ["g"], "v", hot_values=hot_values).collect()
+    found = exact_median(df, ["g"], "v", interval_rows=interval_rows).collect()
     return {r["g"]: (r["median"], r["n"]) for r in found}
 
 
-@pytest.mark.parametrize("hot_values", [0, 20, 1 << 22])
-def test_exact_median_with_a_hot_group(spark, hot_values):
+@pytest.mark.parametrize("interval_rows", [0, 20, 1 << 22])
+def test_exact_median_with_a_hot_group(spark, interval_rows):
     rng = random.Random(7)
     rows = [("hot", rng.lognormvariate(0, 4)) for _ in range(3000)]
     rows += [(f"g{i % 40}", float(rng.randrange(-9, 9))) for i in range(1500)]
@@ -39,7 +39,7 @@ def test_exact_median_with_a_hot_group(spark, hot_values):
     for g, v in rows:
         if v is not None:
             expected.setdefault(g, []).append(v)
-    found = medians_of(spark, rows, hot_values)
+    found = medians_of(spark, rows, interval_rows)
     assert found == {g: (median(vs), len(vs)) for g, vs in expected.items()}
 
 
@@ -53,6 +53,18 @@ def test_exact_median_of_any_values(spark, values):
     assert medians_of(spark, [("a", v) for v in values], 0)["a"] == (middle, len(values))
 
 
+def test_intervals_follow_the_values(spark):
+    """Values close together and one far away: no interval holds a hundredth of the rows."""
+    n = 200_000
+    df = spark.range(n).select(F.lit(0).alias("k0"), (1 + F.col("id") / (5 * n)).alias("v"))
+    df = df.unionAll(spark.createDataFrame([(0, 1e300)], "k0 int, v double")).withColumn("c", F.lit(1))
+    placed = in_intervals(df, ["k0"], 1000)
+    sizes = [r["count"] for r in placed.groupBy("r").count().collect()]
+    assert sum(sizes) == n + 1 and max(sizes) < n / 100
+    found = exact_median(df, ["k0"], "v", interval_rows=1000).collect()[0]
+    assert (found["median"], found["n"]) == (1 + (n // 2) / (5 * n), n + 1)
+
+
 def test_exact_median_without_keys_and_with_weights(spark):
     df = spark.createDataFrame([(1.0, 1), (2.0, 5), (9.0, 1), (1.0, -1)], "v double, c int")
     assert tuple(exact_median(df, [], "v", weight="c").collect()[0]) == (2.0, 6)
