@@ -15,11 +15,12 @@ from slopefield.catalog.views import (
 )
 from slopefield.operators import measurements, run_records as compare, verdicts
 from slopefield.session import shared_folder
-from slopefield.sources import read_run_records
+from slopefield.sinks import append_result
+from slopefield.sources import read_run_metadata, read_run_records, read_scaling_log
 
 RAM_GB = 16.0
-# Tasks that may share the rows of one run.
-RUN_SALTS = 32
+# The described runs of the overview are those of so many days before.
+DAYS_AHEAD = 3
 
 
 def q_dedup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,22 +65,69 @@ def q_size_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records written as JSON in one folder per run and read back from it."""
+    """Records written as JSON in one folder per run and read back from it, by setup."""
     path = shared_folder(spark, "runs")
-    records = run_records(spark, sf_dir).drop("file", "setup")
+    records = run_records(spark, sf_dir).drop("file")
     # One folder per run: the rows of a run meet in a few tasks (not in one, as
     # a run may be hot) instead of leaving a file per run and task.
-    salt = F.pmod(F.xxhash64("records", "sec_per_iter_warm"), F.lit(RUN_SALTS))
+    salt = F.pmod(F.xxhash64("records", "sec_per_iter_warm"), F.lit(_run_salts(spark)))
     records.repartition("run", salt).write.mode("append").partitionBy("run").json(path)
     read = read_run_records(spark, path)
     ok = F.col("error").isNull()
-    return read.groupBy("run").agg(
+    folder = F.concat(F.lit("/run="), F.col("run"), F.lit("/"))
+    return read.groupBy("run", "setup").agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(~ok).alias("failures"),
+        F.count_if(F.contains("file", folder)).alias("in_folder"),
         (F.round(F.sum(F.when(ok, F.col("sec_per_iter_warm"))), 4) + 0.0).alias("total_s"),
     )
 
 
+def _run_salts(spark: SparkSession) -> int:
+    """Tasks that may share the rows of one run: as many as run at once."""
+    return spark.sparkContext.defaultParallelism
+
+
+APPENDS = 4
+
+
+def q_scaling_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results appended to a log in turns, one of them twice, and the report of that log."""
+    path = shared_folder(spark, "log")
+    log = scaling_log(spark, sf_dir).withColumn("mode", F.lit("blocks"))
+    last = log.agg(F.max("seq")).first()[0]
+    if last is None:
+        return q_scaling_report(spark, sf_dir)
+    turn = F.floor(F.col("seq") * APPENDS / (last + 1))
+    for k in [*range(APPENDS), 1]:
+        append_result(log.where(turn == k), path, batch=f"turn-{k}", order="seq")
+    found = measurements.scaling_report(read_scaling_log(spark, f"{path}/mode=blocks"), "seq")
+    return found.selectExpr(
+        "cores", *[rounded(c, 6) for c in ("seconds", "speedup", "efficiency", "serial_fraction")]
+    )
+
+
+def q_run_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with events are measured runs; the days some days later are described runs."""
+    path = shared_folder(spark, "metadata")
+    described = table(spark, sf_dir, "events").selectExpr(
+        f"date_format(date_add(ts, {DAYS_AHEAD}), 'yyyy-MM-dd') AS run", "user_id"
+    )
+    described = described.groupBy("run").agg(F.count(F.lit(1)).alias("copies")).select(
+        "run",
+        F.concat(F.col("copies").cast("string"), F.lit(" copies")).alias("description"),
+        F.col("copies").cast("int").alias("copies"),
+        F.col("run").alias("date"),
+        F.lit(4).alias("nodes"),
+    )
+    described.repartition("run").write.partitionBy("run").json(path)
+    found = compare.run_overview(read_run_metadata(spark, path, "*.json"), _setups(spark, sf_dir))
+    return found.selectExpr(
+        "run", "description", "date", "copies", "nodes", "setups", "reps", "failures", "fastest",
+        rounded("fastest_s", 6), "has_metadata", "has_records",
+    )
+
+
 def _setups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.setup_table(run_records(spark, sf_dir))
 
@@ -172,6 +220,10 @@ SQL = {
     "round(speedup, 6) + 0.0 AS speedup, round(speedup / cores, 6) + 0.0 AS efficiency, "
     "round(CASE WHEN cores > 1 THEN (1.0 / speedup - 1.0 / cores::DOUBLE) / (1.0 - 1.0 / cores::DOUBLE) END, 6) + 0.0 "
     "AS serial_fraction FROM s ORDER BY cores",
+    "scaling_log_roundtrip": f"WITH {_REPORT} SELECT cores, round(seconds, 6) + 0.0 AS seconds, "
+    "round(speedup, 6) + 0.0 AS speedup, round(speedup / cores, 6) + 0.0 AS efficiency, "
+    "round(CASE WHEN cores > 1 THEN (1.0 / speedup - 1.0 / cores::DOUBLE) / (1.0 - 1.0 / cores::DOUBLE) END, 6) + 0.0 "
+    "AS serial_fraction FROM s",
     "recommended_size": f"WITH {_REPORT}, b AS (SELECT max(speedup) AS best FROM s) "
     "SELECT cores AS recommended, round(speedup, 6) + 0.0 AS speedup, round(best, 6) + 0.0 AS best_speedup "
     "FROM s, b WHERE speedup >= 0.9 * best ORDER BY cores LIMIT 1",
@@ -186,9 +238,26 @@ SQL = {
     "size_ladder": "WITH m AS (SELECT event_type, max(user_id) AS top FROM events GROUP BY event_type) "
     "SELECT event_type, CAST(pow(2, i) AS BIGINT) AS size FROM m, range(0, 40) t(i) WHERE pow(2, i) < top "
     "UNION ALL SELECT event_type, top FROM m WHERE top > 0",
-    "run_records": f"WITH r AS ({RUN_RECORDS_SQL}) SELECT run, count(*) AS records, "
-    "count(*) FILTER (WHERE failed) AS failures, "
-    "round(sum(sec) FILTER (WHERE NOT failed), 4) + 0.0 AS total_s FROM r GROUP BY run",
+    "run_records": f"WITH r AS ({RUN_RECORDS_SQL}) SELECT run, setup, count(*) AS records, "
+    "count(*) FILTER (WHERE failed) AS failures, count(*) AS in_folder, "
+    "round(sum(sec) FILTER (WHERE NOT failed), 4) + 0.0 AS total_s FROM r GROUP BY run, setup",
+    "run_overview": f"""WITH {_SETUPS}, g AS (
+        SELECT run, setup, count(*) FILTER (WHERE NOT failed) AS reps,
+               count(*) FILTER (WHERE failed) AS failures FROM r GROUP BY run, setup),
+        s AS (SELECT g.run, count(*) AS setups, CAST(sum(g.reps) AS BIGINT) AS reps,
+            CAST(sum(g.failures) AS BIGINT) AS failures, min(med.seconds) AS fastest_s,
+            min(g.setup) FILTER (WHERE med.seconds = b.best) AS fastest
+            FROM g LEFT JOIN med ON med.run = g.run AND med.setup = g.setup
+            LEFT JOIN (SELECT run, min(seconds) AS best FROM med GROUP BY run) b ON b.run = g.run
+            GROUP BY g.run),
+        m AS (SELECT strftime(CAST(ts AS DATE) + {DAYS_AHEAD}, '%Y-%m-%d') AS run, count(*) AS copies
+            FROM events GROUP BY 1)
+        SELECT coalesce(m.run, s.run) AS run, copies || ' copies' AS description, m.run AS date,
+               CAST(copies AS INTEGER) AS copies, CASE WHEN m.run IS NOT NULL THEN 4 END AS nodes,
+               coalesce(setups, 0) AS setups, coalesce(reps, 0) AS reps, coalesce(failures, 0) AS failures,
+               fastest, round(fastest_s, 6) + 0.0 AS fastest_s,
+               m.run IS NOT NULL AS has_metadata, s.run IS NOT NULL AS has_records
+        FROM m FULL JOIN s ON m.run = s.run""",
     "run_summary": f"WITH {_SETUPS} SELECT s.run, s.setup, s.records, coalesce(s.features, k.features) AS features, "
     "round(s.seconds, 6) + 0.0 AS seconds, 20 AS iters, round(s.final_loss, 6) + 0.0 AS final_loss, s.cores, s.cached_fraction, "
     "s.reps FROM summary s JOIN known k ON k.run = s.run",

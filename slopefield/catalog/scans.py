@@ -15,11 +15,19 @@ from slopefield.catalog.views import (
     rounded,
     standardized_ctes,
 )
-from slopefield.plans.clean import clean_table
+from slopefield.plans.clean import clean_table, table_problems
 from slopefield.plans.training_run import training_run
 from slopefield.session import shared_folder
 from slopefield.sinks import write_table
-from slopefield.sources import detect_separator, list_inputs, read_labeled, read_table
+from slopefield.sources import (
+    detect_separator,
+    guess_label,
+    list_inputs,
+    read_labeled,
+    read_table,
+    undecodable_lines,
+    usable_columns,
+)
 
 LABEL = "is_return"
 # The label sits between features, so taking it out has to keep their order.
@@ -30,6 +38,30 @@ def _named_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).withColumnRenamed("y", LABEL).select(*NAMED)
 
 
+# A blank header cell names a column of row numbers; the label has one of the usual names.
+MARKED = ["", *LINE_FEATURES[:2], "outcome", *LINE_FEATURES[2:]]
+MARKED_CELLS = ["'7'", *LINE_FEATURES[:2], LABEL, *LINE_FEATURES[2:]]
+PARTS = 4
+BAD_ROW = "l_linenumber = 1 AND l_quantity = 1"
+
+
+def _lines_in_parts(
+    spark: SparkSession, sf_dir: str, header: str, cells: list[str]
+) -> DataFrame:
+    """Lines of text, one file per part (order number modulo PARTS), the header first."""
+    rows = lines(spark, sf_dir, "l_orderkey", "l_linenumber").withColumnRenamed("y", LABEL)
+    rows = rows.select(
+        (F.col("l_orderkey") % PARTS).cast("int").alias("part"),
+        F.lit(1).alias("place"),
+        F.concat_ws(",", *[F.expr(c).cast("string") for c in cells]).alias("line"),
+    )
+    heads = spark.range(PARTS).select(
+        F.col("id").cast("int").alias("part"), F.lit(0).alias("place"), F.lit(header).alias("line")
+    )
+    both = rows.unionAll(heads).repartitionById(PARTS, F.col("part"))
+    return both.sortWithinPartitions("place").select("line")
+
+
 def _with_header_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines as text with the header repeated after every return of quantity 1."""
     text = _named_lines(spark, sf_dir).select(*[F.col(c).cast("string").alias(c) for c in NAMED])
@@ -48,6 +80,34 @@ def _written(spark: SparkSession, sf_dir: str, layout: str) -> str:
         if layout == "gzip":
             writer = writer.option("compression", "gzip")
         writer.csv(path)
+    elif layout == "gzip_uneven":
+        # A third of the rows in one file: two thirds of them would go by order number.
+        part = F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(1 + F.col("l_orderkey") % 7)
+        rows = lines(spark, sf_dir, "l_orderkey").repartitionById(8, part.cast("int"))
+        rows.drop("l_orderkey").write.option("compression", "gzip").csv(path)
+    elif layout == "blank_lines":
+        cells = lines(spark, sf_dir, "l_linenumber")
+        line = F.concat_ws(",", "y", *LINE_FEATURES)
+        more = F.array(F.lit(""), line, F.lit("   "), F.lit(""))
+        cells.select(
+            F.explode(F.when(F.col("l_linenumber") == 1, more).otherwise(F.array(line)))
+        ).write.text(path)
+    elif layout == "marked":
+        _lines_in_parts(spark, sf_dir, "\ufeff" + ",".join(MARKED), MARKED_CELLS).write.text(path)
+    elif layout == "bad_bytes":
+        broken = "concat(CAST(l_tax AS STRING), CAST(unhex('FF') AS STRING))"
+        cells = [*NAMED[:-1], f"CASE WHEN {BAD_ROW} THEN {broken} ELSE CAST(l_tax AS STRING) END"]
+        _lines_in_parts(spark, sf_dir, ",".join(NAMED), cells).write.text(path)
+    elif layout == "mixed":
+        named = _named_lines(spark, sf_dir).withColumn(" ", F.monotonically_increasing_id())
+        for odd, order in ((0, [*NAMED, " "]), (1, [" ", *reversed(NAMED)])):
+            half = named.where(F.col("l_quantity") % 2 == odd).select(*[F.col(c) for c in order])
+            half.write.mode("append").option("header", "true").option("quoteAll", "true").csv(path)
+    elif layout == "parts":
+        orders = lines(spark, sf_dir, "l_orderkey").select(
+            (F.col("l_orderkey") % PARTS).cast("int").alias("part"), "l_orderkey"
+        )
+        orders.repartitionById(PARTS, F.col("part")).write.csv(path)
     elif layout == "files":
         # At least three files, and more where there are more cores to write them.
         count = max(3, spark.sparkContext.defaultParallelism)
@@ -98,6 +158,40 @@ def q_scan_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _totals(read_labeled(spark, _written(spark, sf_dir, "gzip")))
 
 
+def q_scan_gzip_uneven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed files of which one holds a third of all rows."""
+    return _totals(read_labeled(spark, _written(spark, sf_dir, "gzip_uneven")))
+
+
+def q_scan_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _totals(read_labeled(spark, _written(spark, sf_dir, "blank_lines")))
+
+
+def q_scan_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one folder whose columns come in two orders, each with an unnamed column."""
+    clean = clean_table(read_table(spark, _written(spark, sf_dir, "mixed")), LABEL)
+    return _totals(clean.df.select(LABEL, *LINE_FEATURES))
+
+
+def q_scan_guessed_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files with a byte order mark and an unnamed column; the label is found by its name."""
+    path = _written(spark, sf_dir, "marked")
+    label = guess_label(usable_columns(spark, path))
+    clean = clean_table(read_table(spark, path), label)
+    return _totals(clean.df.select(label, *LINE_FEATURES))
+
+
+def q_scan_bad_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are no UTF-8, by file and in the report of the table's problems."""
+    path = _written(spark, sf_dir, "bad_bytes")
+    problems = table_problems(read_table(spark, path), LABEL)
+    told = problems.agg(F.count_if(F.col("code") == "not_utf8").alias("problems"))
+    found = undecodable_lines(spark, path).agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines")
+    )
+    return found.withColumn("problems", told.scalar())
+
+
 def _separated(spark: SparkSession, sf_dir: str, layout: str) -> DataFrame:
     path = _written(spark, sf_dir, layout)
     return _totals(read_labeled(spark, path, LABEL, detect_separator(spark, path)))
@@ -112,7 +206,17 @@ def q_scan_tab(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_scan_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_inputs(spark, _written(spark, sf_dir, "files"))
+    """Rows of every listed file; a file holds the orders of one remainder."""
+    path = _written(spark, sf_dir, "parts")
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    listed = list_inputs(spark, path).select(name, "length")
+    rows = spark.read.schema("part int, l_orderkey long").csv(path)
+    counted = rows.groupBy(F.col("_metadata.file_name").alias("name")).agg(
+        F.min("part").alias("part"), F.count(F.lit(1)).alias("rows")
+    )
+    return listed.join(counted, "name", "left").select(
+        "part", "rows", (F.col("length") > F.col("rows")).alias("listed")
+    )
 
 
 def q_clean_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,6 +272,14 @@ SQL = {
     "scan_union": _totals_sql(2),
     "scan_repeated_header": _totals_sql(),
     "scan_gzip": _totals_sql(),
+    "scan_gzip_uneven": _totals_sql(),
+    "scan_blank_lines": _totals_sql(),
+    "scan_mixed_headers": _totals_sql(),
+    "scan_guessed_label": _totals_sql(),
+    "scan_bad_bytes": f"SELECT count(DISTINCT l_orderkey % {PARTS}) AS files, count(*) AS lines, "
+    f"count(DISTINCT l_orderkey % {PARTS}) AS problems FROM lineitem WHERE l_linenumber = 1 AND l_quantity = 1",
+    "scan_listing": f"SELECT CAST(l_orderkey % {PARTS} AS INTEGER) AS part, count(*) AS rows, true AS listed "
+    "FROM lineitem GROUP BY 1",
     "scan_semicolon": _totals_sql(),
     "scan_tab": _totals_sql(),
     "clean_roundtrip": _totals_sql(),

@@ -25,10 +25,17 @@ from slopefield.catalog.views import (
 )
 from slopefield.functions import sigmoid
 from slopefield.operators import gradient, layout, moments, scoring
-from slopefield.plans.checks import compare_with_reference, paths_agree, sample_rows
+from slopefield.plans.checks import (
+    SAMPLE_DIGITS,
+    compare_with_reference,
+    paths_agree,
+    sample_bound,
+    sample_rows,
+)
 from slopefield.plans.fit import convergence, fit_design, fit_logistic, fit_logistic_vectors
 from slopefield.session import shared_folder
 from slopefield.sinks import write_table
+from slopefield.sources import local_rows
 
 D = len(LINE_FEATURES)
 ONES = [1.0] * (D + 1)
@@ -251,22 +258,50 @@ def q_compare_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+VS_ITERATIONS = 30
+
+
 def q_fit_vs_mllib(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fit's own quality as numbers; what the other solver finds as bounds."""
     source = documents(spark, sf_dir)
-    fit = fit_logistic(source, "y", DOC_FEATURES, max_iter=100, path="columns")
+    fit = fit_logistic(source, "y", DOC_FEATURES, max_iter=VS_ITERATIONS, tol=0.0, path="columns")
     design = moments.standardize(source, "y", DOC_FEATURES, fit.scale)
-    return compare_with_reference(design, fit.weights, solver_rows=100_000)
+    found = compare_with_reference(design, fit.weights, solver_rows=100_000)
+    return found.selectExpr(
+        "scored_rows", rounded("acc_mine", 8), rounded("logloss_mine", 8),
+        "logloss_ref <= logloss_mine + 0.01 AS solver_fits", "abs(cosine) <= 1 + 1e-9 AS comparable",
+        "sample_rows BETWEEN 1 AND scored_rows AS sampled",
+    )
+
+
+SAMPLED = 0.2
 
 
 def q_sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled rows themselves depend on partitioning; their number is predictable."""
-    source = lines(spark, sf_dir)
-    total = source.agg(F.count(F.lit(1)).alias("total"))
-    taken = sample_rows(source, 0.2).agg(F.count(F.lit(1)).alias("taken"))
-    expected, spread = F.col("total") * 0.2, F.sqrt(F.col("total") * 0.2 * 0.8)
-    return total.select("total", taken.scalar().alias("taken")).select(
-        "total", (F.abs(F.col("taken") - expected) <= 6 * spread).alias("plausible")
+    """Lines taken by a hash of their keys: the same ones from any partitioning."""
+    source = lines(spark, sf_dir, "l_orderkey", "l_linenumber")
+    taken = sample_rows(source.repartition(7), SAMPLED, keys=["l_orderkey", "l_linenumber"])
+    return taken.select("l_orderkey", "l_linenumber", "y")
+
+
+def q_local_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per brand (a bounded domain) held by the driver, sent back and joined with the parts."""
+    parts = table(spark, sf_dir, "part")
+    means = parts.groupBy("p_brand").agg(F.avg("p_retailprice").alias("mean_price"))
+    brands = means.orderBy("p_brand").toArrow()
+    sent = local_rows(spark, brands, partitions=LOCAL_SLICES)
+    slices = sent.groupBy(F.spark_partition_id().alias("slice")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("p_brand").alias("first")
+    )
+    even = slices.agg((F.max("n") - F.min("n") <= 1).alias("even")).scalar()
+    above = parts.join(sent, "p_brand").groupBy("p_brand").agg(
+        F.count_if(F.col("p_retailprice") > F.col("mean_price")).alias("above"),
+        F.count(F.lit(1)).alias("n"),
     )
+    return above.withColumn("even", even)
+
+
+LOCAL_SLICES = 4
 
 
 QUERIES = {name.removeprefix("q_"): f for name, f in list(globals().items()) if name.startswith("q_")}
@@ -385,5 +420,17 @@ SQL = {
     )
     + ") SELECT count(*) AS coefficients, round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 8) + 0.0 AS cosine, "
     "round(max(abs(a - b)), 8) + 0.0 AS max_abs_diff, bool_and(abs(a - b) <= 1e-9 + 1e-9 * abs(b)) AS match FROM pairs",
-    "sample_rows": "SELECT count(*) AS total, true AS plausible FROM lineitem",
+    "sample_rows": "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END::DOUBLE AS y "
+    f"FROM lineitem WHERE left(md5('0|' || l_orderkey || '|' || l_linenumber), {SAMPLE_DIGITS}) "
+    f"< '{sample_bound(SAMPLED)}'",
+    "local_source": "WITH m AS (SELECT p_brand, avg(p_retailprice) AS mean_price FROM part GROUP BY p_brand) "
+    "SELECT p_brand, count(*) FILTER (WHERE p_retailprice > mean_price) AS above, count(*) AS n, true AS even "
+    "FROM part JOIN m USING (p_brand) GROUP BY p_brand",
+    "fit_vs_mllib": f"WITH RECURSIVE {_DOC_DESIGN}, {descent_cte('fit', len(DOC_FEATURES), VS_ITERATIONS)}, "
+    f"scored AS (SELECT y, {score_sql([f'w{j}' for j in range(len(DOC_FEATURES) + 1)])} AS z "
+    f"FROM design, fit WHERE k = {VS_ITERATIONS}), p AS (SELECT y, {SIGMOID_SQL} AS p FROM scored) "
+    "SELECT count(*) AS scored_rows, "
+    "round(avg(CASE WHEN (p > 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END), 8) + 0.0 AS acc_mine, "
+    "round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 8) + 0.0 AS logloss_mine, "
+    "true AS solver_fits, true AS comparable, true AS sampled FROM p",
 }
