@@ -13,16 +13,18 @@ null one, and the offset of every record plus the end. A file appears under its
 only when complete. Reading streams a file record by record and verifies all checksums;
 ``read_at`` takes single records by their offsets.
 
-Encoding is that of the ``tokenizers`` library. Words are encoded once per task and kept
-(up to ``CACHE_WORDS``): white space separates them for this vocabulary, so a text's ids
+Encoding is that of the ``tokenizers`` library. Words are encoded once per worker process and
+kept (up to ``CACHE_WORDS``): white space separates them for this vocabulary, so a text's ids
 are those of its words. A vocabulary for which that does not hold is refused.
 
 Defined cases: a null or empty text has the end id alone; null document ids come first;
-equal ids are ordered by text; extra columns are ignored.
+equal ids are ordered by text; extra columns are ignored. A text is encoded whole, as one
+record, whatever its length; repeated rows are repeated records.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import re
@@ -34,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from slopefield.llm.common import committed_file, opened, stored, text_of
+from slopefield.llm.common import committed_file, kept_in_worker, opened, stored, text_of
 from slopefield.session import shared_folder
 
 CACHE_WORDS = 400_000
@@ -168,7 +170,9 @@ def write_records(
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "token-records")
     with open(tokenizer_file, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())
+        text = f.read()
+    digest = hashlib.sha256(text.encode()).hexdigest()
+    definition = spark.sparkContext.broadcast(text)
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
         .repartitionByRange(F.col("id").asc_nulls_first())
@@ -187,7 +191,7 @@ def write_records(
             first = next(batches, None)
         if first is None:
             return
-        encoder = WordEncoder(definition.value)
+        encoder = kept_in_worker("encoder", digest, lambda: WordEncoder(definition.value))
         end = np.array([end_id], encoder.dtype).tobytes()
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}"
