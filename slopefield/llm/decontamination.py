@@ -7,8 +7,10 @@ without any shuffle. ``phrase_hits`` reads from the index only the terms of the
 items, brings the lists of a segment together and intersects them shifted by their place
 in the phrase, rarest list first. All occurrences are found; nothing is estimated.
 
-The test items are worked off in blocks of at most ``block_words`` words, which bounds
-what is sent to the tasks. A common word cannot make a task large: a task sees one
+Windows of the test items are made and counted by Spark; those with a term that the index
+lacks go no further. The others are searched in blocks of about ``block_words`` words, which
+bounds what passes the driver and what is sent to the tasks, and a segment looks only at the
+windows whose rarest term it holds. A common word cannot make a task large: a task sees one
 segment's lists, however often the word occurs elsewhere.
 
 Defined cases: null or word-free texts have no words and no hits; null and word-free
@@ -19,14 +21,13 @@ reported row by row; a null item id is written as an empty string.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import stored, text_of
+from slopefield.llm.common import lean, stored, text_of
 
 WINDOW = 10
 SEGMENT_BYTES = 4 << 20
@@ -138,31 +139,62 @@ def build_index(
             yield from segment.rows(f"{partition}-{number}")
 
     columns = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    return stored(columns.mapInArrow(indexed, INDEX_SCHEMA), "postings")
-
-
-def item_blocks(
-    items: DataFrame, id_col: str, text_col: str, window: int, block_words: int
-) -> Iterator[dict[tuple, list[str]]]:
-    """Windows of the test items with the ids of the items they come from, block by block."""
-    block: dict[tuple, list[str]] = {}
-    held = 0
-    rows = items.select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    for item_id, text in rows.toLocalIterator():
-        words = words_of(text)
-        if not words:
-            continue
-        size = min(window, len(words))
-        for i in range(len(words) - size + 1):
-            owners = block.setdefault(tuple(words[i : i + size]), [])
-            if (item_id or "") not in owners:
-                owners.append(item_id or "")
-        held += len(words)
-        if held >= block_words:
-            yield block
-            block, held = {}, 0
-    if block:
-        yield block
+    return stored(columns.mapInArrow(lean(indexed), INDEX_SCHEMA), "postings")
+
+
+WINDOW_SCHEMA = "terms array<string>, owner string"
+
+
+def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """Stored (terms, owners) of the distinct windows of the test items, made by the tasks."""
+    import pyarrow as pa
+
+    rows = items.select(
+        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
+        F.col(text_col).cast("string").alias("text"),
+    )
+
+    def cut(batches):
+        for batch in batches:
+            for owner, text in zip(*(c.to_pylist() for c in batch.columns)):
+                words = words_of(text)
+                size = min(window, len(words))
+                found = {tuple(words[i : i + size]) for i in range(len(words) - size + 1) if size}
+                terms = [list(w) for w in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(terms, pa.list_(pa.string())), pa.array([owner] * len(terms), pa.string())],
+                    names=["terms", "owner"],
+                )
+
+    cuts = rows.mapInArrow(lean(cut), WINDOW_SCHEMA)
+    return stored(cuts.groupBy("terms").agg(F.collect_set("owner").alias("owners")), "windows")
+
+
+def searched_windows(index: DataFrame, windows: DataFrame, block_words: int) -> tuple[DataFrame, int]:
+    """(stored windows all of whose terms occur, with their rarest term and block; blocks).
+
+    How often a term occurs is summed over the segments of the index.
+    """
+    terms = windows.select("terms", F.explode(F.array_distinct("terms")).alias("term"))
+    vocabulary = terms.select(F.col("term").alias("wanted")).distinct()
+    amounts = (
+        index.where("term IS NOT NULL")
+        .select("term", (F.octet_length("positions") / 4).cast("long").alias("n"))
+        .join(vocabulary, F.col("term") == F.col("wanted"), "left_semi")
+        .groupBy("term")
+        .agg(F.sum("n").alias("n"))
+    )
+    known = (
+        terms.join(amounts, "term")
+        .groupBy("terms")
+        .agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "term")).alias("least"))
+        .where(F.col("found") == F.size(F.array_distinct("terms")))
+        .select("terms", F.col("least.term").alias("rarest"))
+    )
+    met = stored(windows.join(known, "terms"), "searched")
+    words = met.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = -(-words // block_words)
+    return met.withColumn("block", F.pmod(F.xxhash64("terms"), F.lit(max(1, blocks)))), blocks
 
 
 def _occurrences(phrase: tuple, lists: dict[str, np.ndarray]) -> np.ndarray:
@@ -201,13 +233,15 @@ def _near(terms: list[str], lists: dict[str, np.ndarray], span: int) -> np.ndarr
     return np.array(sorted(set(out)), np.int64).reshape(-1, 2)
 
 
-def _searched(index: DataFrame, block: dict[tuple, list[str]], slop: int | None) -> DataFrame:
+def _searched(index: DataFrame, block: DataFrame, slop: int | None) -> DataFrame:
     """(segment, doc, start, end, items) of every occurrence of the block's windows."""
     spark = index.sparkSession
-    vocabulary = sorted({w for phrase in block for w in phrase})
-    # Bounded: the words of one block of test items.
-    terms = spark.createDataFrame([(w,) for w in vocabulary], "wanted string")
-    shared = spark.sparkContext.broadcast(block)
+    # Bounded: the windows of one block, by the term that starts the search for them.
+    by_rarest: dict[str, list] = {}
+    for row in block.select("rarest", "terms", "owners").collect():
+        by_rarest.setdefault(row.rarest, []).append((tuple(row.terms), sorted(row.owners)))
+    shared = spark.sparkContext.broadcast(by_rarest)
+    terms = block.select(F.explode("terms").alias("wanted")).distinct()
     lists = index.where("term IS NOT NULL").join(
         F.broadcast(terms), F.col("term") == F.col("wanted"), "left_semi"
     )
@@ -225,7 +259,8 @@ def _searched(index: DataFrame, block: dict[tuple, list[str]], slop: int | None)
                 postings[term] = np.frombuffer(positions, "<u4").astype(np.int64)
         ends = np.cumsum(counts)
         out = []
-        for phrase, owners in shared.value.items():
+        # Only windows whose rarest term the segment holds are looked at.
+        for phrase, owners in (w for term in postings for w in shared.value.get(term, ())):
             if any(w not in postings for w in phrase):
                 continue
             if slop is None:
@@ -259,14 +294,14 @@ def matches(
     Without ``slop`` exact phrases; with it, stretches of at most window + slop words
     that hold all words of a window in any order.
     """
-    found = None
-    for block in item_blocks(items, item_id_col, item_text_col, window, block_words):
-        part = _searched(index, block, slop)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = index.sparkSession.createDataFrame(
-            [], "segment string, doc int, start int, stop int, items array<string>"
-        )
+    windows = item_windows(items, item_id_col, item_text_col, window)
+    met, blocks = searched_windows(index, windows, block_words)
+    found = index.sparkSession.createDataFrame(
+        [], "segment string, doc int, start int, stop int, items array<string>"
+    )
+    for k in range(blocks):
+        # Stored one by one: a plan over all blocks would grow with the test items.
+        found = found.unionByName(stored(_searched(index, met.where(F.col("block") == k), slop), "matches"))
     return found
 
 
@@ -281,26 +316,27 @@ def contamination(
 ) -> DataFrame:
     """Per document row: id, n_words, n_hit, n_items, items_sha256, contaminated."""
     index = build_index(docs, id_col, text_col)
-    hits = stored(matches(index, items, item_id_col, item_text_col, window), "matches")
-
-    def merged(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("start")
-        covered, reach = 0, 0
-        for a, b in zip(rows["start"], rows["stop"]):
-            covered += max(0, b - max(a, reach))
-            reach = max(reach, b)
-        names = sorted({str(x) for owners in rows["items"] for x in owners})
-        sha = hashlib.sha256(",".join(names).encode()).hexdigest()
-        return pd.DataFrame(
-            [(rows["segment"].iloc[0], rows["doc"].iloc[0], covered, len(names), sha)],
-            columns=["segment", "doc", "n_hit", "n_items", "items_sha256"],
-        )
-
-    per_document = hits.groupBy("segment", "doc").applyInPandas(
-        merged, "segment string, doc int, n_hit long, n_items long, items_sha256 string"
+    hits = matches(index, items, item_id_col, item_text_col, window)
+    spans = F.array_sort(F.collect_list(F.struct("start", "stop")))
+    covered = F.aggregate(
+        "spans",
+        F.struct(F.lit(0).alias("n"), F.lit(0).alias("reach")),
+        lambda at, s: F.struct(
+            (at["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(s["start"], at["reach"]))).alias("n"),
+            F.greatest(at["reach"], s["stop"]).alias("reach"),
+        ),
+        lambda at: at["n"],
     )
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    per_document = (
+        hits.groupBy("segment", "doc")
+        .agg(spans.alias("spans"), names.alias("names"))
+        .select(
+            "segment", "doc", covered.cast("long").alias("n_hit"),
+            F.size("names").cast("long").alias("n_items"),
+            F.sha2(F.array_join("names", ",").cast("binary"), 256).alias("items_sha256"),
+        )
+    )
 
     def listed(batches):
         import pyarrow as pa
@@ -321,7 +357,7 @@ def contamination(
     everyone = (
         index.where("term IS NULL")
         .select("segment", "ids", "n_words")
-        .mapInArrow(listed, "segment string, doc int, id long, n_words long")
+        .mapInArrow(lean(listed), "segment string, doc int, id long, n_words long")
     )
     none = hashlib.sha256(b"").hexdigest()
     return everyone.join(per_document, ["segment", "doc"], "left").select(
