@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slopefield.llm.common import BATCH_ROWS, joined_with_groups, stored, text_of
+from slopefield.llm.common import BATCH_ROWS, joined_with_groups, lean, stored, text_of
 from slopefield.session import session_settings
 
 BLOCK_BITS = 1 << 16
@@ -86,7 +86,7 @@ def repeated_bits_of(
         return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(again).tobytes()]})
 
     parts = (
-        rows.mapInArrow(noted, "block long, once binary, twice binary")
+        rows.mapInArrow(lean(noted), "block long, once binary, twice binary")
         .groupBy("block")
         .applyInPandas(merged, "block long, bits binary")
     )

@@ -18,7 +18,9 @@ equi-join: depth times the number of paths, no pairs.
 
 Defined cases: null or empty texts declare nothing, nor do texts without a licence word
 unless they are licence files; a null path has no directory and inherits nothing; of equally near licences the one that sorts
-first wins; a repeated path counts once as a licence file.
+first wins; a repeated path counts once as a licence file. A text of any length is split into
+lines and paragraphs within its row; only those that may declare a licence leave it. Further
+columns are not looked at, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ Equal scores are ordered by piece ids. Decoding joins the pieces, turns U+2581 b
 spaces, drops the one in front, and reads byte pieces as UTF-8 (U+FFFD where they are not).
 
 Defined cases: a null or empty text has no pieces (its only segmentation is empty) and
-decodes to the empty string. A text with fewer segmentations than N has them all.
+decodes to the empty string. A text with fewer segmentations than N has them all. Repeated
+rows and ids are encoded row by row, texts of any length whole. Further columns are not
+looked at, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
 from slopefield.llm import lattice as L
-from slopefield.llm.common import text_of
+from slopefield.llm.common import lean, text_of
 
 SPACE = "▁"
 _MARK = SPACE.encode()
@@ -419,7 +421,7 @@ def encode_documents(
                 )
 
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(
-        run,
+        lean(run),
         f"id {id_type}, n_pieces int, pieces array<int>, scores array<double>, "
         "alternatives array<array<int>>, ids_crc32 long, restored boolean",
     )

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slopefield.llm.common import joined_with_groups, stored
+from slopefield.llm.common import joined_with_groups, lean, stored
 from slopefield.llm.components import components
 from slopefield.llm.vantage_tree import near_prints
 
@@ -94,7 +94,7 @@ def fingerprints(
                 names=["row", "id", "print"],
             )
 
-    return stored(source.mapInArrow(hashed, "row long, id long, print long"), "prints")
+    return stored(source.mapInArrow(lean(hashed), "row long, id long, print long"), "prints")
 
 
 def near_pairs(

@@ -21,7 +21,11 @@ whole and shuffles nothing.
 
 Defined cases: a null or empty text scores as a text without evidence; without labels of
 both kinds every text has the share of ones (0 without labels) as score; a null label is
-no label; several labels of one id count as their largest.
+no label; several labels of one id count as their largest. Repeated document rows are scored
+row by row and count once in training. Texts of any length are scored whole, half a megabyte
+of documents at a time, one document at least. Equally likely paths through a lattice go to
+the one found first, in the order of ``SIGNS``; equal scores are equal predictions. Further
+columns are not looked at.
 """
 
 from __future__ import annotations
