@@ -9,7 +9,9 @@ become ``revisit`` records that carry the HTTP header and the payload's digest o
 
 Defined cases: a null payload counts as empty, payloads under ``min_revisit_bytes`` are
 always stored, rows that repeat the smallest id are all responses, rows with a null id
-refer to the smallest id there is. A null URL leaves the target header out.
+refer to the smallest id there is. A null URL leaves the target header out. A payload of any
+length is one record, which passes writer and task whole; the reader inflates it by chunks and
+keeps it only if it is asked for. Further columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from pyspark.sql import functions as F
 from slopefield.llm.common import (
     committed_file,
     joined_with_groups,
+    lean,
     opened,
     stored,
     text_of,
 )
+from slopefield.llm.exact_dedup import possibly_repeated
 from slopefield.session import shared_folder
 
 # Fixed values of the WARC 1.1 format.
@@ -185,6 +189,8 @@ def write_archives(
     archive_bytes: int = 64 << 20,
     level: int = 4,
     date: str = "1970-01-01T00:00:00Z",
+    bits_per_row: int = 16,
+    max_filter_bits: int = 1 << 28,
 ) -> DataFrame:
     """Write the archives and return their list (path, records, bytes).
 
@@ -199,19 +205,34 @@ def write_archives(
         F.col(id_col).cast("long").alias("id"),
         F.col(url_col).cast("string").alias("url"),
         text_of(payload_col).alias("payload"),
+    )
+    # Of payloads that can be revisited only those whose hash may occur again are shuffled;
+    # all other pages are written where they are read.
+    large = F.octet_length("payload") >= min_revisit_bytes
+    hashed = rows.withColumn("hash", F.when(large, F.xxhash64("payload")))
+    hashes = stored(hashed.where("hash IS NOT NULL").select("hash"), "hashes")
+    maybe = possibly_repeated(hashes, "hash", bits_per_row, max_filter_bits)
+    marked = hashed.withColumn("hash", F.coalesce("hash", F.lit(0).cast("long"))).withColumn(
+        "again", large & maybe
     ).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
+    suspects = stored(marked.where("again").select("id", "url", "digest", "payload"), "suspects")
     repeated = stored(
-        rows.where(F.octet_length("payload") >= min_revisit_bytes)
-        .groupBy("digest")
+        suspects.groupBy("digest")
         .agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
         .where("copies > 1"),
         "payloads",
     )
-    placed = joined_with_groups(
-        rows, repeated, "digest", "copies", pages.count(), F.col("id")
-    ).select(
-        "id", "url", "digest", "payload",
-        F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
+    joined = joined_with_groups(
+        suspects, repeated, "digest", "copies", suspects.count(), F.col("id")
+    )
+    nobody = F.lit(None).cast("long")
+    placed = marked.where("NOT again").select(
+        "id", "url", "digest", "payload", nobody.alias("refers_to")
+    ).unionAll(
+        joined.select(
+            "id", "url", "digest", "payload",
+            F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"),
+        )
     )
 
     def written(batches):
@@ -251,7 +272,7 @@ def write_archives(
             }
         )
 
-    return stored(placed.mapInArrow(written, "path string, records long, bytes long"), "archives")
+    return stored(placed.mapInArrow(lean(written), "path string, records long, bytes long"), "archives")
 
 
 def read_archives(archives: DataFrame, with_payload: bool = True, batch: int = 512) -> DataFrame:
