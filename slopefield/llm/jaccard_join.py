@@ -23,7 +23,8 @@ descends through regions:
    This goes on recursively inside a region: two far points split it (Hamming distance of
    parity sketches, itself a metric and never above the number of differing shingles),
    points within twice the radius of the border go to both sides, and what remains is
-   verified on the full sets.
+   verified on the full sets. Regions too large for a task are parted so on Spark first, over
+   stored tables, by balls around pivots of a bounded sample; what nothing parts is compared tile by tile.
 
 Links carry over to connected components. No pair is lost: each step only drops pairs
 that a counting or triangle argument excludes, or whose ends are connected already.
@@ -40,13 +41,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import joined_with_groups, numbered, stored, text_of
+from slopefield.llm.common import joined_with_groups, lean, numbered, stored, text_of
 from slopefield.llm.components import components
 from slopefield.llm.exact_dedup import repeated_bits_of
 
 SKETCH_BITS = 512
-TILE_ROWS = 256
+# Rows of an open region that one task may hold, and of a tile of one that nothing parts.
+REGION_ROWS = 8192
+TILE_ROWS = 2048
 LEAF_ROWS = 64
+# Regions parted in one round, and rows of them that the driver looks at for pivots.
+ROUND_REGIONS, ROUND_SAMPLE = 2048, 1 << 16
+# Balls that part a region at once, rounds, and the share of comparisons that may be left.
+BALLS, ROUNDS, PARTED_SHARE = 16, 12, 0.7
 
 # Words [^\x20\x09-\x0D]+ after A-Z became a-z.
 _WORD = K.byte_class(lambda b: not (b == 32 or 9 <= b <= 13))
@@ -155,7 +162,7 @@ def _points(docs: DataFrame, words: int, percent: int, max_filter_bits: int) ->
             )
 
     return stored(
-        source.mapInArrow(described, "row long, id long, n long, sig string, keys array<long>"),
+        source.mapInArrow(lean(described), "row long, id long, n long, sig string, keys array<long>"),
         "points",
     )
 
@@ -190,7 +197,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int, max_filter_bits: i
 
     return stored(
         docs.select("row", "text").mapInArrow(
-            described, "node long, n long, shingles binary, sketch binary"
+            lean(described), "node long, n long, shingles binary, sketch binary"
         ),
         "sets",
     )
@@ -225,7 +232,7 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs.join(two, "b")
         .join(one, "a")
         .select("a", "b", "set_a", "set_b")
-        .mapInArrow(compared, "a long, b long, distance double, link boolean")
+        .mapInArrow(lean(compared), "a long, b long, distance double, link boolean")
     )
 
 
@@ -283,12 +290,153 @@ def region_candidates(
     return np.unique(pairs, axis=0)
 
 
-def _window_pairs(regions: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs of all open regions; large regions are worked off in tiles."""
-    sizes = regions.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    tiled = (
-        regions.join(sizes, "key")
-        .withColumn("tiles", F.ceil(F.col("rows") / TILE_ROWS).cast("int"))
+def _hamming(sketches: np.ndarray, pivot: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(sketches ^ pivot).sum(axis=1, dtype=np.int64)
+
+
+def balls_of(sketches: np.ndarray, reach: int) -> list[tuple[np.ndarray, int]]:
+    """Pivots and radii that part a sample: few points lie in the ring just outside a ball.
+
+    One after the other, each ball takes what lies in it away from the rest. Empty if what
+    would be left with the rings comes to more than PARTED_SHARE of comparing all.
+    """
+    n = len(sketches)
+    found, work = [], 0.0
+    rest = np.arange(n)
+    for _ in range(2 * BALLS):
+        if len(rest) < 2 or len(found) == BALLS:
+            break
+        pivot = sketches[rest[0]]
+        d = np.sort(_hamming(sketches[rest], pivot))
+        inside = np.arange(1, len(d) + 1)
+        near = np.searchsorted(d, d + reach, side="right")
+        cost = near.astype(float) ** 2 + (len(d) - inside).astype(float) ** 2
+        cost[(near - inside) * 4 > inside] = np.inf  # the ring holds too many
+        best = int(np.argmin(cost))
+        if not cost[best] < len(d) ** 2:
+            rest = np.roll(rest, -1)
+            continue
+        found.append((pivot, int(d[best])))
+        work += float(near[best]) ** 2
+        rest = rest[_hamming(sketches[rest], pivot) > d[best]]
+    return found if found and work + float(len(rest)) ** 2 <= PARTED_SHARE * n**2 else []
+
+
+def _sketches(rows) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+
+
+def _parted(regions: DataFrame, percent: int, region_rows: int) -> DataFrame:
+    """The open regions with those too large for a task parted by balls around pivots, and again
+    until none is that large or nothing parts it.
+
+    A ball's window is wider than the ball by the reach, and the rest is what lies in no ball:
+    a pair within reach of which one point lies in a ball is in its window with both, any
+    other pair is in the rest. A part whose points are all connected, or all inside, holds no
+    further link and is dropped. Pivots and radii come from a bounded sample: they decide how
+    even the parts are and never which pairs meet.
+    """
+    import pyarrow as pa
+
+    spark = regions.sparkSession
+    done, number = [], 0
+    wide = regions.withColumn("part", F.lit(0).cast("long"))
+    while True:
+        large = (
+            wide.groupBy("key", "part")
+            .agg(
+                F.count(F.lit(1)).alias("rows"), F.max("n").alias("largest"),
+                F.min("component").alias("p"), F.max("component").alias("q"),
+                F.bool_or("outside").alias("open"),
+            )
+            .where(F.col("rows") > region_rows)
+            .orderBy(F.desc("rows"))
+            .limit(ROUND_REGIONS)
+            .collect()
+        )
+        if not large:
+            done.append(wide)
+            break
+        each = max(32, ROUND_SAMPLE // len(large))
+        shares = spark.createDataFrame(
+            [(r.key, r.part, max(1, r.rows // each)) for r in large],
+            "_key long, _part long, share long",
+        )
+        same = (F.col("key") == F.col("_key")) & (F.col("part") == F.col("_part"))
+        mine = wide.join(F.broadcast(shares), same).drop("_key", "_part")
+        drawn: dict[tuple, list] = {}
+        for r in mine.where(F.pmod(F.xxhash64("node", F.lit(number)), "share") == 0).select(
+            "key", "part", "sketch"
+        ).collect():
+            drawn.setdefault((r.key, r.part), []).append(bytes(r.sketch))
+        splits = {}
+        for r in large:
+            reach = (100 - percent) * 2 * r.largest // (100 + percent)
+            sample = drawn.get((r.key, r.part), [])
+            balls = balls_of(_sketches(sample), reach) if number < ROUNDS and sample else []
+            if r.p != r.q and r.open and balls:
+                splits[r.key, r.part] = balls, reach
+        closed = {(r.key, r.part) for r in large if r.p == r.q or not r.open}
+        rest = [k for k in ((r.key, r.part) for r in large) if k not in splits and k not in closed]
+        listed = spark.createDataFrame([(r.key, r.part) for r in large], "_key long, _part long")
+        done.append(wide.join(F.broadcast(listed), same, "left_anti"))
+        if rest:
+            tiled = spark.createDataFrame(rest, "_key long, _part long")
+            done.append(wide.join(F.broadcast(tiled), same, "left_semi"))
+        if not splits:
+            break
+        shared = spark.sparkContext.broadcast(splits)
+        chosen = spark.createDataFrame(list(splits), "_key long, _part long")
+        names = wide.columns
+
+        def moved(batches, shared=shared, names=names):
+            for batch in batches:
+                key, part = (
+                    batch.column(names.index(c)).to_numpy(zero_copy_only=False)
+                    for c in ("key", "part")
+                )
+                sketch = _sketches(batch.column(names.index("sketch")).to_pylist())
+                for region in set(zip(key.tolist(), part.tolist())):
+                    at = np.flatnonzero((key == region[0]) & (part == region[1]))
+                    balls, reach = shared.value[region]
+                    outer = np.ones(len(at), bool)
+                    windows = []
+                    for pivot, radius in balls:
+                        d = _hamming(sketch[at], pivot)
+                        windows.append(at[d <= radius + reach])
+                        outer &= d > radius
+                    for child, taken in enumerate([at[outer], *windows], 1):
+                        rows = batch.take(pa.array(taken))
+                        name = (region[1] + child * 0x9E3779B1) % (1 << 64)
+                        part_of = K.mixed(np.array([name], np.uint64))
+                        to = np.repeat(part_of.view(np.int64), rows.num_rows)
+                        yield rows.set_column(names.index("part"), "part", pa.array(to))
+
+        types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in wide.schema)
+        wide = stored(
+            wide.join(F.broadcast(chosen), same, "left_semi").mapInArrow(lean(moved), types),
+            "parted",
+        )
+        shared.unpersist()
+        number += 1
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _tiles(
+    regions: DataFrame, percent: int, region_rows: int = REGION_ROWS, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """The rows of all open regions as tasks compare them: parted, or copied for pairs of tiles."""
+    parted = stored(_parted(regions, percent, region_rows), "regions")
+    parted = parted.withColumn("key", F.when(F.col("part") == 0, F.col("key")).otherwise(
+        F.xxhash64("key", "part")))
+    sizes = parted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    tiles = F.when(F.col("rows") <= region_rows, 1).otherwise(F.ceil(F.col("rows") / tile_rows))
+    return (
+        parted.join(sizes, "key")
+        .withColumn("tiles", tiles.cast("int"))
         .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("low", F.least("mine", "other"))
@@ -297,6 +445,11 @@ def _window_pairs(regions: DataFrame, percent: int) -> DataFrame:
                 "sketch")
     )
 
+
+def _window_pairs(regions: DataFrame, percent: int, **rows: int) -> DataFrame:
+    """Distinct candidate pairs of all open regions."""
+    tiled = _tiles(regions, percent, **rows)
+
     def of_tile(columns, a, b, low, high):
         node, n, distance, outside, component, mine, sketch = (c[a:b] for c in columns)
         pairs = region_candidates(
@@ -334,7 +487,7 @@ def _window_pairs(regions: DataFrame, percent: int) -> DataFrame:
     return (
         tiled.repartition("key", "low", "high")
         .sortWithinPartitions("key", "low", "high", "node")
-        .mapInArrow(windows, "a long, b long")
+        .mapInArrow(lean(windows), "a long, b long")
         .distinct()
     )
 

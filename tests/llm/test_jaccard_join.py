@@ -133,3 +133,63 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     assert found == {x: c for x, c in label.items() if any(x in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+REGION = "key long, node long, distance double, outside boolean, component long, n long, sketch binary"
+
+
+def region_of(spark, sets, key=7):
+    rows = [
+        (key, k, 0.9, True, k, len(s), J.parity_sketch(s).tobytes()) for k, s in enumerate(sets)
+    ]
+    return spark.createDataFrame(rows, REGION).repartition(6)
+
+
+def similar_sets(rng, clusters, members):
+    out = []
+    for _ in range(clusters):
+        base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+        for _ in range(members):
+            changed = rng.integers(0, 1 << 63, 4).astype(np.uint64)
+            out.append(np.unique(np.concatenate([base[rng.random(300) > 0.02], changed])))
+    return out
+
+
+def linked(sets, percent):
+    found = set()
+    for a in range(len(sets)):
+        for b in range(a):
+            shared = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
+                found.add((b, a))
+    return found
+
+
+def test_large_regions_are_parted_without_losing_a_link(spark):
+    sets = similar_sets(np.random.default_rng(6), 9, 14)
+    regions = region_of(spark, sets)
+    parts = J._parted(regions, 90, region_rows=40)
+    sizes = [r["count"] for r in parts.groupBy("key", "part").count().collect()]
+    assert len(sizes) > 3 and max(sizes) <= 40
+    for rows in ({"region_rows": 40}, {"region_rows": 40, "tile_rows": 15}, {"region_rows": 10**6}):
+        pairs = {tuple(sorted(r)) for r in J._window_pairs(regions, 90, **rows).collect()}
+        assert pairs >= linked(sets, 90)
+
+
+def test_a_region_that_nothing_parts_is_tiled_without_losing_a_link(spark):
+    sets = similar_sets(np.random.default_rng(2), 1, 90)
+    regions = region_of(spark, sets)
+    pairs = J._window_pairs(regions, 80, region_rows=20, tile_rows=20).collect()
+    assert {tuple(sorted(r)) for r in pairs} >= linked(sets, 80)
+
+
+def test_rows_of_a_region_of_20_000_points_are_copied_less_than_20_times(spark):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    near = rng.integers(0, 256, (1, 64)).astype(np.uint8) ^ np.packbits(
+        rng.random((n, 512)) < 0.02, axis=1
+    )
+    rows = [(1, k, 0.9, True, k, 200, near[k].tobytes()) for k in range(n)]
+    regions = spark.createDataFrame(rows, REGION).repartition(8)
+    copied = J._tiles(regions, 80).count()
+    assert n <= copied < 20 * n
