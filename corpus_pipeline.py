@@ -12,6 +12,14 @@ Each stage is written as Parquet to the shared folder and read again before the
 lost executor costs a stage's tasks, not the pipeline. Stages that reject rows first store
 their input with a row number as a column, so that null or repeated ids do no harm and no
 other file splits can give a row another number.
+
+Defined cases: a null text counts as empty in every stage. Empty texts score as texts without
+evidence, are equal to each other (one stays), link with nothing, hold no window and have no
+pieces. Rows that repeat text and id are judged row by row, and one of them stays. Very long
+texts are read whole. Ties: of equal texts the largest doc_id stays, of near copies the
+smallest; with ids equal too, one row. An empty table, or empty labels or benchmark tables, go
+through all stages. Further columns, whatever their names, are carried to the last stage, which
+returns its own.
 """
 
 from __future__ import annotations
