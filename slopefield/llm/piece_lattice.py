@@ -375,16 +375,19 @@ def encode_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_ids: bool = True,
+    with_text: bool = False,
 ) -> DataFrame:
     """Per document row: id, n_pieces, pieces (best ids), scores (n best), alternatives (the
     other ids), ids_crc32 (of all n best as little-endian 32 bit), restored (the best, decoded as
-    ``PieceModel.decode`` does, is the text: false where it holds U+2581 itself)."""
+    ``PieceModel.decode`` does, is the text: false where it holds U+2581 itself), and with
+    ``with_text`` decoded, that text: one worker encodes and decodes."""
     import pyarrow as pa
 
     with open(model_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     id_type = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_pieces", "pieces", "scores", "alternatives", "ids_crc32", "restored"]
+    names += ["decoded"] if with_text else []
 
     def run(batches):
         model = PieceModel(shared.value)
@@ -399,6 +402,7 @@ def encode_documents(
                     for _, ids in found:
                         crc = zlib.crc32(ids.astype("<u4").tobytes(), crc)
                     best = found[0][1]
+                    decoded = model.decode(best.tolist())
                     rows.append(
                         (
                             len(best),
@@ -406,12 +410,13 @@ def encode_documents(
                             [s for s, _ in found],
                             [i.astype(np.int32) for _, i in found[1:]] if with_ids else None,
                             crc,
-                            model.decode(best.tolist()) == text,
+                            decoded == text,
+                            *([decoded] if with_text else []),
                         )
                     )
                 columns = list(zip(*rows))
                 kinds = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.float64()),
-                         pa.list_(pa.list_(pa.int32())), pa.int64(), pa.bool_()]
+                         pa.list_(pa.list_(pa.int32())), pa.int64(), pa.bool_(), pa.string()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
@@ -423,7 +428,8 @@ def encode_documents(
     return docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).mapInArrow(
         lean(run),
         f"id {id_type}, n_pieces int, pieces array<int>, scores array<double>, "
-        "alternatives array<array<int>>, ids_crc32 long, restored boolean",
+        "alternatives array<array<int>>, ids_crc32 long, restored boolean"
+        + (", decoded string" if with_text else ""),
     )
 
 
