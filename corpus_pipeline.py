@@ -68,10 +68,11 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = public_tokenizers.path("piece_bpe_32k.model")
-    found = piece_lattice.encode_documents(docs, file, n_best=N_BEST)
-    return piece_lattice.decode_documents(found, file).select(
+    # Encoded and decoded by one worker: a second one would hold a model of its own.
+    found = piece_lattice.encode_documents(docs, file, n_best=N_BEST, with_text=True)
+    return found.select(
         F.col("id").alias("doc_id"), "n_pieces", "pieces", "scores", "alternatives", "restored",
-        F.col("text").alias("decoded"),
+        "decoded",
     )
 
 
