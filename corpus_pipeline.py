@@ -11,7 +11,8 @@
 Each stage is written as Parquet to the shared folder and read again before the next: a
 lost executor costs a stage's tasks, not the pipeline. Stages that reject rows first store
 their input with a row number as a column, so that null or repeated ids do no harm and no
-other file splits can give a row another number.
+other file splits can give a row another number. That copy is deleted when the next stage
+that makes one begins: by then the result has to be written.
 
 Defined cases: a null text counts as empty in every stage. Empty texts score as texts without
 evidence, are equal to each other (one stays), link with nothing, hold no window and have no
@@ -24,17 +25,38 @@ returns its own.
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopefield.llm import decontamination, exact_dedup, jaccard_join, piece_lattice, toxicity
-from slopefield.llm.common import numbered, stored, table
+from slopefield.llm.common import deleted, numbered, stored, table
 
 # The row number, under a name that no column of the documents has.
 ROW = "_place_in_stage"
 N_BEST = 4
 
 
+# Numbered copies that the stage before has read; its result lies in Parquet by now.
+_read: list[tuple[SparkSession, DataFrame]] = []
+
+
+def _numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The stage's input with row numbers. What the stage before left goes first: its numbered
+    copy, and the shuffle files and broadcasts that Spark drops once the driver has collected
+    the tables they belong to."""
+    while _read:
+        owner, used = _read.pop()
+        if owner is spark:
+            deleted(used)
+    gc.collect()
+    spark._jvm.System.gc()
+    placed = numbered(docs, ROW)
+    _read.append((spark, placed))
+    return placed
+
+
 def _without(placed: DataFrame, rejected: DataFrame) -> DataFrame:
     """The rows of a numbered table whose number (``row``) is not among the rejected."""
     gone = rejected.select(F.col("row").alias("_gone"))
@@ -42,7 +64,7 @@ def _without(placed: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = numbered(docs, ROW)
+    placed = _numbered(spark, docs)
     scores = toxicity.toxicity_scores(placed, table(spark, sf_dir, "labels"), row_col=ROW)
     return _without(placed, stored(scores.where("predicted = 1").select("row"), "toxic"))
 
@@ -52,13 +74,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = numbered(docs, ROW)
+    placed = _numbered(spark, docs)
     found = jaccard_join.similar_documents(placed, row_col=ROW)
     return _without(placed, stored(found.where("NOT kept").select("row"), "near-copies"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    placed = numbered(docs, ROW)
+    placed = _numbered(spark, docs)
     texts = placed.select(F.col(ROW).alias("row"), "text")
     found = decontamination.contamination(texts, table(spark, sf_dir, "benchmark"), id_col="row")
     return _without(placed, stored(found.where("contaminated").select("row"), "contaminated"))
