@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import deleted, stored, text_of
+from slopefield.llm.common import deleted, lean, stored, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -41,8 +41,9 @@ SIDE = 512
 DENSE_PAIRS = SIDE * SIDE // 16
 # Tiles of the ranks up to 64 * SIDE can be dense; so many are counted at once.
 EDGE_TILES, TILES_AT_ONCE = 64, 8
-# Bytes of streams that a task counts at once.
-COUNTED_BYTES = 1 << 23
+# Bytes of streams that a task counts at once, and rows of counts that it sends at once.
+COUNTED_BYTES = 1 << 21
+SENT_ROWS = 1 << 16
 
 _WORD = K.byte_class(lambda b: b not in BREAKS and b not in GAPS)
 _BREAK = K.byte_class(lambda b: b in BREAKS)
@@ -112,13 +113,14 @@ def _word_keys(vocabulary: DataFrame) -> DataFrame:
                 [pa.array(keys.view(np.int64)), batch.column(2)], names=["key", "rank"]
             )
 
-    return vocabulary.select("lang", "word", "rank").mapInArrow(keyed, "key long, rank long")
+    return vocabulary.select("lang", "word", "rank").mapInArrow(lean(keyed), "key long, rank long")
 
 
 def _blocks(keys: DataFrame, total: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Sorted keys and their ranks, a bounded block of ranks at a time; one block at least."""
     for first in range(0, max(total, 1), block):
-        part = keys.where((F.col("rank") >= first) & (F.col("rank") < first + block)).toPandas()
+        part = keys.where((F.col("rank") >= first) & (F.col("rank") < first + block))
+        part = part.select("key", "rank").toPandas()
         names = part["key"].to_numpy(np.int64)
         order = np.argsort(names)
         yield names[order], part["rank"].to_numpy(np.int64)[order].astype(np.int32)
@@ -184,7 +186,7 @@ def _word_stream(docs: DataFrame, text_col: str, lang_col: str, vocabulary, tota
                 yield _stream_batch(batch if not last else None, out, sizes)
 
         schema = "words binary" if last else "lang string, text string, words binary"
-        table = stored(table.mapInArrow(filled, schema), "streams")
+        table = stored(table.mapInArrow(lean(filled), schema), "streams")
         shared.unpersist()
     return table
 
@@ -228,33 +230,32 @@ def _places(words: np.ndarray, grams: np.ndarray, offsets: np.ndarray, size: int
     return np.flatnonzero(ok)
 
 
-def tiled_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a place of each distinct pair, its key x << 32 | y, its count)."""
-    row, column = x // SIDE, y // SIDE
-    edge = (row < EDGE_TILES) & (column < EDGE_TILES)
-    tile = np.where(edge, row * EDGE_TILES + column, -1)
+def tiled_counts(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key x << 32 | y of each distinct pair, its count)."""
+    limit = EDGE_TILES * SIDE
+    edge = (x < limit) & (y < limit)
+    tile = np.where(edge, x // SIDE * EDGE_TILES + y // SIDE, -1).astype(np.int16)
     filled = np.bincount(tile[edge], minlength=EDGE_TILES * EDGE_TILES)
     dense = np.flatnonzero(filled >= DENSE_PAIRS)
-    slot = np.full(EDGE_TILES * EDGE_TILES + 1, -1)
+    slot = np.full(EDGE_TILES * EDGE_TILES + 1, -1, np.int16)
     slot[dense] = np.arange(len(dense))
     slot = slot[tile]  # a tile of -1 looks at the last entry
-    cell = (x % SIDE) * SIDE + y % SIDE
-    places, counts = [], []
+    del edge, tile
+    keys, counts = [], []
     for first in range(0, len(dense), TILES_AT_ONCE):
         mine = np.flatnonzero((slot >= first) & (slot < first + TILES_AT_ONCE))
-        at = (slot[mine] - first) * (SIDE * SIDE) + cell[mine]
+        cell = x[mine] % SIDE * SIDE + y[mine] % SIDE
+        at = (slot[mine].astype(np.int64) - first) * (SIDE * SIDE) + cell
         counted = np.bincount(at, minlength=TILES_AT_ONCE * SIDE * SIDE)
-        some = np.zeros(len(counted), np.int64)
-        some[at] = mine
         cells = np.flatnonzero(counted)
-        places.append(some[cells])
+        of = dense[first + cells // (SIDE * SIDE)]
+        left = of // EDGE_TILES * SIDE + cells % (SIDE * SIDE) // SIDE
+        right = of % EDGE_TILES * SIDE + cells % SIDE
+        keys.append((left << 32) | right)
         counts.append(counted[cells])
     rest = np.flatnonzero(slot < 0)
-    keys = (x[rest] << 32) | y[rest]
-    _, where, n = np.unique(keys, return_index=True, return_counts=True)
-    places = np.concatenate([*places, rest[where]])
-    counts = np.concatenate([*counts, n])
-    return places, (x[places] << 32) | y[places], counts
+    names, n = np.unique((x[rest] << 32) | y[rest], return_counts=True)
+    return np.concatenate([*keys, names]), np.concatenate([*counts, n])
 
 
 def _stream_columns(batches, size: int):
@@ -280,31 +281,41 @@ def _stream_columns(batches, size: int):
 
 
 def _counted(streams: DataFrame, size: int, least: int) -> DataFrame:
-    """key, w1 .. of the frequent phrases of size + 1 words, and f."""
+    """key (rank of the first ``size`` words << 32 | rank of the last) and f of the frequent
+    phrases of size + 1 words."""
     import pyarrow as pa
 
-    names = [f"w{i + 1}" for i in range(size + 1)]
-
     def counted(batches):
         for words, grams, offsets in _stream_columns(batches, size):
             at = _places(words, grams, offsets, size)
-            x, y = grams[at].astype(np.int64), words[at + size].astype(np.int64)
-            some, keys, counts = tiled_counts(x, y)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), *[pa.array(words[at[some] + i]) for i in range(size + 1)],
-                 pa.array(counts.astype(np.int64))],
-                names=["key", *names, "n"],
-            )
+            keys, counts = tiled_counts(grams[at].astype(np.int64), words[at + size].astype(np.int64))
+            for a in range(0, len(keys), SENT_ROWS):
+                part = slice(a, a + SENT_ROWS)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[part]), pa.array(counts[part].astype(np.int64))],
+                    names=["key", "n"],
+                )
 
-    schema = ", ".join(["key long", *[f"{n} int" for n in names], "n long"])
     return (
-        streams.mapInArrow(counted, schema)
+        streams.mapInArrow(lean(counted), "key long, n long")
         .groupBy("key")
-        .agg(*[F.min(n).alias(n) for n in names], F.sum("n").alias("f"))
+        .agg(F.sum("n").alias("f"))
         .where(F.col("f") >= least)
     )
 
 
+def _spelled(found: DataFrame, shorter: DataFrame | None) -> DataFrame:
+    """key, f and ids (the ranks of all words) of phrases, from those of one word less."""
+    first = F.shiftright("key", 32)
+    last = F.col("key").bitwiseAND((1 << 32) - 1).cast("int")
+    if shorter is None:
+        return found.select("key", "f", F.array(first.cast("int"), last).alias("ids"))
+    heads = shorter.select(F.col("rank").alias("_rank"), F.col("ids").alias("_head"))
+    return found.join(heads, first == F.col("_rank")).select(
+        "key", "f", F.array_append("_head", last).alias("ids")
+    )
+
+
 def _advanced(streams: DataFrame, size: int, keys: DataFrame, total: int, block: int) -> DataFrame:
     """Stored streams whose grams are the ranks of phrases of size + 1 words."""
     import pyarrow as pa
@@ -342,7 +353,7 @@ def _advanced(streams: DataFrame, size: int, keys: DataFrame, total: int, block:
         table = streams if number == 0 else table  # noqa: F821
         if "grams" not in table.columns:
             table = table.withColumn("grams", F.col("words"))
-        table = stored(table.mapInArrow(filled, schema), "streams")
+        table = stored(table.mapInArrow(lean(filled), schema), "streams")
         shared.unpersist()
     return table
 
@@ -436,13 +447,14 @@ def collocations(
     vocabulary, total = ranked(frequent, F.desc("f"), F.col("lang"), F.col("word"))
     streams = _word_stream(docs, text_col, lang_col, vocabulary, total, block)
     tables = [vocabulary.select(F.array(F.col("rank").cast("int")).alias("ids"), "f", "lang")]
+    shorter = None
     for size in range(1, LONGEST):
-        found = stored(_counted(streams, size, least), "grams")
-        ids = F.array(*[f"w{i + 1}" for i in range(size + 1)])
-        tables.append(found.select(ids.alias("ids"), "f", F.lit(None).cast("string").alias("lang")))
+        found = stored(_counted(streams, size, least), "counted")
+        found = stored(_spelled(found, shorter), "grams")
+        tables.append(found.select("ids", "f", F.lit(None).cast("string").alias("lang")))
         if size + 1 < LONGEST:
-            keys, total = ranked(found.select("key", "f"), F.desc("f"), F.col("key"))
-            used, streams = streams, _advanced(streams, size, keys, total, block)
+            shorter, total = ranked(found, F.desc("f"), F.col("key"))
+            used, streams = streams, _advanced(streams, size, shorter, total, block)
             deleted(used)
     deleted(streams)
     candidates = tables[1].unionByName(tables[2]).unionByName(tables[3])

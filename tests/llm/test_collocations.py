@@ -97,9 +97,9 @@ def test_dense_and_sparse_tiles_count_alike(monkeypatch):
     expected = Counter(zip(x.tolist(), y.tolist()))
     for dense in (1, 2000, 10**9):
         monkeypatch.setattr(C, "DENSE_PAIRS", dense)
-        places, keys, counts = C.tiled_counts(x, y)
+        keys, counts = C.tiled_counts(x, y)
+        assert len(keys) == len(expected)
         assert {(int(k) >> 32, int(k) & 0xFFFFFFFF): int(n) for k, n in zip(keys, counts)} == expected
-        assert (((x[places] << 32) | y[places]) == keys).all()
 
 
 def test_large_counts_stay_exact(spark):
