@@ -18,7 +18,8 @@ A byte goes if a string of ``length`` bytes that covers it starts anywhere else
    by hash instead, so that no group grows without bound.
 4. Starts become spans of removed bytes, and texts with spans are cut.
 
-Strings are judged on the input. Bytes are compared by 64-bit hashes. ``length`` must
+Strings are judged on the input. Ranges and the starts of frequent anchors are told apart by two
+64-bit hashes, starts of other anchors by one among those that share a 64-bit anchor. ``length`` must
 be above 100.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep all their
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import deleted, joined_with_groups, numbered, stored, text_of
+from slopefield.llm.common import deleted, joined_with_groups, lean, numbered, stored, text_of
 from slopefield.llm.exact_dedup import repeated_bits_of
 from slopefield.llm.suffix_array import following, running_counts, suffix_ranks
 
@@ -121,7 +122,7 @@ def _repeated_anchors(docs: DataFrame, length: int, amount: int, max_bits: int)
                 )
 
     schema = "row long, place int, first int, last int, hash long, name long"
-    return stored(docs.select("row", "text").mapInArrow(found, schema), "anchors")
+    return stored(docs.select("row", "text").mapInArrow(lean(found), schema), "anchors")
 
 
 def repeated_ranges(anchors: DataFrame) -> DataFrame:
@@ -129,17 +130,18 @@ def repeated_ranges(anchors: DataFrame) -> DataFrame:
 
     By the suffix array of the reduced string: equal first symbols stand side by side.
     """
-    symbols = running_counts(anchors.select("row", "place", "name"), ["row", "place"])
+    symbols = running_counts(anchors.select("row", "place", "name", "hash"), ["row", "place"])
     # Symbols from 1 on; halving a 64-bit name leaves 63 bits to tell them apart.
     symbol = F.shiftrightunsigned("name", 1).bitwiseOR(F.lit(1))
-    text = symbols.select(F.col("before").alias("i"), symbol.alias("c"))
-    ranks = suffix_ranks(text, PREFIX)
-    order = running_counts(text.join(ranks, "i").select("rank", "i", "c"), ["rank", "i"])
+    text = symbols.select(F.col("before").alias("i"), symbol.alias("c"), "hash")
+    ranks = suffix_ranks(text.select("i", "c"), PREFIX)
+    order = running_counts(text.join(ranks, "i").select("rank", "i", "c", "hash"), ["rank", "i"])
     deleted(ranks)
     # Neighbours in the order stand beside each other once more: positions as a new text.
-    side = order.select(F.col("before").alias("i"), F.col("i").alias("at"), "c")
-    beside = following(side, {"behind": ("c", 1), "behind_at": ("at", 1)})
-    equal = beside.where("c = behind")
+    side = order.select(F.col("before").alias("i"), F.col("i").alias("at"), "c", "hash")
+    beside = following(side, {"behind": ("c", 1), "behind_at": ("at", 1), "behind_hash": ("hash", 1)})
+    # Equal names of different anchors are a collision: 127 bits tell ranges apart.
+    equal = beside.where("c = behind AND hash = behind_hash")
     repeated = stored(
         equal.select("at").union(equal.select("behind_at")).distinct(), "repeated"
     )
@@ -218,7 +220,7 @@ def _contexts(
                 )
 
     schema = "row long, place int, first int, last int, hash long, hot boolean, bytes binary"
-    return stored(docs.select("row", "text").mapInArrow(found, schema), "contexts")
+    return stored(docs.select("row", "text").mapInArrow(lean(found), schema), "contexts")
 
 
 def _window_hashes(batch, hasher: K.ByteHasher, length: int):
@@ -298,8 +300,9 @@ def _border_runs(contexts: DataFrame, length: int) -> DataFrame:
                         pa.array(part.column(0).to_numpy()[member]),
                         pa.array(start.astype(np.int32)),
                         pa.array((hashes ^ group).view(np.int64)),
+                        pa.array(part.column(4).to_numpy()[member]),
                     ],
-                    names=["row", "start", "string"],
+                    names=["row", "start", "string", "anchor"],
                 )
 
     def as_runs(batches):
@@ -310,16 +313,15 @@ def _border_runs(contexts: DataFrame, length: int) -> DataFrame:
         contexts.where("NOT hot")
         .repartition("hash")
         .sortWithinPartitions("hash")
-        .mapInArrow(compared, RUNS)
+        .mapInArrow(lean(compared), RUNS)
     )
     starts = stored(
-        contexts.where("hot").mapInArrow(each, "row long, start int, string long"), "starts"
-    )
-    again = (
-        starts.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("string")
+        contexts.where("hot").mapInArrow(lean(each), "row long, start int, string long, anchor long"), "starts"
     )
+    both = ["string", "anchor"]
+    again = starts.groupBy(*both).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*both)
     hot = (
-        starts.join(again, "string", "left_semi").select("row", "start").mapInArrow(as_runs, RUNS)
+        starts.join(again, both, "left_semi").select("row", "start").mapInArrow(lean(as_runs), RUNS)
     )
     return cold.unionByName(hot)
 
@@ -427,12 +429,18 @@ def remove_repeats(
         part = ranges.where("NOT repeated").select("row", "place", "hash")
         mixed_hashes = part.select("hash").distinct()
         # Two members of every repeated range stand for all of it.
+        # They are found by hash tables that merge before the shuffle, however many members a
+        # range has; only they meet the hashes.
+        packed = (
+            F.col("row").cast("decimal(19,0)") * F.lit(1 << 31).cast("decimal(10,0)")
+            + F.col("place").cast("decimal(10,0)")
+        ).cast("decimal(38,0)")
         two = (
-            whole.join(mixed_hashes, "hash", "left_semi")
-            .groupBy("hash", "name")
-            .agg(F.min(F.struct("row", "place")).alias("a"), F.max(F.struct("row", "place")).alias("b"))
+            whole.groupBy("hash", "name")
+            .agg(F.min(packed).alias("a"), F.max(packed).alias("b"))
+            .join(mixed_hashes, "hash", "left_semi")
             .select("hash", F.explode(F.array("a", "b")).alias("m"))
-            .select("m.row", "m.place", "hash")
+            .selectExpr(f"CAST(m DIV {1 << 31} AS LONG) AS row", f"CAST(m % {1 << 31} AS INT) AS place", "hash")
         )
         members = stored(part.unionByName(two), "members")
         hot = (
@@ -498,7 +506,7 @@ def remove_repeats(
         flagged_rows.where("_cut").select("row", "id", "text").join(spans, "row", "left")
         .select("row", "id", "text", "begins", "ends")
         .mapInArrow(
-            kept,
+            lean(kept),
             "row long, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, "
             "kept binary",
         )
