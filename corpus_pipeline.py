@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slopefield.llm import decontamination, exact_dedup, jaccard_join, piece_lattice, toxicity
-from slopefield.llm.common import deleted, numbered, stored, table
+from slopefield.llm.common import BATCH_ROWS, deleted, numbered, stored, table
 
 # The row number, under a name that no column of the documents has.
 ROW = "_place_in_stage"
@@ -90,6 +90,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     file = public_tokenizers.path("piece_bpe_32k.model")
+    # Whoever reads the result makes its batches, so their bound stays with the session.
+    for name, bound in BATCH_ROWS.items():
+        spark.conf.set(name.replace("__", "."), bound)
     # Encoded and decoded by one worker: a second one would hold a model of its own.
     found = piece_lattice.encode_documents(docs, file, n_best=N_BEST, with_text=True)
     return found.select(

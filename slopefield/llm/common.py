@@ -15,9 +15,12 @@ from slopefield.session import session_settings, shared_folder
 # that there are fewer than HOT_SHARE hot groups at any size: they may be broadcast.
 HOT_SHARE = 1000
 
-# Rows that pass between the JVM and Python at once: with texts of some kilobytes a
-# batch stays at a few megabytes on either side.
-BATCH_ROWS = {"spark__sql__execution__arrow__maxRecordsPerBatch": "2000"}
+# Rows that pass between the JVM and Python at once, and their bytes: the buffers of larger
+# batches stay with the allocator of an executor's JVM when they are freed, for each of its threads.
+BATCH_ROWS = {
+    "spark__sql__execution__arrow__maxRecordsPerBatch": "2000",
+    "spark__sql__execution__arrow__maxBytesPerBatch": "1m",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,24 +70,36 @@ def kept_in_worker(kind: str, name: str, make):
 
 
 def lean(function):
-    """A function over the batches of a task that gives freed memory back when the task ends.
+    """A function over the batches of a task that gives freed memory back, once a second and
+    when the task ends.
 
     Workers are used again by later tasks. What a task's arrays and tables took stays with
     the allocators of its process otherwise, and adds up with what later stages need.
     """
 
+    def give_back():
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
     def run(batches):
+        import time
+
+        since = time.monotonic()
         try:
-            yield from function(batches)
+            for out in function(batches):
+                yield out
+                del out
+                if time.monotonic() - since > 1:
+                    give_back()
+                    since = time.monotonic()
         finally:
-            import ctypes
-
-            import pyarrow as pa
-
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 

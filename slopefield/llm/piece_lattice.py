@@ -40,7 +40,8 @@ from slopefield.llm.common import lean, text_of
 
 SPACE = "▁"
 _MARK = SPACE.encode()
-SLICE = 1 << 19
+SLICE = 1 << 18
+LATTICE_BYTES = 1 << 15
 # Fixed value: the score of pieces that a model was given rather than learnt.
 ADDED_SCORE = -1e9
 
@@ -286,7 +287,7 @@ def combined(
 class Segmenter:
     """N-best segmentation of texts; what is known of a word is kept for the next slice."""
 
-    def __init__(self, model: PieceModel, n: int, cache_words: int = 400_000):
+    def __init__(self, model: PieceModel, n: int, cache_words: int = 100_000):
         self.model, self.n, self.cache_words = model, n, cache_words
         self._forget()
 
@@ -296,19 +297,32 @@ class Segmenter:
         self.score, self.loss = np.zeros(0), np.zeros(0)
         self.searched: dict[int, list] = {}
 
+    def _knows(self, names: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.names, names)
+        found = at < len(self.names)
+        found[found] = self.names[at[found]] == names[found]
+        return found
+
     def _learn(self, names: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
         """Add new distinct words; the arrays stay sorted by name."""
-        words = WordLattices(self.model, data, offsets)
-        pieces, cuts = words.best_pieces()
-        loss = words.losses() if self.n > 1 else np.full(len(names), np.inf)
+        parts = []
+        # A lattice has many edges a byte: those of a few words at a time.
+        for a, b in K.document_slices(offsets, LATTICE_BYTES):
+            few = offsets[a : b + 1] - offsets[a]
+            words = WordLattices(self.model, data[offsets[a] : offsets[b]], few)
+            pieces, cuts = words.best_pieces()
+            loss = words.losses() if self.n > 1 else np.full(b - a, np.inf)
+            parts.append((pieces.astype(np.int32), np.diff(cuts), loss, words.alpha[words.last]))
+        pieces, counts, loss, score = (np.concatenate(c) for c in zip(*parts))
+        cuts = np.concatenate([[0], np.cumsum(counts)])
         joined = np.concatenate([self.names, names])
         order = np.argsort(joined)
         ends = np.concatenate([self.offsets[1:], cuts[1:] + self.offsets[-1]])
         begins = np.concatenate([self.offsets[:-1], cuts[:-1] + self.offsets[-1]])
-        every = np.concatenate([self.pieces, pieces.astype(np.int32)])
+        every = np.concatenate([self.pieces, pieces])
         self.pieces, self.offsets = K.gathered(every, begins[order], ends[order])
         self.names = joined[order]
-        self.score = np.concatenate([self.score, words.alpha[words.last]])[order]
+        self.score = np.concatenate([self.score, score])[order]
         self.loss = np.concatenate([self.loss, loss])[order]
 
     def _search(self, wanted: dict[int, bytes]) -> None:
@@ -337,7 +351,7 @@ class Segmenter:
         hasher = self.model.table.hasher
         hashes = hasher.ranges(hasher.sums(data), starts, ends)
         names, where, place = np.unique(hashes, return_index=True, return_inverse=True)
-        new = ~np.isin(names, self.names, assume_unique=True)
+        new = ~self._knows(names)
         if new.any():
             self._learn(names[new], *K.gathered(data, starts[where[new]], ends[where[new]]))
         known = np.searchsorted(self.names, names)[place]

@@ -101,3 +101,32 @@ def test_pipeline_stage_against_all_segmentations(spark, model, table_of):
         ids = [tuple(x) for x in (r.pieces, *r.alternatives)]
         assert len(set(ids)) == len(ids) and set(ids) <= {x for _, x in want}
         assert all(model.decode(x) == text for x in ids)
+
+
+def test_lattices_are_made_of_a_few_words_at_a_time(model, monkeypatch):
+    sizes, made = [], P.WordLattices
+
+    def noted(model, data, offsets):
+        sizes.append(len(data))
+        return made(model, data, offsets)
+
+    text = " ".join(f"word{k} x{k * 7}" for k in range(3000))
+    want = P.Segmenter(model, 1).segment([text])[0]
+    monkeypatch.setattr(P, "WordLattices", noted)
+    monkeypatch.setattr(P, "LATTICE_BYTES", 1000, raising=False)
+    (score, ids), = P.Segmenter(model, 1).segment([text])[0]
+    assert max(sizes) <= 1000 and len(sizes) > 10
+    assert score == want[0][0] and ids.tolist() == want[0][1].tolist()
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    from slopefield.llm.common import stored
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["n"])
+
+    long = spark.range(0, 2000, 1, 1).selectExpr("repeat('abcdefghij', 500) AS text")
+    assert max(r.n for r in stored(long.mapInArrow(sizes, "n long"), "sizes").collect()) < 2 << 20
