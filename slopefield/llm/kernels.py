@@ -12,7 +12,6 @@ import numpy as np
 
 SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +45,12 @@ def document_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[t
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h = h ^ (h >> np.uint64(30))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 class ByteHasher:
@@ -84,6 +86,13 @@ class ByteHasher:
         raw = (sums[ends] - sums[starts]) * self.inverse[starts]
         return mixed(raw + (ends - starts).astype(np.uint64))
 
+    def windows(self, sums: np.ndarray, size: int) -> np.ndarray:
+        """``ranges`` of every ``size`` consecutive bytes."""
+        raw = sums[size:] - sums[: len(sums) - size]
+        raw *= self.inverse[: len(raw)]
+        raw += np.uint64(size)
+        return mixed(raw)
+
 
 def byte_class(test) -> np.ndarray:
     return np.array([bool(test(b)) for b in range(256)])
@@ -134,16 +143,14 @@ def distinct_shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     return np.unique(gram_hashes(hashes, n))
 
 
-def sliding(values: np.ndarray, width: int, best: np.ufunc, worst: int) -> np.ndarray:
-    """best() of each ``width`` consecutive values, by running bests within blocks of that width."""
-    blocks = -(-len(values) // width)
-    grid = np.full(blocks * width, worst, np.uint64)
-    grid[: len(values)] = values
-    grid = grid.reshape(blocks, width)
-    ahead = best.accumulate(grid, axis=1).ravel()
-    behind = best.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    count = len(values) - width + 1
-    return best(behind[:count], ahead[width - 1 : width - 1 + count])
+def sliding(values: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """best() of each ``width`` consecutive values, from the bests of half as many."""
+    out, have = values[: len(values) if len(values) >= width else 0], 1
+    while len(out) and have < width:
+        step = min(have, width - have)
+        out = best(out[: len(out) - step], out[step:])
+        have += step
+    return out
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -154,10 +161,10 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """
     if len(values) < width:
         return np.zeros(0, np.int64)
-    smallest = sliding(values, width, np.minimum, _MASK)
+    smallest = sliding(values, width, np.minimum)
     # No window over a position has a minimum above its value: picked if one reaches it.
     rim = np.zeros(width - 1, np.uint64)
-    reached = sliding(np.concatenate([rim, smallest, rim]), width, np.maximum, 0)
+    reached = sliding(np.concatenate([rim, smallest, rim]), width, np.maximum)
     return np.flatnonzero(reached == values)
 
 

@@ -45,47 +45,72 @@ HOT_MEMBERS = 2048
 PREFIX = 9
 
 
-def _start_owners(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of ``width`` values the place of its first smallest value."""
-    smallest = K.sliding(values, width, np.minimum, (1 << 64) - 1)
-    picked = K.window_minima(values, width)
-    at = np.searchsorted(picked, np.arange(len(smallest)))
-    owner = picked[at]
-    open_ = np.flatnonzero(values[owner] != smallest)
-    while len(open_):
-        at[open_] += 1
-        owner[open_] = picked[at[open_]]
-        open_ = open_[values[owner[open_]] != smallest[open_]]
-    return owner
-
-
-def anchors_of(data: np.ndarray, offsets: np.ndarray, hasher: K.ByteHasher, length: int):
+def _start_runs(
+    values: np.ndarray, offsets: np.ndarray, length: int, width: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, first start, last start) of the runs of starts with one anchor: the
+    first smallest of the ``width`` values from a start on. Sorted; places within the slice."""
+    smallest = K.sliding(values, width, np.minimum)
+    cut = np.empty(len(smallest), bool)
+    np.not_equal(smallest[1:], smallest[:-1], out=cut[1:])
+    cut[offsets[:-1][np.diff(offsets) >= length]] = True
+    first = np.flatnonzero(cut)
+    end = np.append(first[1:], len(smallest)) - 1
+    # Strings that reach into the next document are none.
+    d = np.searchsorted(offsets, first, side="right") - 1
+    last = np.minimum(end, offsets[d + 1] - length)
+    inside = first <= last
+    d, first, last = d[inside], first[inside], last[inside]
+    place = first + values[first[:, None] + np.arange(width)].argmin(axis=1)
+    again = np.flatnonzero(place < last)
+    if not len(again):
+        return d, place, first, last
+    # A smallest value that returns: each of its places has the starts behind the one before.
+    counts = last[again] + width - place[again]
+    run = np.repeat(again, counts)
+    at = place[run] + np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
+    equal = values[at] == values[place[run]]
+    run, at = run[equal], at[equal]
+    behind = np.flatnonzero((run[1:] == run[:-1]) & (at[:-1] < last[run[1:]])) + 1
+    run, more, since = run[behind], at[behind], at[behind - 1] + 1
+    until = np.minimum(more, last[run])
+    last = last.copy()
+    last[again] = place[again]
+    columns = ((d, d[run]), (place, more), (first, since), (last, until))
+    d, place, first, last = (np.concatenate(c) for c in columns)
+    order = np.argsort(first)
+    return d[order], place[order], first[order], last[order]
+
+
+def anchors_of(
+    data: np.ndarray, offsets: np.ndarray, hasher: K.ByteHasher, length: int, named: bool = True
+):
     """(document, place, first start, last start, hash, name of the whole range) of anchors.
 
-    Places are within the document; a range of starts and its bytes have one name.
+    Places are within the document; a range of starts and its bytes have one name, which is
+    left out (None) unless ``named``.
     """
+    if not len(offsets) or np.diff(offsets).max(initial=0) < length:
+        none = np.zeros(0, np.uint64)
+        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (none, none if named else None)
     sums = hasher.sums(data)
-    width = length - STRETCH + 1
-    out = []
-    for d in np.flatnonzero(np.diff(offsets) >= length):
-        a, b = int(offsets[d]), int(offsets[d + 1])
-        at = np.arange(a, b - STRETCH + 1)
-        values = hasher.ranges(sums, at, at + STRETCH)
-        owner = _start_owners(values, width)
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        last = np.append(first[1:], len(owner)) - 1
-        place = owner[first]
-        whole = hasher.ranges(sums, a + first, a + last + length)
+    values = hasher.windows(sums, STRETCH)
+    d, place, first, last = _start_runs(values, offsets, length, length - STRETCH + 1)
+    name = None
+    if named:
+        whole = hasher.ranges(sums, first, last + length)
         name = K.mixed(whole ^ K.mixed((place - first).astype(np.uint64)))
-        out.append((np.full(len(first), d), place, first, last, values[place], name))
-    if not out:
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
-    return tuple(np.concatenate(c) for c in zip(*out))
+    begin = offsets[d]
+    return d, place - begin, first - begin, last - begin, values[place], name
+
+
+# Bytes whose hashes stay near the processor while anchors are looked for.
+NEAR_BYTES = 1 << 17
 
 
 def _each_slice(batch, column: int):
     data, offsets = K.text_buffers(batch.column(column))
-    for a, b in K.document_slices(offsets):
+    for a, b in K.document_slices(offsets, NEAR_BYTES):
         yield a, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
 
 
@@ -97,7 +122,7 @@ def _repeated_anchors(docs: DataFrame, length: int, amount: int, max_bits: int)
         hasher = K.ByteHasher()
         for batch in batches:
             for _, data, offsets in _each_slice(batch, 0):
-                yield anchors_of(data, offsets, hasher, length)[4]
+                yield anchors_of(data, offsets, hasher, length, named=False)[4]
 
     expected = max(1024, 2 * amount // (length - STRETCH + 1))
     maybe = repeated_bits_of(docs.select("text"), hashes_of, expected, 12, max_bits)
@@ -199,7 +224,7 @@ def _contexts(
             batch = batch.filter(pa.array(in_row(K.mixed(rows.view(np.uint64)))))
             rows = column(batch, 0)
             for a, data, offsets in _each_slice(batch, 1):
-                d, place, first, last, value, _ = anchors_of(data, offsets, hasher, length)
+                d, place, first, last, value, _ = anchors_of(data, offsets, hasher, length, False)
                 keep = in_place(place_key(rows[a + d], place))
                 d, place, first, last, value = (
                     x[keep] for x in (d, place, first, last, value)

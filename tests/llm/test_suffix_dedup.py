@@ -2,9 +2,11 @@ import collections
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from odd_tables import EXTRA, words
 
+from slopefield.llm import kernels as K
 from slopefield.llm import suffix_array as A
 from slopefield.llm import suffix_dedup as S
 
@@ -83,3 +85,29 @@ def test_suffix_array_across_buckets(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(s)), "i long, c long")
     found = {r.i: r["rank"] for r in A.suffix_ranks(df).collect()}
     assert found == {i: k + 1 for k, i in enumerate(sorted(range(50), key=lambda i: s[i:]))}
+
+
+def test_anchors_of_a_slice_against_brute_force():
+    """The first smallest of the hashes within each string, in one go over all documents."""
+    rng, width = random.Random(9), 200 - S.STRETCH + 1
+    texts = []
+    for n in (0, 5, 199, 200, 201, 650, 900, 0, 420):
+        period = rng.choice([1, 2, 7, 60, 101, 5000])
+        base = "".join(rng.choice("ab") for _ in range(period))
+        texts.append((base * (n // period + 1))[:n].encode())
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    hasher = K.ByteHasher()
+    found = S.anchors_of(data, offsets, hasher, 200, named=False)
+    assert found[5] is None
+    want = []
+    for d, raw in enumerate(texts):
+        at = np.arange(max(0, len(raw) - S.STRETCH + 1))
+        values = hasher.ranges(hasher.sums(np.frombuffer(raw, np.uint8)), at, at + S.STRETCH)
+        for start in range(len(raw) - 199):
+            place = start + int(values[start : start + width].argmin())
+            if want and want[-1][:2] == [d, place]:
+                want[-1][3] = start
+            else:
+                want.append([d, place, start, start, int(values[place])])
+    assert [list(map(int, row)) for row in zip(*found[:5])] == want
