@@ -4,6 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from slopefield.catalog import scans
 from slopefield.errors import DataError
 from slopefield.operators.measurements import warm_array_median
 from slopefield.operators.run_records import comparison_inputs, same_answer, setup_ratios, setup_table
@@ -277,3 +278,50 @@ def test_indented_and_appended_records(spark, tmp_path):
     found = read_run_records(spark, str(tmp_path))
     assert sorted(r["cores"] for r in found.collect()) == [1, 2, 2]
     assert [r["setup"] for r in invalid_run_records(spark, str(tmp_path)).collect()] == ["spark-e3"]
+
+
+def lineitem(spark, tmp_path, count):
+    """Order numbers without any remainder but 0 (and null), the first line of each bad."""
+    folder = str(tmp_path / "sf")
+    spark.range(count).selectExpr(
+        "CASE WHEN id % 50 = 49 THEN NULL ELSE (id DIV 4) * 12 END AS l_orderkey",
+        "CAST(id % 4 + 1 AS INT) AS l_linenumber",
+        "CAST(id % 7 + 1 AS DOUBLE) AS l_quantity",
+        "CAST(id AS DOUBLE) AS l_extendedprice",
+        "0.05D AS l_discount",
+        "0.01D AS l_tax",
+        "IF(id % 3 = 0, 'R', 'N') AS l_returnflag",
+    ).write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def rows_by_task(df):
+    counted = df.groupBy(F.spark_partition_id()).count().collect()
+    return sorted(r["count"] for r in counted)
+
+
+def test_files_of_a_part_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "ROWS_OF_FILE", 200, raising=False)
+    folder = lineitem(spark, tmp_path, 4000)
+    lines = scans._lines_in_parts(spark, folder, "h", ["l_quantity"])
+    assert lines.count() == 4000 + 4 * 20
+    assert max(rows_by_task(lines)) < 2 * 200
+    first = lines.rdd.mapPartitions(lambda rows: [next(rows)[0]]).collect()
+    assert first == ["h"] * len(first)
+
+
+def test_bad_lines_of_a_part_stay_in_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "ROWS_OF_FILE", 200, raising=False)
+    folder = lineitem(spark, tmp_path, 4000)
+    bad = spark.read.parquet(f"{folder}/lineitem.parquet").where(scans.BAD_ROW).count()
+    assert bad > 100
+    assert rows(scans.q_scan_bad_bytes(spark, folder)) == [(1, bad, 1)]
+
+
+def test_uneven_files_do_not_grow_with_the_table(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "ROWS_OF_GROUP", 200, raising=False)
+    folder = lineitem(spark, tmp_path, 4000)
+    path = scans._written(spark, folder, "gzip_uneven")
+    files = spark.read.text(path).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 4000
+    assert max(r["count"] for r in files) < 2 * 200
