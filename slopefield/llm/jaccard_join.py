@@ -25,6 +25,11 @@ descends through regions:
    points within twice the radius of the border go to both sides, and what remains is
    verified on the full sets. Regions too large for a task are parted so on Spark first, over
    stored tables, by balls around pivots of a bounded sample; what nothing parts is compared tile by tile.
+5. *Forests.* Points that share a region share many: a pair belongs to the first region that both
+   hold. Of a region's pairs a task first returns a spanning forest, nearest sketches first. What
+   its links leave unconnected is compared by the full sets in the tasks, which return links that
+   join something only. No step makes more rows than its regions have, however many pairs of a
+   group lie close to the radius.
 
 Links carry over to connected components. No pair is lost: each step only drops pairs
 that a counting or triangle argument excludes, or whose ends are connected already.
@@ -50,6 +55,9 @@ SKETCH_BITS = 512
 REGION_ROWS = 8192
 TILE_ROWS = 2048
 LEAF_ROWS = 64
+# First regions of a point that its rows carry, and bytes of sets that a task compares at once.
+LEAST_KEYS = 24
+PIECE_BYTES = 1 << 25
 # Regions parted in one round, and rows of them that the driver looks at for pivots.
 ROUND_REGIONS, ROUND_SAMPLE = 2048, 1 << 16
 # Balls that part a region at once, rounds, and the share of comparisons that may be left.
@@ -214,14 +222,10 @@ def _measured(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             distance, link = [], []
             for x, y in zip(batch.column(2), batch.column(3)):
-                p = np.frombuffer(x.as_buffer(), np.uint64)
-                q = np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(p, q)
-                at[at == len(p)] = 0
-                shared = int(np.count_nonzero(p[at] == q))
-                union = len(p) + len(q) - shared
-                distance.append(1.0 - shared / union)
-                link.append(100 * shared >= percent * union)
+                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                apart, near = shared_enough(p, q, percent)
+                distance.append(apart)
+                link.append(near)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(distance, pa.float64()),
                  pa.array(link, pa.bool_())],
@@ -433,63 +437,251 @@ def _tiles(
     parted = parted.withColumn("key", F.when(F.col("part") == 0, F.col("key")).otherwise(
         F.xxhash64("key", "part")))
     sizes = parted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    tiles = F.when(F.col("rows") <= region_rows, 1).otherwise(F.ceil(F.col("rows") / tile_rows))
+    # At most a tile in ``region_rows`` rows: few enough to broadcast.
+    large = sizes.where(F.col("rows") > region_rows).select(
+        F.col("key").alias("_key"), F.ceil(F.col("rows") / tile_rows).cast("int").alias("tiles")
+    )
+    rows = parted.join(F.broadcast(large), F.col("key") == F.col("_key"), "left")
+    rows = _for_pairs(rows, F.coalesce("tiles", F.lit(1)), "mine", "low", "high", 0)
+    passed = [c for c in regions.columns if c not in ("key", "part")]
+    return rows.select("key", "low", "high", "mine", *passed)
+
+
+def _for_pairs(rows: DataFrame, parts, mine: str, low: str, high: str, seed: int) -> DataFrame:
+    """The rows of groups of ``parts`` parts, copied for every pair of parts (low, high)."""
     return (
-        parted.join(sizes, "key")
-        .withColumn("tiles", tiles.cast("int"))
-        .withColumn("mine", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("low", F.least("mine", "other"))
-        .withColumn("high", F.greatest("mine", "other"))
-        .select("key", "low", "high", "mine", "node", "n", "distance", "outside", "component",
-                "sketch")
-    )
+        rows.withColumn("_parts", parts.cast("int"))
+        .withColumn(mine, F.pmod(F.xxhash64("node", F.lit(seed)), F.col("_parts")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+        .withColumn(low, F.least(mine, "_other"))
+        .withColumn(high, F.greatest(mine, "_other"))
+        .drop("_parts", "_other")
+    )
 
 
-def _window_pairs(regions: DataFrame, percent: int, **rows: int) -> DataFrame:
-    """Distinct candidate pairs of all open regions."""
-    tiled = _tiles(regions, percent, **rows)
+def _whole_tiles(batches, width: int):
+    """(batch, bounds of the tiles in it): rows sorted by their first ``width`` columns, a tile whole."""
+    import pyarrow as pa
+
+    held = None
+    for batch in K.with_end(batches):
+        if batch is not None:
+            held = batch if held is None else pa.concat_batches([held, batch])
+        if held is None or not held.num_rows:
+            continue
+        names = [held.column(k).to_numpy(zero_copy_only=False) for k in range(width)]
+        change = np.logical_or.reduce([c[1:] != c[:-1] for c in names])
+        cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [held.num_rows]])
+        last = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last tile may go on
+        if last:
+            yield held, cuts[: last + 1]
+        held = held.slice(cuts[last])
+
+
+def owned(pairs: np.ndarray, least: np.ndarray, region: int) -> np.ndarray:
+    """Whether no earlier region, of those that the rows carry, holds both points of a pair."""
+    out = np.ones(len(pairs), bool)
+    for step in range(0, len(pairs), 4096):
+        x, y = (least[pairs[step : step + 4096, k]] for k in (0, 1))
+        same = (x[:, :, None] == y[:, None, :]) & (x < region)[:, :, None]
+        out[step : step + 4096] = ~same.any(axis=(1, 2))
+    return out
+
 
-    def of_tile(columns, a, b, low, high):
-        node, n, distance, outside, component, mine, sketch = (c[a:b] for c in columns)
+def spanning(pairs: np.ndarray, component: np.ndarray) -> np.ndarray:
+    """Which of the pairs, best first, make a forest that spans the components they touch."""
+    _, at = np.unique(component, return_inverse=True)
+    x, y = at[pairs[:, 0]], at[pairs[:, 1]]
+    root, taken, left = np.arange(len(component)), np.zeros(len(pairs), bool), np.arange(len(pairs))
+    while True:
+        left = left[root[x[left]] != root[y[left]]]
+        if not len(left):
+            return taken
+        best = np.full(len(root), len(pairs))
+        for end in (x, y):
+            np.minimum.at(best, root[end[left]], left)
+        picked = np.unique(best[best < len(pairs)])
+        taken[picked] = True
+        a, b, up = root[x[picked]], root[y[picked]], np.arange(len(root))
+        while (up[a] != up[b]).any():
+            low = np.minimum(up[a], up[b])
+            for end in (a, b):
+                np.minimum.at(up, up[end], low)
+                np.minimum.at(up, end, low)
+            up = up[up]
+        root = up[root]
+
+
+class _Tiles:
+    """The tiles of a batch as arrays, and the pairs of one that windows and sketches leave."""
+
+    def __init__(self, held, percent: int):
+        self.percent = percent
+        names = [c for c in held.schema.names if c not in ("sketch", "least", "shingles")]
+        self.column = {c: held.column(c).to_numpy(zero_copy_only=False) for c in names}
+        self.sketch = _sketches(held.column("sketch").to_pylist())
+        self.least = None
+        if "least" in held.schema.names:
+            lists = held.column("least")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            self.least = np.full((len(sizes), LEAST_KEYS), np.iinfo(np.int64).max)
+            at = np.arange(LEAST_KEYS) < sizes[:, None]
+            self.least[at] = lists.flatten().to_numpy(zero_copy_only=False)
+
+    def pairs(self, a: int, b: int, *parts: tuple[str, str, str]) -> np.ndarray:
+        """Index pairs within rows a to b, nearest sketches first, each in its first region only."""
+        c = {name: values[a:b] for name, values in self.column.items()}
+        sketch = self.sketch[a:b]
         pairs = region_candidates(
-            distance, outside, component, n, sketch, percent, (mine == low, mine == high)
-        )
-        return node[pairs]
+            c["distance"], c["outside"], c["component"], c["n"], sketch, self.percent,
+            (c["mine"] == c["low"], c["mine"] == c["high"]),
+        )
+        for mine, low, high in parts:
+            is_low, is_high = c[mine] == c[low], c[mine] == c[high]
+            x, y = pairs[:, 0], pairs[:, 1]
+            pairs = pairs[(is_low[x] & is_high[y]) | (is_high[x] & is_low[y])]
+        if self.least is not None:
+            pairs = pairs[owned(pairs, self.least[a:b], c["region"][0])]
+        apart = [
+            np.bitwise_count(sketch[p[:, 0]] ^ sketch[p[:, 1]]).sum(axis=1, dtype=np.int64)
+            for p in np.array_split(pairs, len(pairs) // 65536 + 1)
+        ]
+        share = np.concatenate(apart) / c["n"][pairs].sum(axis=1)
+        return pairs[np.argsort(share, kind="stable")]
+
+
+def _dealt(rows: DataFrame, *by: str) -> DataFrame:
+    return rows.repartition(*by).sortWithinPartitions(*by, "node")
+
+
+def _window_pairs(regions: DataFrame, percent: int, **rows: int) -> DataFrame:
+    """Distinct candidate pairs of all open regions."""
 
     def windows(batches):
         import pyarrow as pa
 
-        held = None
-        for batch in K.with_end(batches):
-            if batch is not None:
-                held = batch if held is None else pa.concat_batches([held, batch])
-            if held is None or not held.num_rows:
-                continue
-            key, low, high, mine, node, n, distance, outside, component = (
-                held.column(k).to_numpy(zero_copy_only=False) for k in range(9)
-            )
-            sketch = np.frombuffer(b"".join(held.column(9).to_pylist()), np.uint64)
-            columns = node, n, distance, outside, component, mine, sketch.reshape(len(node), -1)
-            change = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [len(key)]])
-            last = len(cuts) - 1 if batch is None else len(cuts) - 2  # the last tile may go on
-            found = [
-                of_tile(columns, cuts[i], cuts[i + 1], low[cuts[i]], high[cuts[i]])
-                for i in range(last)
-            ]
-            held = held.slice(cuts[last])
-            pairs = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)
+        for held, cuts in _whole_tiles(batches, 3):
+            tiles = _Tiles(held, percent)
+            node = tiles.column["node"]
+            found = [node[a:b][tiles.pairs(a, b)] for a, b in zip(cuts[:-1], cuts[1:])]
+            pairs = np.unique(np.concatenate(found), axis=0)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"]
             )
 
-    return (
-        tiled.repartition("key", "low", "high")
-        .sortWithinPartitions("key", "low", "high", "node")
-        .mapInArrow(lean(windows), "a long, b long")
-        .distinct()
+    tiled = _dealt(_tiles(regions, percent, **rows), "key", "low", "high")
+    return tiled.mapInArrow(lean(windows), "a long, b long").distinct()
+
+
+def _window_forests(regions: DataFrame, percent: int, **rows: int) -> DataFrame:
+    """Stored: a spanning forest of each tile's candidate pairs (node, partner), and the tile's rows
+    that have candidate pairs besides (partner is null)."""
+    tiled = _tiles(regions, percent, **rows)
+
+    def forests(batches):
+        import pyarrow as pa
+
+        for held, cuts in _whole_tiles(batches, 3):
+            tiles = _Tiles(held, percent)
+            edges, more = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                pairs = tiles.pairs(a, b)
+                taken = spanning(pairs, tiles.column["component"][a:b])
+                edges.append(tiles.column["node"][a:b][pairs[taken]])
+                more.append(a + np.unique(pairs[~taken]))
+            names = [*held.schema.names, "partner"]
+            rest = held.take(pa.array(np.concatenate(more)))
+            alone = pa.nulls(rest.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*rest.columns, alone], names=names)
+            found = np.unique(np.concatenate(edges), axis=0)
+            columns = [pa.nulls(len(found), f.type) for f in held.schema]
+            columns[names.index("node")] = pa.array(found[:, 0])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found[:, 1])], names=names)
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiled.schema)
+    dealt = _dealt(tiled, "key", "low", "high")
+    return stored(dealt.mapInArrow(lean(forests), f"{types}, partner long"), "forests")
+
+
+def shared_enough(p: np.ndarray, q: np.ndarray, percent: int) -> tuple[float, bool]:
+    """Jaccard distance of two sets, and whether they link."""
+    at = np.searchsorted(p, q)
+    at[at == len(p)] = 0
+    shared = int(np.count_nonzero(p[at] == q))
+    union = len(p) + len(q) - shared
+    return 1.0 - shared / union, 100 * shared >= percent * union
+
+
+def _links_by_sets(
+    rows: DataFrame, sets: DataFrame, percent: int, piece_bytes: int = PIECE_BYTES
+) -> DataFrame:
+    """Links between the components of each tile's rows, from the full sets: a spanning forest of
+    them. A tile whose sets are large is compared piece by piece."""
+    tile = ["key", "low", "high"]
+    sizes = rows.groupBy(*tile).agg(
+        F.min("component").alias("_p"), F.max("component").alias("_q"),
+        F.ceil(8 * F.sum("n") / piece_bytes).alias("pieces"),
+    )
+    rows = rows.join(sizes.where("_p <> _q").drop("_p", "_q"), tile)
+    rows = _for_pairs(rows, F.col("pieces"), "piece", "first", "second", 1).drop("pieces")
+    by = [*tile, "first", "second"]
+    rows = rows.join(sets.select("node", "shingles"), "node")
+    rows = rows.select(*by, *[c for c in rows.columns if c not in by])
+
+    def linked(batches):
+        import pyarrow as pa
+
+        for held, cuts in _whole_tiles(batches, len(by)):
+            tiles, sets_of = _Tiles(held, percent), held.column("shingles")
+            found = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                node = tiles.column["node"][a:b].tolist()
+                up = {c: c for c in tiles.column["component"][a:b].tolist()}
+                component = tiles.column["component"][a:b].tolist()
+
+                def root(x, up=up):
+                    while up[x] != x:
+                        up[x] = x = up[up[x]]
+                    return x
+
+                for x, y in tiles.pairs(a, b, ("piece", "first", "second")).tolist():
+                    p, q = root(component[x]), root(component[y])
+                    if p == q:
+                        continue
+                    one, two = (
+                        np.frombuffer(sets_of[int(a) + k].as_buffer(), np.uint64) for k in (x, y)
+                    )
+                    if shared_enough(one, two, percent)[1]:
+                        up[p] = q
+                        found.append((node[x], node[y]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
+            )
+
+    return _dealt(rows, *by).mapInArrow(lean(linked), "a long, b long")
+
+
+def _more_links(
+    regions: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int
+) -> DataFrame:
+    """The components of ``links`` (``labels``) with the further links of the open regions."""
+    forests = _window_forests(regions, percent)
+    pairs = forests.where("partner IS NOT NULL").select(
+        F.col("node").alias("a"), F.col("partner").alias("b")
     )
+    found = _measured(stored(pairs.distinct(), "pairs"), sets, percent)
+    found = stored(found.where("link").select("a", "b"), "links")
+    rest = forests.where("partner IS NULL").drop("partner")
+    if not found.isEmpty():
+        links = links.union(found)
+        labels = components(links)
+        rest = rest.drop("component").join(labels, "node", "left")
+        rest = rest.withColumn("component", F.coalesce("component", "node"))
+    if not rest.isEmpty():
+        found = stored(_links_by_sets(rest, sets, percent), "links")
+        if not found.isEmpty():
+            labels = components(links.union(found))
+    return labels
 
 
 def similar_documents(
@@ -568,14 +760,17 @@ def similar_documents(
         .where("_p <> _q")
         .select("key")
     )
+    open_rows = stored(open_rows.join(parted, "key", "left_semi"), "open-rows")
+    least = open_rows.groupBy("node").agg(
+        F.slice(F.array_sort(F.collect_list("key")), 1, LEAST_KEYS).alias("least")
+    )
     open_regions = stored(
-        open_rows.join(parted, "key", "left_semi").join(
-            sets.select("node", "n", "sketch"), "node"
-        ),
+        open_rows.withColumn("region", F.col("key"))
+        .join(least, "node")
+        .join(sets.select("node", "n", "sketch"), "node"),
         "open",
     )
-    more = _measured(stored(_window_pairs(open_regions, percent), "pairs"), sets, percent)
-    labels = components(links.union(more.where("link").select("a", "b")))
+    labels = _more_links(open_regions, sets, links, labels, percent)
 
     grouped = folded.join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node")

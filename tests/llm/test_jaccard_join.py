@@ -193,3 +193,111 @@ def test_rows_of_a_region_of_20_000_points_are_copied_less_than_20_times(spark):
     regions = spark.createDataFrame(rows, REGION).repartition(8)
     copied = J._tiles(regions, 80).count()
     assert n <= copied < 20 * n
+
+
+def stored_regions(spark, tmp_path, sets, keys, outside=True):
+    """Each set in all regions of ``keys``, with its own component, as the join's tables have them."""
+    least = sorted(keys)[: J.LEAST_KEYS]
+    rows = [
+        (key, k, 0.3, outside, k, len(s), J.parity_sketch(s).tobytes(), key, least)
+        for key in keys
+        for k, s in enumerate(sets)
+    ]
+    spark.createDataFrame(rows, REGION + ", region long, least array<long>").repartition(
+        6
+    ).write.parquet(str(tmp_path / "regions"))
+    held = [(k, len(s), s.tobytes(), J.parity_sketch(s).tobytes()) for k, s in enumerate(sets)]
+    spark.createDataFrame(
+        held, "node long, n long, shingles binary, sketch binary"
+    ).write.parquet(str(tmp_path / "sets"))
+    return spark.read.parquet(str(tmp_path / "regions")), spark.read.parquet(str(tmp_path / "sets"))
+
+
+def close_to_the_radius(rng, members):
+    """Sets whose pairs lie around a distance of 0.2, some within and most outside."""
+    base = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    out = []
+    for _ in range(members):
+        keep = base[rng.random(300) > 0.06 + 0.03 * rng.random()]
+        changed = rng.integers(0, 1 << 63, 300 - len(keep)).astype(np.uint64)
+        out.append(np.unique(np.concatenate([keep, changed])))
+    return out
+
+
+def groups_of(pairs):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        up[root(a)] = root(b)
+    found = {}
+    for x in list(up):
+        found.setdefault(root(x), set()).add(x)
+    return sorted(map(sorted, found.values()))
+
+
+def test_rows_of_the_windows_grow_with_the_rows_of_a_group_in_many_regions(spark, tmp_path):
+    made = []
+    for members in (40, 160):
+        sets = close_to_the_radius(np.random.default_rng(3), members)
+        folder = tmp_path / str(members)
+        folder.mkdir()
+        regions, _ = stored_regions(spark, folder, sets, range(10, 18))
+        forests = J._window_forests(regions, 80)
+        made.append(forests.count())
+        pairs = J._window_pairs(regions.drop("least"), 80).count()
+        assert pairs > 8 * members
+        # One region of eight makes rows: its forest, and its rows for the comparison of sets.
+        assert made[-1] <= 2 * members
+    assert made[1] <= 5 * made[0]
+
+
+@pytest.mark.parametrize("rows", [{}, {"region_rows": 20, "tile_rows": 20}])
+def test_forests_and_sets_find_all_components(spark, tmp_path, monkeypatch, rows):
+    sets = close_to_the_radius(np.random.default_rng(9), 70)
+    sets += close_to_the_radius(np.random.default_rng(8), 30)
+    regions, kept = stored_regions(spark, tmp_path, sets, [5, -3, 11])
+    none = spark.createDataFrame([], "a long, b long")
+    forests = J._window_forests
+    monkeypatch.setattr(J, "_window_forests", lambda r, percent: forests(r, percent, **rows))
+    labels = J._more_links(regions, kept, none, components(none), 80)
+    found = {}
+    for r in labels.collect():
+        found.setdefault(r.component, []).append(r.node)
+    want = groups_of(linked(sets, 80))
+    assert sorted(map(sorted, found.values())) == want and sum(map(len, want)) < len(sets)
+
+
+def test_sets_compared_in_pieces_give_the_same_components(spark, tmp_path):
+    sets = close_to_the_radius(np.random.default_rng(4), 50)
+    regions, kept = stored_regions(spark, tmp_path, sets, [5])
+    rows = J._tiles(regions, 80)
+    for piece_bytes in (1 << 25, 20_000):
+        links = [tuple(r) for r in J._links_by_sets(rows, kept, 80, piece_bytes).collect()]
+        assert groups_of(links) == groups_of(linked(sets, 80))
+        assert {tuple(sorted(p)) for p in links} <= linked(sets, 80)
+
+
+def test_a_pair_is_taken_in_its_first_region_alone():
+    last = np.iinfo(np.int64).max
+    least = np.array([[1, 4, 9], [2, 4, 9], [5, last, last]])
+    pairs = np.array([[0, 1], [0, 2], [1, 2]])
+    assert J.owned(pairs, least, 4).tolist() == [True, True, True]
+    assert J.owned(pairs, least, 9).tolist() == [False, True, True]
+
+
+def test_a_forest_spans_what_the_pairs_span():
+    rng = np.random.default_rng(1)
+    for n, m in ((2, 1), (30, 20), (60, 400)):
+        pairs = rng.integers(0, n, (m, 2))
+        component = rng.integers(0, n, n)
+        taken = J.spanning(pairs, component)
+        named = component[pairs]
+        distinct = [p for p in named.tolist() if p[0] != p[1]]
+        kept = [p for p in named[taken].tolist()]
+        assert [g for g in groups_of(named.tolist()) if len(g) > 1] == groups_of(kept)
+        assert len(kept) == sum(len(g) - 1 for g in groups_of(distinct))
