@@ -14,7 +14,7 @@ only when complete. Reading streams a file record by record and verifies all che
 ``read_at`` takes single records by their offsets.
 
 Encoding is that of the ``tokenizers`` library. Words are encoded once per worker process and
-kept (up to ``CACHE_WORDS``): white space separates them for this vocabulary, so a text's ids
+kept (up to ``CACHE_WORDS``; beyond, the half learnt first stays): white space separates them for this vocabulary, so a text's ids
 are those of its words. A vocabulary for which that does not hold is refused.
 
 Defined cases: a null or empty text has the end id alone; null document ids come first;
@@ -31,6 +31,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -146,10 +147,13 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.words) > self.cache_words:
-            self.words, self.parts = {"": b""}, {"": b""}
+            # What was learnt first stays: frequent words are met early, rare ones make up the rest.
+            kept = max(1, self.cache_words // 2)
+            self.words = dict(islice(self.words.items(), kept))
+            self.parts = dict(islice(self.parts.items(), kept))
         split = [t.replace("\n", " ").split(" ") for t in texts]
         known = self.words
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(known)
         if new:
             self._learn(list(new))
         return [b"".join(map(known.__getitem__, words)) for words in split]

@@ -66,3 +66,17 @@ def test_words_are_encoded_as_the_library_encodes_the_text(text):
     want = Tokenizer.from_str(definition).encode(text, add_special_tokens=False).ids
     for _ in range(2):
         assert np.frombuffer(encoder.encode([text])[0], "<u2").tolist() == want
+
+
+def test_words_met_first_stay_known_when_the_cache_is_cut(monkeypatch):
+    with open(FILE, encoding="utf-8") as f:
+        encoder = T.WordEncoder(f.read(), cache_words=8)
+    want = encoder.encode(["the cat"])
+    encoder.encode([" ".join(f"rare{k}" for k in range(40))])
+    learnt = []
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda words: (learnt.extend(words), learn(words)))
+    assert encoder.encode(["the cat"]) == want
+    assert not learnt and len(encoder.words) <= 8
+    encoder.encode(["rare39 new"])
+    assert "new" in learnt
