@@ -8,10 +8,11 @@ the left neighbour, so that three words are a pair of (pair, word) and four a pa
 (triple, word). A phrase can only be frequent where both phrases of one word less are, and the
 streams shrink to those places.
 
-What is sent to the tasks is a block of at most ``block`` ranks (16 bytes each); a vocabulary
-of more ranks takes more passes over the streams. Counts of tasks are summed by cell in a
-shuffle, so that no cell, word or language is gathered row by row in one task. Words are looked
-up by 64-bit hashes (of language and word): for V frequent among W distinct words the chance of
+Tasks look ranks up in a block of at most ``block`` of them (12 bytes each); a vocabulary of more
+ranks takes more passes over the streams. Other tasks have written the block, in order of its
+keys, to files in the shared folder: the driver only knows their names. Counts of tasks are
+summed by cell in a shuffle, so that no cell, word or language is gathered row by row in one
+task. Words are looked up by 64-bit hashes (of language and word): for V frequent among W distinct words the chance of
 any wrong look-up is V * W / 2^64. Phrases are looked up by their exact numbers.
 
 Defined cases: a null text counts as empty and a null language as ``und``; rows count as often
@@ -28,7 +29,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slopefield.llm import kernels as K
-from slopefield.llm.common import deleted, lean, stored, text_of
+from slopefield.llm.common import (
+    committed_file,
+    deleted,
+    kept_in_worker,
+    lean,
+    opened,
+    removed,
+    stored,
+    text_of,
+)
+from slopefield.session import shared_folder
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -36,6 +47,8 @@ GAPS = b" \t"
 LONGEST = 4
 
 BLOCK_RANKS = 1 << 22
+# About so many ranks of a block lie in one file.
+FILE_RANKS = 1 << 19
 # Side of a tile, and the pairs that make it worth an array of its own.
 SIDE = 512
 DENSE_PAIRS = SIDE * SIDE // 16
@@ -116,14 +129,63 @@ def _word_keys(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("lang", "word", "rank").mapInArrow(lean(keyed), "key long, rank long")
 
 
-def _blocks(keys: DataFrame, total: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Sorted keys and their ranks, a bounded block of ranks at a time; one block at least."""
+def _blocks(keys: DataFrame, total: int, block: int) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+    """(folder, files and their rows) of a bounded block of ranks at a time; one block at least.
+
+    Tasks write the files, each the keys of one range in order and behind them their ranks; the
+    files come in order of their ranges. A folder goes when the next block is asked for.
+    """
+    import pyarrow as pa
+
+    spark = keys.sparkSession
     for first in range(0, max(total, 1), block):
+        folder = shared_folder(spark, "ranks")
+
+        def written(batches, folder=folder):
+            from pyspark import TaskContext
+
+            parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            if not parts:
+                return
+            names, ranks = (np.concatenate(columns) for columns in zip(*parts))
+            name = f"{TaskContext.get().partitionId():06d}.ranks"
+            with committed_file(folder, name) as out:
+                out.write(names.astype("<i8").tobytes())
+                out.write(ranks.astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([len(names)]), pa.array(names[:1])],
+                names=["name", "n", "low"],
+            )
+
         part = keys.where((F.col("rank") >= first) & (F.col("rank") < first + block))
-        part = part.select("key", "rank").toPandas()
-        names = part["key"].to_numpy(np.int64)
-        order = np.argsort(names)
-        yield names[order], part["rank"].to_numpy(np.int64)[order].astype(np.int32)
+        files = (
+            part.select("key", "rank")
+            .repartitionByRange(max(1, -(-min(block, total - first) // FILE_RANKS)), "key")
+            .sortWithinPartitions("key")
+            .mapInArrow(lean(written), "name string, n long, low long")
+            .collect()
+        )
+        files.sort(key=lambda r: r.low)
+        yield folder, [(f"{folder}/{r.name}", r.n) for r in files]
+        removed(spark, folder)
+
+
+def _read_block(block: tuple[str, list[tuple[str, int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their ranks, kept for further tasks of the worker that look up the same."""
+    folder, files = block
+
+    def read():
+        names = np.empty(sum(n for _, n in files), np.int64)
+        ranks = np.empty(len(names), np.int32)
+        at = 0
+        for path, n in files:
+            with opened(path) as file:
+                names[at : at + n] = np.frombuffer(file.read(8 * n), "<i8")
+                ranks[at : at + n] = np.frombuffer(file.read(4 * n), "<i4")
+            at += n
+        return names, ranks
+
+    return kept_in_worker("ranks", folder, read)
 
 
 def _looked_up(keys: np.ndarray, block: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -156,11 +218,11 @@ def _word_stream(docs: DataFrame, text_col: str, lang_col: str, vocabulary, tota
         F.lit(None).cast("binary").alias("words"),
     )
     count = max(1, -(-total // block))
-    context = docs.sparkSession.sparkContext
     for number, part in enumerate(_blocks(_word_keys(vocabulary), total, block)):
-        shared, last = context.broadcast(part), number == count - 1
+        last = number == count - 1
 
-        def filled(batches, shared=shared, first=number == 0, last=last):
+        def filled(batches, part=part, first=number == 0, last=last):
+            known_ranks = _read_block(part)
             plain, folding = K.ByteHasher(), K.ByteHasher(fold_case=True)
             for batch in batches:
                 data, offsets = K.text_buffers(batch.column(1))
@@ -174,7 +236,7 @@ def _word_stream(docs: DataFrame, text_col: str, lang_col: str, vocabulary, tota
                     documents, starts, ends = K.find_runs(text, inner, _WORD)
                     keys = folding.ranges(folding.sums(text), starts, ends)
                     keys ^= languages[a + documents]
-                    codes = _looked_up(keys.view(np.int64), shared.value)
+                    codes = _looked_up(keys.view(np.int64), known_ranks)
                     if not first:
                         before = known[known_offsets[a] : known_offsets[b]]
                         codes = np.where(before >= 0, before, codes)
@@ -187,7 +249,6 @@ def _word_stream(docs: DataFrame, text_col: str, lang_col: str, vocabulary, tota
 
         schema = "words binary" if last else "lang string, text string, words binary"
         table = stored(table.mapInArrow(lean(filled), schema), "streams")
-        shared.unpersist()
     return table
 
 
@@ -286,6 +347,7 @@ def _counted(streams: DataFrame, size: int, least: int) -> DataFrame:
     import pyarrow as pa
 
     def counted(batches):
+        kept_in_worker("ranks", "none", lambda: None)  # a block read before is not needed any more
         for words, grams, offsets in _stream_columns(batches, size):
             at = _places(words, grams, offsets, size)
             keys, counts = tiled_counts(grams[at].astype(np.int64), words[at + size].astype(np.int64))
@@ -321,12 +383,12 @@ def _advanced(streams: DataFrame, size: int, keys: DataFrame, total: int, block:
     import pyarrow as pa
 
     count = max(1, -(-total // block))
-    context = streams.sparkSession.sparkContext
     names = ["words", "grams"]
     for number, part in enumerate(_blocks(keys, total, block)):
-        shared, last = context.broadcast(part), number == count - 1
+        last = number == count - 1
 
-        def filled(batches, shared=shared, first=number == 0, last=last):
+        def filled(batches, part=part, first=number == 0, last=last):
+            known_ranks = _read_block(part)
             for batch in batches:
                 raw, offsets = K.text_buffers(batch.column(0))
                 words, offsets = raw.view(np.int32), offsets // 4
@@ -334,7 +396,7 @@ def _advanced(streams: DataFrame, size: int, keys: DataFrame, total: int, block:
                 at = _places(words, grams, offsets, size)
                 pairs = (grams[at].astype(np.int64) << 32) | words[at + size].astype(np.int64)
                 more = np.full(len(words), -1, np.int32)
-                more[at] = _looked_up(pairs, shared.value)
+                more[at] = _looked_up(pairs, known_ranks)
                 if not first:
                     before = K.text_buffers(batch.column(2))[0].view(np.int32)
                     more = np.maximum(more, before)
@@ -354,7 +416,6 @@ def _advanced(streams: DataFrame, size: int, keys: DataFrame, total: int, block:
         if "grams" not in table.columns:
             table = table.withColumn("grams", F.col("words"))
         table = stored(table.mapInArrow(lean(filled), schema), "streams")
-        shared.unpersist()
     return table
 
 

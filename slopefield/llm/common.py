@@ -46,11 +46,13 @@ def numbered(docs: DataFrame, name: str = "row") -> DataFrame:
 
 def deleted(df: DataFrame) -> None:
     """Remove the files behind a table made of one stored table, once no later step reads it."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        removed(df.sparkSession, folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def kept_in_worker(kind: str, name: str, make):

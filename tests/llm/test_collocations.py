@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -78,6 +79,36 @@ def test_phrases_against_brute_force(table_of, block):
     assert {r[0] for r in mine} == {"en", "de", "und"} and {len(r[2].split()) for r in mine} >= {2, 3}
 
 
+def test_ranks_do_not_pass_through_the_driver(spark, table_of, monkeypatch):
+    rows = some_texts(random.Random(3), 300)
+    table, seen, folders = as_table(table_of, rows), [], []
+    collect, shared_folder = type(table).collect, C.shared_folder
+
+    def counting(self):
+        out = collect(self)
+        seen.append(len(out))
+        return out
+
+    def refused(*args):
+        raise AssertionError("all ranks in the driver")
+
+    def noted(session, purpose):
+        folders.append(shared_folder(session, purpose))
+        return folders[-1]
+
+    monkeypatch.setattr(type(table), "collect", counting)
+    monkeypatch.setattr(type(table), "toPandas", refused)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", refused)
+    monkeypatch.setattr(C, "shared_folder", noted)
+    monkeypatch.setattr(C, "FILE_RANKS", 16)  # several files a block
+    for block in (1 << 22, 50):
+        result = C.collocations(table, least=5, top=50, block=block)
+        # Counts of ranges and names of files.
+        assert max(seen) <= 16
+        assert sorted(tuple(r) for r in collect(result)) == brute_force(rows, least=5, top=50)
+    assert len(folders) > 6 and not any(os.path.exists(f) for f in folders)
+
+
 def test_odd_rows_and_repeated_rows(odd, odd_rows, table_of):
     rows = [(r[1], r[2]) for r in odd_rows]
     assert found(odd, least=2) == brute_force(rows, least=2)
